@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from podium.functions.nest import inline_list, not_inline, small_list
+from podium.functions.skew import hot_keys, salted_join
+from podium.operators.fold import response_events
 from podium.operators.lookup import events_by_secret, session_listing, session_speakers
 from podium.operators.questions import question_form
 
@@ -92,19 +94,23 @@ def event_forms(questions: DataFrame, options: DataFrame) -> DataFrame:
 
 def questionnaire(responses: DataFrame, sessions: DataFrame, events: DataFrame, session_presenters: DataFrame,
                   presenters: DataFrame, questions: DataFrame, options: DataFrame) -> DataFrame:
-    """Per response the form of its session. Narrow columns are joined first and the wide form, one row per
-    event, last."""
+    """Per response the form of its session.
+
+    Everything about a session is put together first, so a popular session is joined to its responses once.
+    The wide form, one row per event, comes last and is salted for an event with many responses.
+    """
     speakers = session_speakers(session_presenters, presenters, order="owner").select(
         "session_id", F.col("presenters").alias("speakers"), F.col("presenters_inline").alias("speakers_inline")
     )
-    return (
-        responses.select("client_key", "response_id", "session_id")
-        .join(sessions.select("session_id", "event_id", "title"), "session_id")
+    headers = (
+        sessions.select("session_id", "event_id", "title")
         .join(speakers, "session_id", "left")
         .join(events.select("event_id", "css"), "event_id")
-        .join(event_forms(questions, options), "event_id", "left")
         .withColumn("speakers_inline", F.coalesce("speakers_inline", F.lit(True)))
     )
+    per_response = responses.select("client_key", "response_id", "session_id").join(headers, "session_id")
+    hot = hot_keys(response_events(responses, sessions), "event_id")
+    return salted_join(per_response, event_forms(questions, options), hot, "event_id", "response_id", "left")
 
 
 def questionnaire_json(forms: DataFrame) -> DataFrame:

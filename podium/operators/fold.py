@@ -2,9 +2,10 @@
 
 A change adds (ordinal > 0, or a text), resets (ordinal < 0 unchecks, an empty text clears) or does
 nothing (ordinal 0). Everything is an aggregate that combines before the shuffle; the only join on the
-log is with one row per reset slot, which AQE can split when a single response dominates the log. No
-window or collected list runs over a response. Validity (does the question belong to the response's
-event, does the option exist) is checked on the folded rows, which are far fewer than the changes.
+log is with one row per reset slot, salted for responses that dominate the log. No window or collected
+list runs over a response. The aggregates are merged once more after the rows met their response and
+option, so salted parts cost no shuffle of their own. Validity (does the question belong to the
+response's event, does the option exist) is checked on the folded rows, far fewer than the changes.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from podium.functions.skew import HOT_ROWS, SALT, hot_keys, salt, salted_join
+
 # Stored rows enter a fold as if clicked before every change of the log.
 BEFORE_LOG = -(2**63)
 
@@ -96,19 +99,23 @@ def stored_click_marks(answers: DataFrame, options: DataFrame, seq=BEFORE_LOG) -
 # Folds over marks
 
 
-def _with_live_seq(marks: DataFrame, resets: DataFrame, slot: list[str]) -> DataFrame:
-    """Add `live_seq`: the mark's seq where no later reset hit its slot, else NULL."""
+def _with_live_seq(marks: DataFrame, resets: DataFrame | None, slot: list[str], hot_rows: int) -> DataFrame:
+    """Add `live_seq`, the mark's seq where no later reset hit its slot, else NULL, and the salt."""
+    if resets is None:
+        return marks.withColumn("live_seq", F.col("seq")).withColumn(SALT, F.lit(0))
     last_reset = resets.groupBy(slot).agg(F.max("seq").alias("reset_seq"))
+    marks, last_reset = salt(marks, last_reset, hot_keys(marks, "response_id", hot_rows), "response_id", "seq")
     live = F.col("reset_seq").isNull() | (F.col("seq") > F.col("reset_seq"))
-    return marks.join(last_reset, slot, "left").withColumn("live_seq", F.when(live, F.col("seq")))
+    return marks.join(last_reset, [*slot, SALT], "left").withColumn("live_seq", F.when(live, F.col("seq")))
 
 
 def fold_click_marks(
     marks: DataFrame,
-    resets: DataFrame,
+    resets: DataFrame | None,
     members: DataFrame,
     targets: DataFrame,
     scoped: bool = False,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Answers of all question types, with `session_id`, `event_id`, `type` and `answer_ordinal`.
 
@@ -116,10 +123,9 @@ def fold_click_marks(
     `scoped=True` limits it to that question.
     """
     slot = ["response_id", "question_id", "answer_ordinal"] if scoped else ["response_id", "answer_ordinal"]
-    live = F.col("live_seq").isNotNull()
     per_option = (
-        _with_live_seq(marks, resets, slot)
-        .groupBy("response_id", "question_id", "answer_ordinal")
+        _with_live_seq(marks, resets, slot, hot_rows)
+        .groupBy("response_id", "question_id", "answer_ordinal", SALT)
         .agg(
             F.sum("clicks").alias("clicks"),
             F.min("seq").alias("first_seq"),
@@ -127,7 +133,7 @@ def fold_click_marks(
             F.min_by("first_ts", "seq").alias("first_ts"),
             F.max_by("last_ts", "seq").alias("last_ts"),
             F.min_by("last_ts", "seq").alias("first_updated"),
-            F.max(live).alias("checked"),
+            F.min("live_seq").alias("checked_seq"),
             F.min_by("first_ts", "live_seq").alias("checked_ts"),
             F.min_by("last_ts", "live_seq").alias("checked_updated"),
         )
@@ -137,8 +143,9 @@ def fold_click_marks(
     )
     is_radio = F.col("type") == "radio"
     is_checkbox = F.col("type") == "checkbox"
-    # A radio question keeps one row; a checkbox or text question keeps one row per option.
-    kept = valid.where(~is_checkbox | F.col("checked")).select(
+    # A radio question keeps one row, from its first to its last click. A checkbox or text question keeps
+    # one row per option, as its first click left it.
+    kept = valid.where(~is_checkbox | F.col("checked_seq").isNotNull()).select(
         "response_id",
         "session_id",
         "event_id",
@@ -147,14 +154,12 @@ def fold_click_marks(
         "answer_ordinal",
         "answer_option_id",
         F.when(is_radio, F.lit(0)).otherwise(F.col("answer_option_id")).cast("bigint").alias("item"),
-        "first_seq",
+        "clicks",
+        F.when(is_checkbox, F.col("checked_seq")).otherwise(F.col("first_seq")).alias("first_seq"),
         "last_seq",
-        F.when(is_radio, F.col("clicks")).otherwise(1).alias("clicks"),
         F.when(is_checkbox, F.col("checked_ts")).otherwise(F.col("first_ts")).alias("first_ts"),
-        F.when(is_radio, F.col("last_ts"))
-        .when(is_checkbox, F.col("checked_updated"))
-        .otherwise(F.col("first_updated"))
-        .alias("last_ts"),
+        F.when(is_checkbox, F.col("checked_updated")).otherwise(F.col("first_updated")).alias("first_updated"),
+        "last_ts",
     )
     return (
         kept.groupBy("response_id", "session_id", "event_id", "question_id", "type", "item")
@@ -162,25 +167,48 @@ def fold_click_marks(
             F.max_by("answer_option_id", "last_seq").alias("answer_option_id"),
             F.max_by("answer_ordinal", "last_seq").alias("answer_ordinal"),
             F.min_by("first_ts", "first_seq").alias("created"),
-            (F.sum("clicks") - 1).alias("revision"),
-            F.max_by("last_ts", "last_seq").alias("updated"),
+            (F.sum("clicks") - 1).alias("revised"),
+            F.max_by("last_ts", "last_seq").alias("last_ts"),
+            F.min_by("first_updated", "first_seq").alias("first_updated"),
+        )
+        .select(
+            "response_id",
+            "session_id",
+            "event_id",
+            "question_id",
+            "type",
+            "answer_option_id",
+            "answer_ordinal",
+            "created",
+            F.when(is_radio, F.col("revised")).otherwise(0).cast("bigint").alias("revision"),
+            F.when(is_radio, F.col("last_ts")).otherwise(F.col("first_updated")).alias("updated"),
         )
-        .drop("item")
     )
 
 
-def fold_text_marks(marks: DataFrame, resets: DataFrame, members: DataFrame, questions: DataFrame) -> DataFrame:
+def fold_text_marks(
+    marks: DataFrame, resets: DataFrame, members: DataFrame, questions: DataFrame, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Text answers with `session_id` and `event_id`: the texts after the last empty one."""
-    live = _with_live_seq(marks, resets, ["response_id", "question_id"]).where("live_seq IS NOT NULL")
+    slot = ["response_id", "question_id"]
+    live = _with_live_seq(marks, resets, slot, hot_rows).where("live_seq IS NOT NULL")
+    parts = live.groupBy(*slot, SALT).agg(
+        F.min("seq").alias("first_seq"),
+        F.max("seq").alias("last_seq"),
+        F.max_by("plaintext", "seq").alias("plaintext"),
+        F.min_by("first_ts", "seq").alias("first_ts"),
+        F.sum("clicks").alias("clicks"),
+        F.max_by("last_ts", "seq").alias("last_ts"),
+    )
     return (
-        live.groupBy("response_id", "question_id")
+        parts.join(members, "response_id")
+        .groupBy("response_id", "session_id", "event_id", "question_id")
         .agg(
-            F.max_by("plaintext", "seq").alias("plaintext"),
-            F.min_by("first_ts", "seq").alias("created"),
+            F.max_by("plaintext", "last_seq").alias("plaintext"),
+            F.min_by("first_ts", "first_seq").alias("created"),
             (F.sum("clicks") - 1).alias("revision"),
-            F.max_by("last_ts", "seq").alias("updated"),
+            F.max_by("last_ts", "last_seq").alias("updated"),
         )
-        .join(members, "response_id")
         .join(questions.select("question_id", "event_id"), ["question_id", "event_id"])
     )
 
@@ -195,42 +223,44 @@ def fold_clicks(
     questions: DataFrame,
     options: DataFrame,
     scoped: bool = False,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Fold the clicks of all question types in one pass over the log."""
+    """Fold the clicks of all question types together."""
     return fold_click_marks(
         click_marks(changes),
         click_resets(changes),
         response_events(responses, sessions),
         click_targets(questions, options),
         scoped,
+        hot_rows,
     )
 
 
 def fold_radio(changes, responses, sessions, questions, options) -> DataFrame:
     """One row per response and radio question: the last option, and how often it was revised.
 
-    No uncheck can reach a radio question, so the log needs no join at all before it is aggregated.
+    No uncheck can reach a radio question, so the log is aggregated without any join before.
     """
-    nothing = click_resets(changes).where(F.lit(False))
     folded = fold_click_marks(
         click_marks(changes),
-        nothing,
+        None,
         response_events(responses, sessions),
         click_targets(questions.where("type = 'radio'"), options),
     )
     return folded.select(ANSWER_COLUMNS)
 
 
-def fold_checkbox(changes, responses, sessions, questions, options, scoped: bool = False) -> DataFrame:
+def fold_checkbox(changes, responses, sessions, questions, options, scoped: bool = False,
+                  hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per checked option: first check after the last uncheck."""
     checkboxes = questions.where("type = 'checkbox'")
-    return fold_clicks(changes, responses, sessions, checkboxes, options, scoped).select(ANSWER_COLUMNS)
+    return fold_clicks(changes, responses, sessions, checkboxes, options, scoped, hot_rows).select(ANSWER_COLUMNS)
 
 
-def fold_plaintext(changes, responses, sessions, questions) -> DataFrame:
+def fold_plaintext(changes, responses, sessions, questions, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per response and question with text."""
     return fold_text_marks(
-        text_marks(changes), text_resets(changes), response_events(responses, sessions), questions
+        text_marks(changes), text_resets(changes), response_events(responses, sessions), questions, hot_rows
     ).select(TEXT_COLUMNS)
 
 
@@ -262,7 +292,8 @@ def touch_responses(responses: DataFrame, changes: DataFrame) -> DataFrame:
     )
 
 
-def apply_changes(tables: dict[str, DataFrame], changes: DataFrame, scoped: bool = False) -> dict[str, DataFrame]:
+def apply_changes(tables: dict[str, DataFrame], changes: DataFrame, scoped: bool = False,
+                  hot_rows: int = HOT_ROWS) -> dict[str, DataFrame]:
     """Apply a log to a snapshot. Returns all tables, the three changed ones replaced."""
     members = response_events(tables["responses"], tables["sessions"])
     questions, options = tables["questions"], tables["answer_options"]
@@ -271,8 +302,9 @@ def apply_changes(tables: dict[str, DataFrame], changes: DataFrame, scoped: bool
         clicks = clicks.unionByName(stored_click_marks(tables["response_answers"], options))
     if "response_plaintext" in tables:
         texts = texts.unionByName(stored_marks(tables["response_plaintext"], "plaintext"))
-    answers = fold_click_marks(clicks, click_resets(changes), members, click_targets(questions, options), scoped)
-    plaintext = fold_text_marks(texts, text_resets(changes), members, questions)
+    targets = click_targets(questions, options)
+    answers = fold_click_marks(clicks, click_resets(changes), members, targets, scoped, hot_rows)
+    plaintext = fold_text_marks(texts, text_resets(changes), members, questions, hot_rows)
     return {
         **tables,
         "response_answers": answers.select(ANSWER_COLUMNS),
@@ -297,7 +329,7 @@ def clicked_options(changes: DataFrame, responses: DataFrame, sessions: DataFram
     )
 
 
-def visible_questions(changes, responses, sessions, questions, options) -> DataFrame:
+def visible_questions(changes, responses, sessions, questions, options, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Questions shown to each respondent: those displayed at once, and the follow-ups of clicked options.
 
     A response is joined to its event's displayed questions as one array, which the unique display order
@@ -311,10 +343,10 @@ def visible_questions(changes, responses, sessions, questions, options) -> DataF
         .groupBy("event_id")
         .agg(F.collect_list("question_id").alias("question_ids"))
     )
-    at_once = (
-        response_events(responses, sessions)
-        .join(displayed, "event_id")
-        .select("response_id", F.explode("question_ids").alias("question_id"))
+    members = response_events(responses, sessions)
+    hot = hot_keys(members, "event_id", hot_rows)
+    at_once = salted_join(members, displayed, hot, "event_id", "response_id").select(
+        "response_id", F.explode("question_ids").alias("question_id")
     )
     follow_ups = options.where("if_selected_show_question_id IS NOT NULL")
     opened = clicked_options(changes, responses, sessions, follow_ups, questions).select(

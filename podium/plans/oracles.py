@@ -284,6 +284,10 @@ CTES["inp_upd"] = """SELECT presenter_id, arg_max(name, seq) AS name, arg_max(id
 CTES["inp_new"] = """SELECT coalesce('i:' || identifier, 'e:' || email) AS ident, arg_max(name, seq) AS name,
     any_value(email) AS email, any_value(identifier) AS identifier FROM @inp_hit WHERE presenter_id IS NULL GROUP BY 1"""
 
+CTES["imported"] = f"""SELECT p.presenter_id, coalesce(u.name, p.name) AS name, coalesce(u.email, p.email) AS email,
+    coalesce(u.identifier, p.identifier) AS identifier FROM @pr p LEFT JOIN @inp_upd u USING (presenter_id)
+    UNION ALL SELECT {hashed('ident', 48)}, name, email, identifier FROM @inp_new"""
+
 # Narrow ids, three draws deep.
 CTES["id0"] = f"SELECT 'order/' || o_orderkey AS k, {hashed("'order/' || o_orderkey", 24)} AS id FROM orders"
 CTES["id_lost"] = """SELECT k FROM (SELECT *, min(k) OVER (PARTITION BY id) AS owner FROM @id0)
@@ -511,10 +515,7 @@ BODIES: dict[str, str] = {
               FROM @rp GROUP BY response_id) USING (response_id)""",
     "report_rows": REPORT_ROWS,
     # Upserts
-    "upsert_presenters": f"""SELECT p.presenter_id, coalesce(u.name, p.name) AS name, coalesce(u.email, p.email) AS email,
-            coalesce(u.identifier, p.identifier) AS identifier, NULL::VARCHAR AS error
-        FROM @pr p LEFT JOIN @inp_upd u USING (presenter_id)
-        UNION ALL SELECT {hashed('ident', 48)}, name, email, identifier, NULL FROM @inp_new""",
+    "upsert_presenters": "SELECT *, NULL::VARCHAR AS error FROM @imported",
     "upsert_sessions": f"""SELECT s.session_id, s.event_id, s.feed_id, coalesce(i.title, s.title) AS title FROM @se s
         LEFT JOIN (SELECT event_id, feed_id, arg_max(title, seq) AS title FROM @ins GROUP BY event_id, feed_id) i
             ON i.event_id = s.event_id AND i.feed_id = s.feed_id
@@ -605,7 +606,7 @@ BODIES: dict[str, str] = {
             WHERE response_id NOT IN (SELECT response_id FROM @doom_r)
         UNION ALL SELECT 'response_plaintext', response_id || '/' || question_id FROM @rp
             WHERE response_id NOT IN (SELECT response_id FROM @doom_r)""",
-    "orphan_presenters": "SELECT * FROM @pr WHERE presenter_id NOT IN (SELECT presented_by_id FROM @sp)",
+    "orphan_presenters": "SELECT * FROM @imported WHERE presenter_id NOT IN (SELECT presented_by_id FROM @sp)",
     # Folds
     "fold_radio": f"SELECT {ANSWERS} FROM @ch_radio",
     "fold_checkbox": f"SELECT {ANSWERS} FROM @ch_check",

@@ -534,7 +534,9 @@ def delete_events(t):
 
 @query
 def orphan_presenters(t):
-    return cascade.orphan_presenters(t.presenters, t.session_presenters)
+    """Speakers without a session after an import of speakers, before any link."""
+    imported, _ = upsert.upsert_presenters(t.presenters, t.incoming_presenters)
+    return cascade.orphan_presenters(imported, t.session_presenters)
 
 
 # Folds

@@ -8,8 +8,7 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# The folds join the change log with small per-response summaries and aggregate the result on the same
-# keys. A response holding a large share of the log is split by AQE only if it may add a shuffle for it.
+# AQE splits skewed partitions of plain joins, also where that costs the aggregate above one more shuffle.
 RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
