@@ -99,12 +99,18 @@ def stored_click_marks(answers: DataFrame, options: DataFrame, seq=BEFORE_LOG) -
 # Folds over marks
 
 
-def _with_live_seq(marks: DataFrame, resets: DataFrame | None, slot: list[str], hot_rows: int) -> DataFrame:
+def busy_responses(log: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Responses with more than `hot_rows` log rows, for salting. Counting reads one column of the log, and
+    one list serves both folds."""
+    return hot_keys(log, "response_id", hot_rows)
+
+
+def _with_live_seq(marks: DataFrame, resets: DataFrame | None, slot: list[str], hot: DataFrame) -> DataFrame:
     """Add `live_seq`, the mark's seq where no later reset hit its slot, else NULL, and the salt."""
     if resets is None:
         return marks.withColumn("live_seq", F.col("seq")).withColumn(SALT, F.lit(0))
     last_reset = resets.groupBy(slot).agg(F.max("seq").alias("reset_seq"))
-    marks, last_reset = salt(marks, last_reset, hot_keys(marks, "response_id", hot_rows), "response_id", "seq")
+    marks, last_reset = salt(marks, last_reset, hot, "response_id", "seq")
     live = F.col("reset_seq").isNull() | (F.col("seq") > F.col("reset_seq"))
     return marks.join(last_reset, [*slot, SALT], "left").withColumn("live_seq", F.when(live, F.col("seq")))
 
@@ -114,8 +120,8 @@ def fold_click_marks(
     resets: DataFrame | None,
     members: DataFrame,
     targets: DataFrame,
+    hot: DataFrame | None = None,
     scoped: bool = False,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Answers of all question types, with `session_id`, `event_id`, `type` and `answer_ordinal`.
 
@@ -124,7 +130,7 @@ def fold_click_marks(
     """
     slot = ["response_id", "question_id", "answer_ordinal"] if scoped else ["response_id", "answer_ordinal"]
     per_option = (
-        _with_live_seq(marks, resets, slot, hot_rows)
+        _with_live_seq(marks, resets, slot, hot)
         .groupBy("response_id", "question_id", "answer_ordinal", SALT)
         .agg(
             F.sum("clicks").alias("clicks"),
@@ -132,10 +138,8 @@ def fold_click_marks(
             F.max("seq").alias("last_seq"),
             F.min_by("first_ts", "seq").alias("first_ts"),
             F.max_by("last_ts", "seq").alias("last_ts"),
-            F.min_by("last_ts", "seq").alias("first_updated"),
             F.min("live_seq").alias("checked_seq"),
             F.min_by("first_ts", "live_seq").alias("checked_ts"),
-            F.min_by("last_ts", "live_seq").alias("checked_updated"),
         )
     )
     valid = per_option.join(members, "response_id").join(
@@ -144,7 +148,7 @@ def fold_click_marks(
     is_radio = F.col("type") == "radio"
     is_checkbox = F.col("type") == "checkbox"
     # A radio question keeps one row, from its first to its last click. A checkbox or text question keeps
-    # one row per option, as its first click left it.
+    # one row per option, which never changes after the click that made it.
     kept = valid.where(~is_checkbox | F.col("checked_seq").isNotNull()).select(
         "response_id",
         "session_id",
@@ -158,7 +162,6 @@ def fold_click_marks(
         F.when(is_checkbox, F.col("checked_seq")).otherwise(F.col("first_seq")).alias("first_seq"),
         "last_seq",
         F.when(is_checkbox, F.col("checked_ts")).otherwise(F.col("first_ts")).alias("first_ts"),
-        F.when(is_checkbox, F.col("checked_updated")).otherwise(F.col("first_updated")).alias("first_updated"),
         "last_ts",
     )
     return (
@@ -169,7 +172,6 @@ def fold_click_marks(
             F.min_by("first_ts", "first_seq").alias("created"),
             (F.sum("clicks") - 1).alias("revised"),
             F.max_by("last_ts", "last_seq").alias("last_ts"),
-            F.min_by("first_updated", "first_seq").alias("first_updated"),
         )
         .select(
             "response_id",
@@ -181,17 +183,17 @@ def fold_click_marks(
             "answer_ordinal",
             "created",
             F.when(is_radio, F.col("revised")).otherwise(0).cast("bigint").alias("revision"),
-            F.when(is_radio, F.col("last_ts")).otherwise(F.col("first_updated")).alias("updated"),
+            F.when(is_radio, F.col("last_ts")).otherwise(F.col("created")).alias("updated"),
         )
     )
 
 
 def fold_text_marks(
-    marks: DataFrame, resets: DataFrame, members: DataFrame, questions: DataFrame, hot_rows: int = HOT_ROWS
+    marks: DataFrame, resets: DataFrame, members: DataFrame, questions: DataFrame, hot: DataFrame
 ) -> DataFrame:
     """Text answers with `session_id` and `event_id`: the texts after the last empty one."""
     slot = ["response_id", "question_id"]
-    live = _with_live_seq(marks, resets, slot, hot_rows).where("live_seq IS NOT NULL")
+    live = _with_live_seq(marks, resets, slot, hot).where("live_seq IS NOT NULL")
     parts = live.groupBy(*slot, SALT).agg(
         F.min("seq").alias("first_seq"),
         F.max("seq").alias("last_seq"),
@@ -231,8 +233,8 @@ def fold_clicks(
         click_resets(changes),
         response_events(responses, sessions),
         click_targets(questions, options),
+        busy_responses(changes, hot_rows),
         scoped,
-        hot_rows,
     )
 
 
@@ -260,7 +262,11 @@ def fold_checkbox(changes, responses, sessions, questions, options, scoped: bool
 def fold_plaintext(changes, responses, sessions, questions, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per response and question with text."""
     return fold_text_marks(
-        text_marks(changes), text_resets(changes), response_events(responses, sessions), questions, hot_rows
+        text_marks(changes),
+        text_resets(changes),
+        response_events(responses, sessions),
+        questions,
+        busy_responses(changes, hot_rows),
     ).select(TEXT_COLUMNS)
 
 
@@ -303,8 +309,9 @@ def apply_changes(tables: dict[str, DataFrame], changes: DataFrame, scoped: bool
     if "response_plaintext" in tables:
         texts = texts.unionByName(stored_marks(tables["response_plaintext"], "plaintext"))
     targets = click_targets(questions, options)
-    answers = fold_click_marks(clicks, click_resets(changes), members, targets, scoped, hot_rows)
-    plaintext = fold_text_marks(texts, text_resets(changes), members, questions, hot_rows)
+    hot = busy_responses(changes, hot_rows)
+    answers = fold_click_marks(clicks, click_resets(changes), members, targets, hot, scoped)
+    plaintext = fold_text_marks(texts, text_resets(changes), members, questions, hot)
     return {
         **tables,
         "response_answers": answers.select(ANSWER_COLUMNS),

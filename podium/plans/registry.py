@@ -102,7 +102,7 @@ def template_seed_options(t):
 @query
 def write_event_reports(t):
     path = fresh_path(t.spark, "reports")
-    sinks.write_event_reports(documents.report_parts(t.folded), path)
+    sinks.write_event_reports(documents.report_parts(t.published), path)
     written = t.spark.read.schema("event_id BIGINT, part STRING, part_id STRING, body STRING").json(path)
     body = lambda key: F.get_json_object("body", f"$.{key}")
     size = lambda key: F.json_array_length(body(key)).cast("bigint")
@@ -366,7 +366,7 @@ def questionnaire_options(t):
 @query
 def event_report(t):
     """Leaf rows of the nested report: one per response."""
-    reports = documents.event_report(t.secrets, t.folded)
+    reports = documents.event_report(t.secrets, t.published)
     rows = reports.select(
         "request_id", "event_id", "name",
         F.size("presenters").cast("bigint").alias("n_presenters"), F.size("questions").cast("bigint").alias("n_questions"),
@@ -498,7 +498,7 @@ def insert_answer_options(t):
 @query
 def delete_questions(t):
     """Remaining questions and rejected requests."""
-    result, rejected = cascade.delete_questions(t.folded, t.deleted_questions)
+    result, rejected = cascade.delete_questions(t.published, t.deleted_questions)
     return union(
         result["questions"].select("question_id", "display_order", F.lit(None).cast("string").alias("error")),
         rejected.select("question_id", F.lit(None).cast("smallint").alias("display_order"), "error"),
@@ -507,14 +507,14 @@ def delete_questions(t):
 
 @query
 def delete_questions_answers(t):
-    result, _ = cascade.delete_questions(t.folded, t.deleted_questions)
+    result, _ = cascade.delete_questions(t.published, t.deleted_questions)
     return result["response_answers"]
 
 
 @query
 def delete_events(t):
     """Keys of all rows that remain in the ten tables."""
-    result, _ = cascade.delete_events(t.folded, t.deleted_events)
+    result, _ = cascade.delete_events(t.published, t.deleted_events)
     keys = {
         "events": ["event_id"], "event_users": ["event_id", "user"], "presenters": ["presenter_id"],
         "sessions": ["session_id"], "session_presenters": ["session_id", "presented_by_id"],
@@ -580,8 +580,8 @@ def _state_rows(state):
 
 @query
 def apply_changes(t):
-    """The line-item log folded first, then the event stream's log applied onto that snapshot."""
-    return _state_rows(fold.apply_changes(t.folded, t.stream_changes))
+    """The event stream's log applied onto the stored snapshot of the line-item log."""
+    return _state_rows(fold.apply_changes(t.published, t.stream_changes))
 
 
 @query
@@ -612,8 +612,8 @@ def answer_bands(t):
 
 
 def _broken(t):
-    """The folded tables with every kind of rule broken in places."""
-    broken = dict(t.folded)
+    """The stored tables with every kind of rule broken in places."""
+    broken = dict(t.published)
     broken["sessions"] = t.sessions.withColumn("feed_id", F.expr("feed_id div 2")).unionByName(
         t.sessions.where("title LIKE 'red%'")
     )
@@ -626,7 +626,7 @@ def _broken(t):
     broken["answer_options"] = t.answer_options.withColumn("percent_value", F.expr("CAST(percent_value * 2 AS SMALLINT)")).withColumn(
         "annotation", F.expr("repeat(annotation, 6)")
     )
-    broken["responses"] = t.folded["responses"].where("created < timestamp_ntz'2001-01-01 00:00:00'")
+    broken["responses"] = t.published["responses"].where("created < timestamp_ntz'2001-01-01 00:00:00'")
     return broken
 
 
@@ -659,7 +659,7 @@ def dq_not_null_length(t):
 def dq_summary(t):
     """Violations per rule on the clean tables: all zero."""
     rules = [r[0] for r in quality.UNIQUE + quality.UNIQUE_WHERE + quality.REFERENCES + quality.DOMAINS]
-    clean = t.folded
+    clean = t.published
     findings = union(
         quality.dq_unique(clean), quality.dq_unique_filtered(clean), quality.dq_foreign_keys(clean), quality.dq_domain(clean)
     )

@@ -20,6 +20,17 @@ from podium.sources.schemas import TABLES
 EVENT_OF_PART = "p_partkey div 20 + 1"
 EVENT_OF_ORDER = "o_custkey div 20 + 1"
 
+# The columns used of the generated tables; naming them saves a look into the files per read.
+GENERATED = {
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_mktsegment STRING",
+    "part": "p_partkey BIGINT, p_name STRING, p_type STRING, p_size INT",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderdate TIMESTAMP_NTZ",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+    "l_returnflag STRING, l_shipdate TIMESTAMP_NTZ",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, props STRING",
+}
+
 # Paths of the written question tables, by application, folder and table.
 _WRITTEN: dict[tuple[str, str, str], str] = {}
 
@@ -34,7 +45,7 @@ class TestTables:
         self.folder = folder
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(os.path.join(self.folder, f"{name}.parquet"))
+        return self.spark.read.schema(GENERATED[name]).parquet(os.path.join(self.folder, f"{name}.parquet"))
 
     def written(self, name: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """Write a table once per application and read it back. The planner takes a literal array exploded
@@ -356,6 +367,19 @@ class TestTables:
 
         return apply_changes(self.stored, self.answer_changes)
 
+    @cached_property
+    def published(self) -> dict[str, DataFrame]:
+        """The folded tables as a stored snapshot, written once per application: what the operators on
+        stored tables read."""
+        from podium.sources.tables import load_feedback, save_feedback
+
+        key = (self.spark.sparkContext.applicationId, self.folder, "snapshot")
+        if key not in _WRITTEN:
+            path = fresh_path(self.spark, "snapshot")
+            save_feedback(self.folded, path)
+            _WRITTEN[key] = path
+        return load_feedback(self.spark, _WRITTEN[key])
+
     @cached_property
     def stored(self) -> dict[str, DataFrame]:
         """The eight tables that need no fold."""

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from podium.sources.schemas import TABLES
 
@@ -18,7 +20,14 @@ def load_feedback(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 
 def save_feedback(tables: dict[str, DataFrame], folder: str) -> None:
-    """Publish a snapshot to a new folder. An existing one is never overwritten: it may be being read."""
-    for name, schema in TABLES.items():
-        columns = [tables[name][f.name].cast(f.dataType).alias(f.name) for f in schema.fields]
+    """Publish a snapshot to a new folder. An existing one is never overwritten: it may be being read.
+
+    The tables are independent jobs and are submitted together, so that small ones fill the gaps of large.
+    """
+
+    def save(name: str) -> None:
+        columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[name].fields]
         tables[name].select(columns).write.mode("errorifexists").parquet(os.path.join(folder, name))
+
+    with ThreadPoolExecutor(len(TABLES)) as pool:
+        list(pool.map(save, TABLES))

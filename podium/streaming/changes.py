@@ -40,10 +40,11 @@ def batch_delta(changes: DataFrame, dims: dict[str, DataFrame], scoped: bool = F
     """What a batch of changes leaves behind, whatever came before it."""
     members = fold.response_events(dims["responses"], dims["sessions"])
     questions, options = dims["questions"], dims["answer_options"]
+    hot = fold.busy_responses(changes)
     answers = fold.fold_click_marks(
-        fold.click_marks(changes), fold.click_resets(changes), members, fold.click_targets(questions, options), scoped
+        fold.click_marks(changes), fold.click_resets(changes), members, fold.click_targets(questions, options), hot, scoped
     )
-    texts = fold.fold_text_marks(fold.text_marks(changes), fold.text_resets(changes), members, questions)
+    texts = fold.fold_text_marks(fold.text_marks(changes), fold.text_resets(changes), members, questions, hot)
     slot = ["response_id", "question_id", "answer_ordinal"] if scoped else ["response_id", "answer_ordinal"]
     unchecks = fold.click_resets(changes).select(*slot).distinct()
     clears = fold.text_resets(changes).select("response_id", "question_id").distinct()
@@ -97,6 +98,8 @@ def merge_deltas(deltas: DataFrame, dims: dict[str, DataFrame], scoped: bool = F
     questions, options = dims["questions"], dims["answer_options"]
     reset_at, left_at = F.col("batch_id") * 2, F.col("batch_id") * 2 + 1
 
+    hot = fold.busy_responses(deltas)
+
     def records(kind: str) -> DataFrame:
         return deltas.where(F.col("record") == kind)
 
@@ -105,6 +108,7 @@ def merge_deltas(deltas: DataFrame, dims: dict[str, DataFrame], scoped: bool = F
         records("uncheck").select("response_id", "question_id", "answer_ordinal", reset_at.alias("seq")),
         members,
         fold.click_targets(questions, options),
+        hot,
         scoped,
     )
     texts = fold.fold_text_marks(
@@ -112,6 +116,7 @@ def merge_deltas(deltas: DataFrame, dims: dict[str, DataFrame], scoped: bool = F
         records("clear").select("response_id", "question_id", reset_at.alias("seq")),
         members,
         questions,
+        hot,
     )
     touches = records("touch").select("response_id", F.col("updated").alias("ts"), left_at.alias("seq"))
     return {

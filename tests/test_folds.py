@@ -158,7 +158,8 @@ def test_hot_responses_are_salted_and_fold_the_same(spark, survey, log):
     assert rows_of(fold.apply_changes(tables, changes)) == expected
 
     salted = fold._with_live_seq(
-        fold.click_marks(changes), fold.click_resets(changes), ["response_id", "answer_ordinal"], hot_rows=50
+        fold.click_marks(changes), fold.click_resets(changes), ["response_id", "answer_ordinal"],
+        fold.busy_responses(changes, 50),
     )
     salts = {r.response_id: r.n for r in salted.groupBy("response_id").agg(F.countDistinct("_salt").alias("n")).collect()}
     assert salts[7] > 5 and all(n == 1 for r, n in salts.items() if r not in (7, -1))
