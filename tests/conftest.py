@@ -12,7 +12,7 @@ from podium.sources.schemas import ANSWER_CHANGES, TABLES  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, shuffle_partitions=4)
+    session = local_session(4, shuffle_partitions=2, **{"spark.sql.codegen.wholeStage": "false"})
     yield session
     session.stop()
 
