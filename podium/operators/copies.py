@@ -6,22 +6,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from podium.functions.ids import assign_ids
+from podium.functions.skew import hot_keys, salted_join
 from podium.operators.lookup import resolve_template
 
 
 def create_events(tables: dict[str, DataFrame], requests: DataFrame, store_key: bool = False,
                   bits: int = 48) -> dict[str, DataFrame]:
+    """Create or update events and copy the questionnaires of their templates.
+
+    Adds the snapshots `questions` and `answer_options` to the result of `create_event_rows`.
+    """
+    result = create_event_rows(tables["events"], requests, store_key, bits)
+    questions, options = copy_questionnaires(tables["questions"], tables["answer_options"], result["copies"])
+    return {
+        **result,
+        "questions": tables["questions"].unionByName(questions),
+        "answer_options": tables["answer_options"].unionByName(options),
+    }
+
+
+def create_event_rows(events: DataFrame, requests: DataFrame, store_key: bool = False,
+                      bits: int = 48) -> dict[str, DataFrame]:
     """Apply create-event requests in the order of request_id.
 
     `requests` has request_id, name, from_template_event_id, from_template_name, is_template, css,
-    accepts_from, accepts_to, api_key and event_secret. Returns the snapshots `events`, `questions` and
-    `answer_options`, the `created` pairs (request_id, event_id, event_secret), and `rejected`.
+    accepts_from, accepts_to, api_key and event_secret. Returns the snapshot `events`, the pairs `created`
+    (request_id, event_id, event_secret), the `copies` to make (event_id, template_id), and `rejected`.
 
     A request with the API key of a stored event, or of one that an earlier request of the batch created,
     updates that event: every field is overwritten, also with NULL, and no secret is returned. Without a
     template the API key is not stored unless `store_key`.
     """
-    events = tables["events"]
     keyed_events = events.where("api_key IS NOT NULL").select("api_key", F.col("event_id").alias("known_id"))
     requests = requests.join(keyed_events, "api_key", "left")
 
@@ -41,8 +56,10 @@ def create_events(tables: dict[str, DataFrame], requests: DataFrame, store_key:
         .agg(F.min("request_id").alias("creator_id"))
     )
 
+    popular = hot_keys(requests, "api_key")
+
     def after_creator(df: DataFrame) -> DataFrame:
-        return df.join(creators, "api_key", "left").withColumn(
+        return salted_join(df, creators, popular, "api_key", "request_id", "left").withColumn(
             "repeats", F.coalesce(F.col("request_id") > F.col("creator_id"), F.lit(False))
         )
 
@@ -52,7 +69,7 @@ def create_events(tables: dict[str, DataFrame], requests: DataFrame, store_key:
     created = assign_ids(
         resolved.where("NOT repeats").withColumn("identity", identity), "identity", bits,
         events.select("event_id"), "event_id",
-    )
+    ).checkpoint()
     new_events = created.select(
         "event_id",
         F.coalesce("name", "t_name").alias("name"),
@@ -86,12 +103,10 @@ def create_events(tables: dict[str, DataFrame], requests: DataFrame, store_key:
     copies = created.where("from_template_event_id IS NOT NULL").select(
         "event_id", F.col("from_template_event_id").alias("template_id")
     )
-    questions, options = copy_questionnaires(tables["questions"], tables["answer_options"], copies)
     return {
         "events": snapshot,
-        "questions": tables["questions"].unionByName(questions),
-        "answer_options": tables["answer_options"].unionByName(options),
         "created": created.select("request_id", "event_id", "event_secret"),
+        "copies": copies,
         "rejected": unknown.where("NOT repeats").select("request_id", "from_template_name", "error"),
     }
 
@@ -103,7 +118,7 @@ def copy_questionnaires(questions: DataFrame, options: DataFrame, copies: DataFr
     """
     copied = questions.withColumnRenamed("event_id", "template_id").join(copies, "template_id")
     copied = copied.withColumn("identity", F.concat_ws("/", F.lit("question"), "event_id", "question_id"))
-    copied = assign_ids(copied, "identity", 60, questions.select("question_id"), "new_question_id")
+    copied = assign_ids(copied, "identity", 60, questions.select("question_id"), "new_question_id").checkpoint()
     id_map = copied.select("event_id", "question_id", "new_question_id")
     new_questions = copied.select(
         F.col("new_question_id").alias("question_id"), "event_id", "display_order", "question", "description",

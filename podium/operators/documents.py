@@ -39,9 +39,11 @@ def sessions_blob(listing: DataFrame, **limit: int) -> DataFrame:
 
 def admin_event_info(requests: DataFrame, events: DataFrame, sessions: DataFrame, session_presenters: DataFrame,
                      presenters: DataFrame, **limit: int) -> DataFrame:
-    """Per request with a known secret: the event and its sessions."""
-    blobs = sessions_blob(session_listing(sessions, events, session_presenters, presenters), **limit)
+    """Per request with a known secret: the event and its sessions. Only the requested events are listed."""
     wanted = events_by_secret(requests, events)
+    event_ids = wanted.select("event_id").distinct()
+    asked = sessions.join(event_ids, "event_id", "left_semi")
+    blobs = sessions_blob(session_listing(asked, events, session_presenters, presenters, restrict=True), **limit)
     return wanted.join(
         events.select("event_id", "name", "css").join(blobs, "event_id", "left"), "event_id"
     ).withColumn("sessions_inline", F.coalesce("sessions_inline", F.lit(True)))
@@ -196,12 +198,29 @@ def _report_responses(tables: dict[str, DataFrame]) -> DataFrame:
     )
 
 
+def restrict_to_events(tables: dict[str, DataFrame], event_ids: DataFrame) -> dict[str, DataFrame]:
+    """The tables of a report for some events. Each semi-join is on the key its table is grouped by next, so
+    the cut costs no shuffle of its own there."""
+    kept = dict(tables)
+    for name in ("events", "sessions", "questions"):
+        kept[name] = tables[name].join(event_ids, "event_id", "left_semi")
+    kept["session_presenters"] = tables["session_presenters"].join(kept["sessions"], "session_id", "left_semi")
+    kept["responses"] = tables["responses"].join(kept["sessions"], "session_id", "left_semi")
+    kept["answer_options"] = tables["answer_options"].join(kept["questions"], "question_id", "left_semi")
+    for name in ("response_answers", "response_plaintext"):
+        kept[name] = tables[name].join(kept["responses"], "response_id", "left_semi")
+    return kept
+
+
 def event_report(requests: DataFrame, tables: dict[str, DataFrame], **limit: int) -> DataFrame:
     """Per request with a known secret the whole report, nested bottom-up.
 
-    Lists are collected per response, then per session, then per event, so a popular session never meets
-    its whole event in one row unless both fit. `report_parts` has events of any size.
+    Every table is cut down to the requested events before anything is nested. Lists are collected per
+    response, then per session, then per event, so a popular session never meets its whole event in one
+    row unless both fit. `report_parts` has events of any size.
     """
+    wanted = events_by_secret(requests, tables["events"])
+    tables = restrict_to_events(tables, wanted.select("event_id").distinct())
     events, sessions = tables["events"], tables["sessions"]
     presenters = inline_list(_event_presenters(tables), "event_id", ["presenter_id"], F.col("item"), "presenters", **limit)
     questions = small_list(
@@ -240,7 +259,7 @@ def event_report(requests: DataFrame, tables: dict[str, DataFrame], **limit: int
         .withColumn("presenters_inline", F.coalesce("presenters_inline", F.lit(True)))
         .withColumn("sessions_inline", F.coalesce("sessions_inline", F.lit(True)))
     )
-    return events_by_secret(requests, events).join(reports, "event_id")
+    return wanted.join(reports, "event_id")
 
 
 def event_report_json(reports: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from podium.functions.nest import inline_list
+from podium.functions.skew import hot_keys, salted_join
 from podium.functions.text import event_link, matches, qr_link, session_link, speaker_names
 
 # The window of an event without limits.
@@ -23,9 +24,9 @@ def resolve_template(requests: DataFrame, events: DataFrame) -> tuple[DataFrame,
     """Fill `from_template_event_id` of requests that name a template. An unknown name falls back on the id
     given with it, and is rejected without one."""
     templates = events.where("is_template").groupBy("name").agg(F.min("event_id").alias("template_id"))
-    named = requests.join(
-        templates.withColumnRenamed("name", "from_template_name"), "from_template_name", "left"
-    ).select(*requests.columns, F.coalesce("template_id", "from_template_event_id").alias("template_id"))
+    templates = templates.withColumnRenamed("name", "from_template_name")
+    popular = hot_keys(requests, "from_template_name")
+    named = salted_join(requests, templates, popular, "from_template_name", "request_id", "left").select(*requests.columns, F.coalesce("template_id", "from_template_event_id").alias("template_id"))
     missing = F.col("from_template_name").isNotNull() & F.col("template_id").isNull()
     resolved = named.where(~missing).withColumn("from_template_event_id", F.col("template_id")).drop("template_id")
     rejected = named.where(missing).drop("template_id").withColumn(
@@ -77,13 +78,20 @@ def session_speakers(session_presenters: DataFrame, presenters: DataFrame, order
 
 
 def session_listing(sessions: DataFrame, events: DataFrame, session_presenters: DataFrame,
-                    presenters: DataFrame) -> DataFrame:
-    """Rows of a session list: id, event, title, style sheet and speakers by name."""
+                    presenters: DataFrame, restrict: bool = False) -> DataFrame:
+    """Rows of a session list: id, event, title, style sheet and speakers by name.
+
+    `restrict` says that `sessions` is a part of all sessions; the links are then cut down to it before
+    their lists are built. The cut uses the partitioning the lists need anyway.
+    """
+    links = session_presenters
+    if restrict:
+        links = links.join(sessions.select("session_id"), "session_id", "left_semi")
     return (
-        sessions.select("session_id", "event_id", "title")
-        .join(events.select("event_id", "css"), "event_id")
-        .join(session_speakers(session_presenters, presenters), "session_id", "left")
+        sessions.join(events.select("event_id", "css"), "event_id")
+        .join(session_speakers(links, presenters), "session_id", "left")
         .withColumn("presenters_inline", F.coalesce("presenters_inline", F.lit(True)))
+        .drop("feed_id")
     )
 
 
@@ -133,32 +141,42 @@ def requested_events(requests: DataFrame, responses: DataFrame, sessions: DataFr
     return by_response.unionByName(by_event)
 
 
-def _list_events(listing: DataFrame, event_ids: DataFrame) -> DataFrame:
+def _list_events(event_ids: DataFrame, catalog: dict[str, DataFrame]) -> DataFrame:
     asked = event_ids.groupBy("event_id").agg(F.count("*").alias("n_requests"))
-    return listing.join(asked, "event_id")
+    return _listing_of(catalog["sessions"].join(asked, "event_id"), catalog)
 
 
-def sessions_by_response(requests: DataFrame, responses: DataFrame, sessions: DataFrame,
-                         listing: DataFrame) -> DataFrame:
-    """All sessions of the events the responses belong to."""
+def _listing_of(sessions: DataFrame, catalog: dict[str, DataFrame]) -> DataFrame:
+    return session_listing(
+        sessions, catalog["events"], catalog["session_presenters"], catalog["presenters"], restrict=True
+    )
+
+
+def sessions_by_response(requests: DataFrame, responses: DataFrame, catalog: dict[str, DataFrame]) -> DataFrame:
+    """All sessions of the events the responses belong to. `catalog` holds events, sessions,
+    session_presenters and presenters."""
     members = (
         requests.select("response_id")
         .join(responses.select("response_id", "session_id"), "response_id")
-        .join(sessions.select("session_id", "event_id"), "session_id")
+        .join(catalog["sessions"].select("session_id", "event_id"), "session_id")
     )
-    return _list_events(listing, members.select("event_id"))
+    return _list_events(members.select("event_id"), catalog)
 
 
-def sessions_by_presenter_event(requests: DataFrame, session_presenters: DataFrame, listing: DataFrame,
-                                strict: bool = False) -> DataFrame:
+def sessions_by_presenter_event(requests: DataFrame, catalog: dict[str, DataFrame], strict: bool = False) -> DataFrame:
     """All sessions of the requested events; `strict=True` keeps only the requested speaker's."""
     if not strict:
-        return _list_events(listing, requests.select("event_id"))
+        return _list_events(requests.select("event_id"), catalog)
     pairs = requests.groupBy("presenter_id", "event_id").agg(F.count("*").alias("n_requests"))
-    links = session_presenters.select("session_id", F.col("presented_by_id").alias("presenter_id"))
-    return listing.join(links, "session_id").join(pairs, ["presenter_id", "event_id"])
+    links = catalog["session_presenters"].select("session_id", F.col("presented_by_id").alias("presenter_id"))
+    wanted = links.join(catalog["sessions"].select("session_id", "event_id"), "session_id").join(
+        pairs, ["presenter_id", "event_id"]
+    )
+    asked = wanted.select("session_id", "presenter_id", "n_requests")
+    sessions = catalog["sessions"].join(asked.select("session_id").distinct(), "session_id", "left_semi")
+    return _listing_of(sessions, catalog).join(asked, "session_id")
 
 
-def sessions_by_event(requests: DataFrame, listing: DataFrame) -> DataFrame:
+def sessions_by_event(requests: DataFrame, catalog: dict[str, DataFrame]) -> DataFrame:
     """All sessions of the requested events."""
-    return _list_events(listing, requests.select("event_id"))
+    return _list_events(requests.where("event_id IS NOT NULL").select("event_id"), catalog)

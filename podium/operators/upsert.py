@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from podium.functions.ids import assign_ids
+from podium.functions.skew import hot_keys, salted_join
 from podium.operators.lookup import accepts
 
 
@@ -174,7 +175,8 @@ def upsert_session_presenters(session_presenters: DataFrame, incoming: DataFrame
         .agg(F.max_by("presenter_id", "seq").alias("owner_id"))
     )
     keeps = F.col("is_owner") & (F.col("owner_id").isNull() | (F.col("owner_id") == F.col("presenter_id")))
-    return per_link.join(owners, "session_id", "left").select(
+    large = hot_keys(per_link, "session_id")
+    return salted_join(per_link, owners, large, "session_id", "presenter_id", "left").select(
         "session_id", F.col("presenter_id").alias("presented_by_id"), keeps.alias("is_session_owner")
     )
 

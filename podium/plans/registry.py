@@ -250,25 +250,25 @@ def requested_events(t):
 
 @query
 def sessions_by_response(t):
-    rows = lookup.sessions_by_response(t.session_requests, t.responses, t.sessions, _listing(t))
+    rows = lookup.sessions_by_response(t.session_requests, t.responses, t.stored)
     return _listing_rows(rows, "n_requests")
 
 
 @query
 def sessions_by_presenter_event(t):
-    rows = lookup.sessions_by_presenter_event(t.presenter_requests, t.session_presenters, _listing(t))
+    rows = lookup.sessions_by_presenter_event(t.presenter_requests, t.stored)
     return _listing_rows(rows, "n_requests")
 
 
 @query
 def sessions_by_presenter_event_strict(t):
-    rows = lookup.sessions_by_presenter_event(t.presenter_requests, t.session_presenters, _listing(t), strict=True)
+    rows = lookup.sessions_by_presenter_event(t.presenter_requests, t.stored, strict=True)
     return _listing_rows(rows, "presenter_id", "n_requests")
 
 
 @query
 def sessions_by_event(t):
-    rows = lookup.sessions_by_event(t.session_requests.where("event_id IS NOT NULL"), _listing(t))
+    rows = lookup.sessions_by_event(t.session_requests, t.stored)
     return _listing_rows(rows, "n_requests")
 
 
@@ -424,7 +424,7 @@ def _created(t):
 
 @query
 def create_events(t):
-    return _created(t)["events"]
+    return copies.create_event_rows(t.events, t.event_requests)["events"]
 
 
 @query
@@ -439,7 +439,7 @@ def create_events_options(t):
 
 @query
 def create_events_results(t):
-    result = _created(t)
+    result = copies.create_event_rows(t.events, t.event_requests)
     none = F.lit(None)
     return union(
         result["created"].withColumn("error", none.cast("string")),

@@ -159,10 +159,9 @@ def test_session_requests(spark, tables):
     assert routes == {1: "response", 2: "presenter_event", 3: "event", 4: "rejected", 5: "event", 6: "response"}
     events = {r.request_id: r.event_id for r in lookup.requested_events(requests, tables["responses"], tables["sessions"]).collect()}
     assert events == {1: 1, 2: 1, 3: 1, 5: 1}
-    listing = lookup.session_listing(*[tables[n] for n in ("sessions", "events", "session_presenters", "presenters")])
     pairs = spark.createDataFrame([(2, 1)], "presenter_id BIGINT, event_id BIGINT")
-    loose = lookup.sessions_by_presenter_event(pairs, tables["session_presenters"], listing)
-    strict = lookup.sessions_by_presenter_event(pairs, tables["session_presenters"], listing, strict=True)
+    loose = lookup.sessions_by_presenter_event(pairs, tables)
+    strict = lookup.sessions_by_presenter_event(pairs, tables, strict=True)
     assert sorted(r.session_id for r in loose.collect()) == [11, 12]
     assert [r.session_id for r in strict.collect()] == [11]
 
