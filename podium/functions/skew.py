@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 # Rows of one key that a task can take; a key with more is spread over as many tasks as needed.
 HOT_ROWS = 1_000_000
 SALT = "_salt"
+# Places for rows with a NULL key.
+NULL_SALTS = 4096
 
 
 def hot_keys(many: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -24,10 +26,12 @@ def hot_keys(many: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
 
 def salt(many: DataFrame, one: DataFrame, hot: DataFrame, key: str, spread: str) -> tuple[DataFrame, DataFrame]:
     """Add the column `_salt` to both sides: rows of a hot key are spread by the column `spread` on the many
-    side and repeated per salt on the other. All other rows have salt 0."""
+    side and repeated per salt on the other. All other rows have salt 0, but those with a NULL key, which
+    match nothing and may be many, are spread as well."""
     n = F.coalesce("_salts", F.lit(1))
+    spread_rows = F.when(F.col(key).isNull(), F.lit(NULL_SALTS)).otherwise(n)
     many = many.join(F.broadcast(hot), key, "left").withColumn(
-        SALT, F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), n).cast("int"))
+        SALT, F.pmod(F.xxhash64(spread), spread_rows).cast("int")
     )
     one = one.join(F.broadcast(hot), key, "left").withColumn(SALT, F.explode(F.sequence(F.lit(0), n - 1)))
     return many.drop("_salts"), one.drop("_salts")
@@ -37,3 +41,9 @@ def salted_join(many: DataFrame, one: DataFrame, hot: DataFrame, key: str, sprea
     """Join on `key`, hot keys spread out."""
     left, right = salt(many, one, hot, key, spread)
     return left.join(right, [key, SALT], how).drop(SALT)
+
+
+def nullable_left_join(many: DataFrame, one: DataFrame, key: str, spread: str) -> DataFrame:
+    """Left join on a key that is NULL in many rows, which would all meet in one partition."""
+    place = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(spread), F.lit(NULL_SALTS)).cast("int")).otherwise(0)
+    return many.withColumn(SALT, place).join(one.withColumn(SALT, F.lit(0)), [key, SALT], "left").drop(SALT)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from podium.functions.skew import nullable_left_join
 from podium.operators.questions import pack_order
 
 
@@ -46,7 +47,9 @@ def delete_questions(tables: dict[str, DataFrame], ids: DataFrame, cascade: bool
     if cascade:
         result["response_plaintext"] = tables["response_plaintext"].join(doomed, "question_id", "left_anti")
         gone = doomed.select(F.col("question_id").alias("if_selected_show_question_id"), F.lit(True).alias("gone"))
-        cleared = result["answer_options"].join(gone, "if_selected_show_question_id", "left")
+        cleared = nullable_left_join(
+            result["answer_options"], gone, "if_selected_show_question_id", "answer_option_id"
+        )
         result["answer_options"] = cleared.withColumn(
             "if_selected_show_question_id",
             F.when(F.col("gone").isNull(), F.col("if_selected_show_question_id")),

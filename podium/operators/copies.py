@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from podium.functions.ids import assign_ids
-from podium.functions.skew import hot_keys, salted_join
+from podium.functions.skew import hot_keys, nullable_left_join, salted_join
 from podium.operators.lookup import resolve_template
 
 
@@ -89,7 +89,7 @@ def create_event_rows(events: DataFrame, requests: DataFrame, store_key: bool =
         .groupBy("api_key")
         .agg(F.max_by(F.struct(fields[1:]), "request_id").alias("u"))
     )
-    after = events.unionByName(new_events).join(updates, "api_key", "left")
+    after = nullable_left_join(events.unionByName(new_events), updates, "api_key", "event_id")
 
     def field(new: str, old: str):
         return F.when(F.col("u").isNotNull(), F.col(f"u.{new}")).otherwise(F.col(old)).alias(old)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from podium.functions.ids import assign_ids
-from podium.functions.skew import hot_keys, salted_join
+from podium.functions.skew import hot_keys, nullable_left_join, salted_join
 from podium.operators.lookup import accepts
 
 
@@ -76,11 +76,10 @@ def upsert_presenters(presenters: DataFrame, incoming: DataFrame) -> tuple[DataF
         .groupBy("email")
         .agg(F.max_by("identifier", "seq").alias("email_identifier"))
     )
-    unmatched = (
-        unmatched.join(by_identifier, "identifier", "left")
-        .join(by_email, "email", "left")
-        .join(emails, "email", "left")
-        .withColumn("presenter_id", F.coalesce("by_identifier", "by_email"))
+    per_email = by_email.join(emails, "email", "full_outer")
+    unmatched = nullable_left_join(unmatched, by_identifier, "identifier", "seq")
+    unmatched = nullable_left_join(unmatched, per_email, "email", "seq").withColumn(
+        "presenter_id", F.coalesce("by_identifier", "by_email")
     )
     late = unmatched.where("presenter_id IS NOT NULL").select("email", "identifier", "name", "seq", "presenter_id")
     changes = (
