@@ -15,7 +15,7 @@ HEADLINE = [
     "report_rows", "apply_changes", "stream_apply_changes", "event_report", "questionnaire", "fold_radio",
     "fold_checkbox", "fold_plaintext", "visible_questions", "answer_bands", "touch_responses", "question_indent",
     "sessions_by_response", "upsert_presenters", "upsert_sessions", "upsert_session_presenters",
-    "create_events_options", "insert_questions", "update_questions", "init_responses", "assign_ids_narrow",
+    "create_events_options", "insert_questions", "update_questions", "init_responses", "assign_ids",
     "delete_events", "write_event_reports", "dq_unique", "dq_foreign_keys", "dq_not_null_length",
 ]
 SLOW = {"stream_apply_changes", "write_event_reports"}

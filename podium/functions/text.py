@@ -33,3 +33,9 @@ def qr_link(session_id: str = "session_id") -> Column:
 def matches(needle: str, *texts: Column) -> Column:
     """Case-insensitive substring search over texts shown on separate lines; an empty needle matches all."""
     return F.contains(F.lower(F.concat_ws("\n", *texts)), F.lower(F.lit(needle)))
+
+
+def collated(column: Column | str, collation: str | None) -> Column:
+    """Compare and sort by a collation, such as UNICODE_CI; binary without one."""
+    column = F.col(column) if isinstance(column, str) else column
+    return F.collate(column, collation) if collation else column

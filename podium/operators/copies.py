@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from podium.functions.ids import assign_ids
 from podium.functions.skew import hot_keys, nullable_left_join, salted_join
+from podium.functions.text import collated
 from podium.operators.lookup import resolve_template
 
 
@@ -143,7 +144,8 @@ def copy_questionnaires(questions: DataFrame, options: DataFrame, copies: DataFr
     return new_questions, new_options
 
 
-def grant_event_users(requests: DataFrame, principals: DataFrame, faithful: bool = False) -> DataFrame:
+def grant_event_users(requests: DataFrame, principals: DataFrame, faithful: bool = False,
+                      collation: str | None = None) -> DataFrame:
     """Users of each event: the entries of its comma list and the caller, where a principal has that name,
     or has it after its domain.
 
@@ -157,11 +159,11 @@ def grant_event_users(requests: DataFrame, principals: DataFrame, faithful: bool
         entries = entries.where("entry <> '' OR userlist IS NOT NULL")
     else:
         entries = entries.where("entry <> ''")
-    entries = entries.select("event_id", "entry").distinct()
+    entries = entries.select("event_id", collated("entry", collation).alias("entry")).distinct()
     # The part after the first backslash; a name without one has nothing after it.
     suffix = F.expr("substring(name, locate('\\\\', concat(name, '\\\\')) + 1)")
-    by_name = principals.select(F.col("name").alias("entry"), F.col("name").alias("user"))
-    by_suffix = principals.select(suffix.alias("entry"), F.col("name").alias("user"))
+    by_name = principals.select(collated("name", collation).alias("entry"), F.col("name").alias("user"))
+    by_suffix = principals.select(collated(suffix, collation).alias("entry"), F.col("name").alias("user"))
     if not faithful:
         by_suffix = by_suffix.where("entry <> ''")
     granted = entries.join(by_name, "entry").unionByName(entries.join(by_suffix, "entry"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from podium.functions.nest import inline_list, not_inline, small_list
 from podium.functions.skew import hot_keys, salted_join
+from podium.functions.text import collated
 from podium.operators.fold import response_events
 from podium.operators.lookup import events_by_secret, session_listing, session_speakers
 from podium.operators.questions import question_form
@@ -32,9 +33,10 @@ def _session_item():
     )
 
 
-def sessions_blob(listing: DataFrame, **limit: int) -> DataFrame:
+def sessions_blob(listing: DataFrame, collation: str | None = None, **limit: int) -> DataFrame:
     """Per event the list of its sessions by title."""
-    return inline_list(listing, "event_id", ["title", "session_id"], _session_item(), "sessions", **limit)
+    by = [collated("title", collation), "session_id"]
+    return inline_list(listing, "event_id", by, _session_item(), "sessions", **limit)
 
 
 def admin_event_info(requests: DataFrame, events: DataFrame, sessions: DataFrame, session_presenters: DataFrame,

@@ -9,24 +9,28 @@ from pyspark.sql import functions as F
 
 from podium.functions.nest import inline_list
 from podium.functions.skew import hot_keys, salted_join
-from podium.functions.text import event_link, matches, qr_link, session_link, speaker_names
+from podium.functions.text import collated, event_link, matches, qr_link, session_link, speaker_names
 
 # The window of an event without limits.
 OPEN_FROM = dt.datetime(2000, 1, 1)
 OPEN_TO = dt.datetime(2099, 12, 31)
 
 
-def list_templates(events: DataFrame) -> DataFrame:
-    return events.where("is_template").select("name", "css").orderBy("name")
+def list_templates(events: DataFrame, collation: str | None = None) -> DataFrame:
+    return events.where("is_template").select("name", "css").orderBy(collated("name", collation))
 
 
-def resolve_template(requests: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+def resolve_template(requests: DataFrame, events: DataFrame, collation: str | None = None
+                     ) -> tuple[DataFrame, DataFrame]:
     """Fill `from_template_event_id` of requests that name a template. An unknown name falls back on the id
     given with it, and is rejected without one."""
-    templates = events.where("is_template").groupBy("name").agg(F.min("event_id").alias("template_id"))
-    templates = templates.withColumnRenamed("name", "from_template_name")
-    popular = hot_keys(requests, "from_template_name")
-    named = salted_join(requests, templates, popular, "from_template_name", "request_id", "left").select(*requests.columns, F.coalesce("template_id", "from_template_event_id").alias("template_id"))
+    templates = (
+        events.where("is_template")
+        .groupBy(collated("name", collation).alias("_name"))
+        .agg(F.min("event_id").alias("template_id"))
+    )
+    keyed = requests.withColumn("_name", collated("from_template_name", collation))
+    named = salted_join(keyed, templates, hot_keys(keyed, "_name"), "_name", "request_id", "left").select(*requests.columns, F.coalesce("template_id", "from_template_event_id").alias("template_id"))
     missing = F.col("from_template_name").isNotNull() & F.col("template_id").isNull()
     resolved = named.where(~missing).withColumn("from_template_event_id", F.col("template_id")).drop("template_id")
     rejected = named.where(missing).drop("template_id").withColumn(
@@ -68,9 +72,9 @@ def session_speaker_rows(session_presenters: DataFrame, presenters: DataFrame) -
 
 
 def session_speakers(session_presenters: DataFrame, presenters: DataFrame, order: str = "name",
-                     **limit: int) -> DataFrame:
+                     collation: str | None = None, **limit: int) -> DataFrame:
     """Per session the array `presenters` of {name}: by name, or `order="owner"` with the owner first."""
-    by = ["name", "presenter_id"]
+    by = [collated("name", collation), "presenter_id"]
     if order == "owner":
         by = [F.col("is_session_owner").desc(), *by]
     rows = session_speaker_rows(session_presenters, presenters)

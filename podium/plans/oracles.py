@@ -454,7 +454,7 @@ BODIES: dict[str, str] = {
         WHERE coalesce(e.accepts_responses_from, TIMESTAMP '2000-01-01') < TIMESTAMP '2000-06-01'
         AND coalesce(e.accepts_responses_to, TIMESTAMP '2099-12-31') > TIMESTAMP '2000-06-01'""",
     "events_by_secret": "SELECT * FROM @bysec",
-    "speaker_names_of_listing": f"SELECT {LISTED} FROM @li",
+    "speaker_names": f"SELECT {LISTED} FROM @li",
     "search_sessions": f"SELECT {LISTED} FROM @li WHERE contains(lower(title || chr(10) || speakers), 'red')",
     "search_sessions_by_speaker": f"SELECT {LISTED} FROM @li WHERE contains(lower(title || chr(10) || speakers), 'supplier#00000000')",
     "share_links": """SELECT session_id, event_id, 'https://feedback.example.org/' || session_id AS session_url,
@@ -475,7 +475,7 @@ BODIES: dict[str, str] = {
     # Documents
     "session_speaker_rows": "SELECT * FROM @spn",
     "session_speakers_by_name": "SELECT * FROM @spk",
-    "session_speakers_by_owner": "SELECT * FROM @spo",
+    "session_speakers": "SELECT * FROM @spo",
     "sessions_blob": """SELECT event_id, (row_number() OVER (PARTITION BY event_id ORDER BY title, session_id) - 1)::INTEGER AS position,
         session_id, title, css, speakers FROM @li""",
     "admin_event_info": """SELECT request_id, event_id, name,
@@ -568,7 +568,7 @@ BODIES: dict[str, str] = {
         FROM orders LEFT JOIN @se s ON s.session_id = o_custkey LEFT JOIN @ev e USING (event_id)
         WHERE NOT coalesce(coalesce(e.accepts_responses_from, TIMESTAMP '2000-01-01') < o_orderdate
             AND coalesce(e.accepts_responses_to, TIMESTAMP '2099-12-31') > o_orderdate AND e.event_id IS NOT NULL, false)""",
-    "assign_ids_narrow": """SELECT k AS natural_key, id FROM @id0 WHERE k NOT IN (SELECT k FROM @id_lost)
+    "assign_ids": """SELECT k AS natural_key, id FROM @id0 WHERE k NOT IN (SELECT k FROM @id_lost)
         UNION ALL SELECT k, id FROM @id1_won UNION ALL SELECT k, id FROM @id2_won""",
     # List edits
     "insert_questions": """SELECT question_id, f.event_id, f.display_order, coalesce(q.question, i.question) AS question, q.description,

@@ -24,16 +24,21 @@ HOST = "feedback.example.org"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
-def query(build: Callable[[TestTables], DataFrame]):
+def query(build: Callable[[TestTables], DataFrame], name: str | None = None):
     def run(spark: SparkSession, folder: str) -> DataFrame:
         return build(TestTables(spark, folder))
 
-    run.__name__ = build.__name__
+    run.__name__ = name or build.__name__
     run.__doc__ = build.__doc__
-    QUERIES[build.__name__] = run
+    QUERIES[run.__name__] = run
     return build
 
 
+def named(name: str):
+    """Register under a name that a function of this module has already."""
+    return lambda build: query(build, name)
+
+
 def union(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -218,8 +223,8 @@ def _listing_rows(listing, *more):
     )
 
 
-@query
-def speaker_names_of_listing(t):
+@named("speaker_names")
+def listed_speakers(t):
     return _listing_rows(_listing(t))
 
 
@@ -291,7 +296,7 @@ def session_speakers_by_name(t):
 
 
 @query
-def session_speakers_by_owner(t):
+def session_speakers(t):
     lists_ = lookup.session_speakers(t.session_presenters, t.presenters, order="owner")
     return lists_.select("session_id", speaker_names("presenters").alias("speakers"))
 
@@ -467,8 +472,8 @@ def init_responses(t):
     )
 
 
-@query
-def assign_ids_narrow(t):
+@named("assign_ids")
+def narrow_ids(t):
     """24-bit ids for all orders: many first draws collide and are redrawn."""
     keys = t.responses.select(F.concat(F.lit("order/"), F.col("response_id").cast("string")).alias("natural_key"))
     return assign_ids(keys, "natural_key", bits=24, taken=t.sessions.select("session_id"))

@@ -6,17 +6,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from podium.functions.text import leading_int
-from podium.sources.schemas import FEED, RAW_CHANGES
+from podium.sources.schemas import FEED, FEED_GROUPS, RAW_CHANGES
 
 
 def read_session_feed(spark: SparkSession, path: str, all_groups: bool = False) -> tuple[DataFrame, DataFrame]:
     """Accepted sessions and their speakers from feed documents, one per line: {event_key, groups}.
 
-    Only the first session group is read unless `all_groups`. Service sessions and sessions that are not
-    accepted are left out. Speakers keep their place; the first is the owner. A large feed may be split
-    into several documents of the same event.
+    A large feed may be split into several documents of the same event.
+    """
+    return parse_feed(spark.read.schema(FEED).json(path), all_groups)
+
+
+def read_session_feed_files(spark: SparkSession, path: str, all_groups: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The same from files as the feed service answers, one JSON list of groups each; the event key is the
+    file's name without its ending."""
+    files = spark.read.text(path, wholetext=True)
+    key = F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1)
+    return parse_feed(files.select(key.alias("event_key"), F.from_json("value", FEED_GROUPS).alias("groups")), all_groups)
+
+
+def parse_feed(documents: DataFrame, all_groups: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Sessions and speakers of feed documents (event_key, groups).
+
+    Only the first session group counts unless `all_groups`. Service sessions and sessions that are not
+    accepted are left out. Speakers keep their place; the first is the owner.
     """
-    documents = spark.read.schema(FEED).json(path)
     groups = F.col("groups") if all_groups else F.slice("groups", 1, 1)
     sessions = (
         documents.select("event_key", F.explode(F.flatten(F.transform(groups, lambda g: g["sessions"]))).alias("s"))

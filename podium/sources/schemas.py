@@ -77,11 +77,13 @@ RAW_CHANGES = _struct(
     "responseId STRING, questionId STRING, answerOrdinal STRING, plaintext STRING, ts TIMESTAMP_NTZ, seq BIGINT"
 )
 
-# One document per line: the feed of one event, a list of session groups.
-FEED = (
-    "event_key STRING, groups ARRAY<STRUCT<sessions: ARRAY<STRUCT<id: BIGINT, title: STRING, status: STRING, "
-    "isServiceSession: BOOLEAN, speakers: ARRAY<STRUCT<id: STRING, name: STRING>>>>>>"
+# The feed of one event: a list of session groups.
+FEED_GROUPS = (
+    "ARRAY<STRUCT<sessions: ARRAY<STRUCT<id: BIGINT, title: STRING, status: STRING, isServiceSession: BOOLEAN, "
+    "speakers: ARRAY<STRUCT<id: STRING, name: STRING>>>>>>"
 )
+# The same as one document per line, with the event it belongs to.
+FEED = f"event_key STRING, groups {FEED_GROUPS}"
 
 # Declared text lengths.
 MAX_LENGTH = {

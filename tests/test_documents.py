@@ -183,6 +183,30 @@ def test_feed(spark):
     assert sorted(r.feed_id for r in feed.read_session_feed(spark, path, all_groups=True)[0].collect()) == [1, 4, 9]
 
 
+def test_feed_files_as_answered(spark, tmp_path):
+    answer = [{"sessions": [{"id": 1, "title": "t", "status": "Accepted", "isServiceSession": False,
+                             "speakers": [{"id": "a", "name": "Ann"}]}]}, {"sessions": []}]
+    (tmp_path / "my-key.json").write_text(json.dumps(answer, indent=2))
+    (tmp_path / "broken.json").write_text("{")
+    sessions, speakers = feed.read_session_feed_files(spark, str(tmp_path))
+    assert [tuple(r) for r in sessions.collect()] == [("my-key", 1, "t")]
+    assert [r.name for r in speakers.collect()] == ["Ann"]
+
+
+def test_names_compare_by_collation_on_request(spark, table):
+    events = table("events", [(1, "b", None, True, None, None, None, "s"), (2, "A", None, True, None, None, None, "s"),
+                              (3, "c", None, True, None, None, None, "s")])
+    names = lambda **k: [r.name for r in lookup.list_templates(events, **k).collect()]
+    assert names() == ["A", "b", "c"] and names(collation="UNICODE_CI") == ["A", "b", "c"]
+    requests = spark.createDataFrame(
+        [(1, None, "B"), (2, None, "A")], "request_id BIGINT, from_template_event_id BIGINT, from_template_name STRING"
+    )
+    assert [r.request_id for r in lookup.resolve_template(requests, events)[0].collect()] == [2]
+    resolved, rejected = lookup.resolve_template(requests, events, collation="UNICODE_CI")
+    assert {r.request_id: r.from_template_event_id for r in resolved.collect()} == {1: 1, 2: 2}
+    assert rejected.count() == 0
+
+
 def test_save_requests_are_parsed_like_numbers_in_text(spark):
     raw = [
         ("5", "10", "3a", "null", AT, 1), ("5", "10", "0", "x", AT, 2), ("5", "10", "null", "", AT, 3),
