@@ -2,7 +2,7 @@
 
 A nested list is either bounded by a unique key (options of a question, questions of an event, answers of
 a response) or cut off by `inline_list`, which never collects more than its limit. The flat reports at the
-end hold everything for events of any size.
+end hold everything for events of any size. The keys of the documents are fixed names that clients read.
 """
 
 from __future__ import annotations
