@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podium.llm import decontaminate, mixing, pii, url_filter, warc
+from podium.llm import chat, decontaminate, licences, mixing, pii, quality, simhash, toxicity, url_filter, warc
 from podium.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,24 @@ def query(run: Callable[[SparkSession, str], DataFrame]):
     return run
 
 
+@query
+def op1_chat_formatting(spark, folder):
+    """All conversations and one made of control strings, formatted and read back."""
+    own = spark.createDataFrame(
+        [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")],
+        "conv_id bigint, turn bigint, role string, text string",
+    )
+    turns = read_table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.read_back(chat.render_conversations(turns))
+
+
+@query
+def op2_simhash_dedup(spark, folder):
+    """Fingerprints and near-duplicate components of all documents."""
+    linked = simhash.near_components(read_table(spark, folder, "documents"))
+    return linked.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 @query
 def op3_pii(spark, folder):
     """Personal data and disclosing terms of every document."""
@@ -31,6 +49,18 @@ def op4_url_filters(spark, folder):
     return url_filter.judge_urls(read_table(spark, folder, "pages"))
 
 
+@query
+def op5_toxicity(spark, folder):
+    """Toxicity scores of all documents."""
+    return toxicity.toxicity(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
+@query
+def op6_quality_rules(spark, folder):
+    """Counters and the verdict on every document."""
+    return quality.judge_quality(read_table(spark, folder, "documents"))
+
+
 @query
 def op7_mixing(spark, folder):
     """How often the mix takes every document."""
@@ -49,3 +79,9 @@ def op8_warc(spark, folder):
 def op9_decontamination(spark, folder):
     """Every document and benchmark item of which it has a passage."""
     return decontaminate.leaks(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
+@query
+def op10_license_scans(spark, folder):
+    """Licences named in every document."""
+    return licences.licence_scan(read_table(spark, folder, "documents"))
