@@ -26,7 +26,7 @@ GAMMA = (1 + RELATIVE_ERROR) / (1 - RELATIVE_ERROR)
 MIN_GROUP = 200
 # Fences lie this many interquartile ranges, and at least the margin, beyond the quartiles.
 REACH = 3.0
-MARGINS = {"word_length": 2.0, "symbols": 0.02, "dup_lines": 0.25, "repeats": 0.2}
+MARGINS = {"word_length": 2.0, "symbols": 0.02, "dup_lines": 0.4, "repeats": 0.2}
 # Metrics of which low values are a fault, too.
 TWO_SIDED = ("word_length",)
 COUNTERS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_lines bigint"

@@ -231,7 +231,11 @@ def links(points: DataFrame, bits: int) -> DataFrame:
     most, rng = max(4, len(sample) // shards), np.random.default_rng(0)
     trees = [grow(sample, [metric, ((1 << 64) - 1, bits)], most, rng) for metric in metrics]
     dealt = points.mapInPandas(partial(deal, trees=trees), "band int, shard bigint, fp bigint")
-    return dealt.groupBy("band", "shard").applyInPandas(partial(link_shard, metrics=metrics, bits=bits), "a bigint, b bigint")
+
+    def link(frame: pd.DataFrame) -> pd.DataFrame:
+        return link_shard(frame, metrics, bits)
+
+    return dealt.groupBy("band", "shard").applyInPandas(link, "a bigint, b bigint")
 
 
 # Components

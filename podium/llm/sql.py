@@ -126,9 +126,9 @@ def decontamination() -> str:
       SELECT *, least({d.WINDOW}, high - low) AS n_words, list_transform(range(low, high), lambda p: (mine[p + 1] = theirs[p + shift + 1]) :: INT) AS agrees
       FROM aligned
     ), scored AS (
-      SELECT *, unnest(range(len(agrees) - n_words + 1)) AS at FROM same
+      SELECT *, unnest(range(len(agrees) - n_words + 1)) AS begins FROM same
     ), windows AS (
-      SELECT doc, doc_id, item_id, shift, n_words, low + shift + at AS first_word, list_sum(agrees[at + 1 : at + n_words]) AS n_agree FROM scored
+      SELECT doc, doc_id, item_id, shift, n_words, low + shift + begins AS first_word, list_sum(agrees[begins + 1 : begins + n_words]) AS n_agree FROM scored
     ), best AS (
       SELECT * FROM windows QUALIFY row_number() OVER (PARTITION BY doc, item_id, shift ORDER BY n_agree DESC, first_word) = 1
     ), places AS (

@@ -1,7 +1,7 @@
 """Toxicity by weak supervision: many voters, a generative label model, a linear classifier on its posteriors.
 
-Voters are a fixed lexicon, words and word beginnings mined from labelled rows (in groups, so that each voter is
-right for its own reasons), and a pattern of shouting. A voter fires or does not. The label model is a mixture
+Voters are a fixed lexicon, words and word beginnings mined from labelled rows (by tiers of strength, so that a
+weak term does not speak with a strong one's voice), and a pattern of shouting. A voter fires or does not. The label model is a mixture
 of toxic and clean documents: expectation maximisation over the counts of vote patterns of all documents, with
 the labelled rows held at their labels, estimates how often each voter fires in either class. Voters that still
 agree within a class are correlated; they are put into one group whose joint firing is estimated instead. The
@@ -33,12 +33,15 @@ LEXICON = (
     "idiot", "moron", "stupid", "scum", "trash", "loser", "pathetic", "worthless", "disgusting", "clown", "dumb", "imbecile",
     "idiota", "imbécil", "basura", "estúpido", "idiote", "imbécile", "ordure", "débile", "dummkopf", "abschaum", "widerlich", "versager",
 )
-WORD = re.compile(r"[^\W\d_]+")
-PREFIXES = (4, 5, 6)
+WORD, CAPITAL = re.compile(r"[^\W\d_]+"), re.compile("[A-ZÀ-Þ]")
+STEM = 3
+PREFIXES, MARKS = (3, 4, 5, 6, 7), ("*", "*2", "*3")
 # Labelled rows that terms are mined from, terms counted, terms kept, and what a kept term must show.
 FIT_ROWS, CANDIDATES, TERMS = 50_000, 20_000, 2_000
-MIN_TOXIC, MIN_SCORE = 5, 3.0
-GROUPS = 4
+# A term must be this many times as frequent in toxic documents, with 95 % confidence.
+MIN_TOXIC, MIN_RATIO, CONFIDENCE = 5, 5.0, 1.64
+# Terms are dealt to voters by the ratio they are sure of: words and beginnings each have a voter a tier.
+TIERS = (60.0, 25.0, 12.0)
 # Rows the classifier is trained on.
 TRAIN_ROWS = 20_000
 # Correlation within a class from which voters are modelled together, and the most voters of a group.
@@ -52,10 +55,21 @@ def in_fold(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def features_of(text: str | None) -> set[str]:
-    """The lower-cased words of a text and, marked by a star, their beginnings."""
+def features_of(text: str | None, wanted: set[str] | None = None, stems: set[str] | None = None) -> set[str]:
+    """The lower-cased words of a text, their beginnings (marked `*`) and the beginnings that two and three
+    different words share (`*2`, `*3`). With `wanted`, only those of it; `stems` are their first letters."""
     words = set(WORD.findall((text or "").lower()))
-    return words.union(*({w[:n] + "*" for w in words if len(w) >= n} for n in PREFIXES)) if words else words
+    shared: Counter = Counter()
+    for word in words if stems is None else [w for w in words if w[:STEM] in stems]:
+        shared.update([word[:n] for n in PREFIXES if len(word) >= n])
+    found = words if wanted is None else words & wanted
+    found = found.union(p + mark for p, n in shared.items() for mark in MARKS[: min(n, len(MARKS))])
+    return found if wanted is None else found & wanted
+
+
+def stems_of(terms: set[str]) -> set[str]:
+    """The first letters of the word beginnings among the terms."""
+    return {t[:STEM] for t in terms if "*" in t}
 
 
 @dataclass(frozen=True)
@@ -65,17 +79,16 @@ class Terms:
     number: dict[str, int]
     voter: list[int]
     n_voters: int
+    stems: frozenset[str]
 
     def matched(self, text: str | None) -> list[int]:
-        number = self.number
-        return sorted(number[f] for f in features_of(text) if f in number)
+        return sorted(self.number[f] for f in features_of(text, self.number.keys(), self.stems))
 
     def votes(self, text: str | None, matched: list[int]) -> int:
         mask = 0
         for term in matched:
             mask |= 1 << self.voter[term]
-        letters = sum(map(str.isalpha, text[:2000])) if text else 0
-        if letters and sum(map(str.isupper, text[:2000])) > SHOUTED * letters:
+        if text and len(CAPITAL.findall(text)) > SHOUTED * (len(text) - text.count(" ")):
             mask |= 1 << (self.n_voters - 1)
         return mask
 
@@ -99,6 +112,7 @@ class Model:
 def count_features(frames: Iterator[pd.DataFrame], wanted: set[str] | None) -> Iterator[pd.DataFrame]:
     """Documents of each class per feature, summed within the task and let go before they fill its memory."""
     counts: Counter = Counter()
+    stems = None if wanted is None else stems_of(wanted)
 
     def flush() -> pd.DataFrame:
         rows = [(f, t, n) for (f, t), n in counts.items()]
@@ -107,8 +121,7 @@ def count_features(frames: Iterator[pd.DataFrame], wanted: set[str] | None) -> I
 
     for frame in frames:
         for text, toxic in zip(frame["text"], frame["toxic"], strict=True):
-            found = features_of(text)
-            counts.update((f, toxic) for f in (found if wanted is None else found & wanted))
+            counts.update((f, toxic) for f in features_of(text, wanted, stems))
             if len(counts) > 200_000:
                 yield flush()
     if counts:
@@ -129,17 +142,21 @@ def mined_terms(labelled: DataFrame) -> Terms:
     for term, n in a.items():
         m = b.get(term, 0)
         odds = np.log((n + 0.5) / (n_toxic + 1)) - np.log((m + 0.5) / (n_clean + 1))
-        if (strength := odds / np.sqrt(1 / (n + 0.5) + 1 / (m + 0.5))) >= MIN_SCORE:
-            scored.append((-strength, term))
-    kept = [term for _, term in sorted(scored)[:TERMS]]
+        least = odds - CONFIDENCE * np.sqrt(1 / (n + 0.5) + 1 / (m + 0.5))
+        if least >= np.log(MIN_RATIO):
+            scored.append((-least, term))
+    return dealt_terms({term: -least for least, term in sorted(scored)[:TERMS]})
+
+
+def dealt_terms(strength: dict[str, float]) -> Terms:
+    """The lexicon as voter 0, the mined terms by tier of their strength, words before beginnings."""
+    tiers = len(TIERS) + 1
     number, voter = {}, []
-    for term in dict.fromkeys([*LEXICON, *kept]):
+    for term in dict.fromkeys([*LEXICON, *strength]):
         number[term] = len(voter)
-        if term in LEXICON:
-            voter.append(0)
-        else:
-            voter.append(1 + len(voter) % GROUPS + GROUPS * term.endswith("*"))
-    return Terms(number, voter, 2 * GROUPS + 2)
+        tier = sum(strength.get(term, 0.0) < np.log(t) for t in TIERS)
+        voter.append(0 if term in LEXICON else 1 + tier + tiers * ("*" in term))
+    return Terms(number, voter, 2 * tiers + 2, frozenset(stems_of(number.keys())))
 
 
 # Label model
@@ -187,11 +204,12 @@ def correlation(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
 def maximise(patterns: np.ndarray, free: np.ndarray, clean: np.ndarray, toxic: np.ndarray, groups: list[tuple[int, ...]]) -> np.ndarray:
     """Expectation maximisation; without labels it starts from voters that rarely fire on clean documents."""
     states = [fires(patterns, g) for g in groups]
-    any_fired = (patterns != 0).astype(float)
-    posterior = np.where(any_fired > 0, 0.9, 0.02)
+    posterior = np.where(patterns != 0, 0.9, 0.02)
+    labelled, known = clean.sum() + toxic.sum(), clean.sum() and toxic.sum()
     for step in range(ROUNDS):
-        # The first estimate is from labelled rows alone, if there are any of both classes.
-        share = 0.0 if step == 0 and clean.sum() and toxic.sum() else 1.0
+        # Rows without a label weigh no more than those with one, or they would take the classes elsewhere; the
+        # first estimate is from labelled rows alone.
+        share = (0.0 if step == 0 else min(1.0, labelled / max(free.sum(), 1.0))) if known else 1.0
         weight = np.stack([share * free * (1 - posterior) + clean, share * free * posterior + toxic])
         prior = (weight.sum(axis=1) + 1) / (weight.sum() + 2)
         score = np.log(prior)[:, None] + np.zeros((2, len(patterns)))
