@@ -6,12 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from podium.llm import decontaminate, mixing, pii
+from podium.llm import decontaminate, mixing, pii, simhash, toxicity
 from podium.llm.common import read_table, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def toxic_documents(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents that the classifier takes for toxic go."""
+    return toxicity.acceptable_documents(docs, read_table(spark, folder, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """One document of each group of near-duplicates stays (five-word shingles, similarity 0.8)."""
+    return simhash.without_near_duplicates(docs)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents with a passage of the benchmark go."""
     return decontaminate.clean_documents(docs, read_table(spark, folder, "benchmark"))
@@ -28,6 +38,8 @@ def mixing_to_weights(spark: SparkSession, docs: DataFrame, folder: str) -> Data
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxic_documents),
+    ("simhash_near_dedup", near_dedup),
     ("benchmark_decontamination", benchmark_decontamination),
     ("pii", personal_data),
     ("mixing", mixing_to_weights),
