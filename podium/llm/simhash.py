@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pandas as pd
@@ -64,9 +64,7 @@ def fingerprint_of(text: bytes | None, size: int, distinct: bool = False) -> int
     shingles = shingles_of(sorted(set(words)) if distinct else words, size)
     ones, total = np.zeros(64, dtype=np.int64), 0
     while True:
-        chunk = np.fromiter(
-            (h for h, _ in zip(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), range(CHUNK), strict=False)), dtype=np.uint64
-        )
+        chunk = np.fromiter(islice(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), CHUNK), dtype=np.uint64)
         if not len(chunk):
             break
         ones += np.unpackbits(chunk.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
