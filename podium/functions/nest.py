@@ -1,43 +1,47 @@
-"""Ordered lists nested in rows, with a size limit that holds for any skew."""
+"""Ordered lists nested in rows. A list that nothing bounds is cut into pages; no item is left out."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-INLINE_LIMIT = 500
+from podium.functions.skew import checked, hot_keys
 
+# Items of a page, about: a longer list is spread over as many pages by a hash.
+PAGE_ITEMS = 500
 
-def inline_list(
-    df: DataFrame, key: str, order: list[Column | str], item: Column, name: str, limit: int = INLINE_LIMIT
+
+def paged_list(
+    df: DataFrame, key: str, order: list[Column | str], item: Column, name: str, spread: list[str],
+    page_items: int = PAGE_ITEMS, weight: Column | None = None,
 ) -> DataFrame:
-    """One row per key with its items as an ordered array, for lists that nothing else bounds.
+    """(key, page, pages, <name>): every item in exactly one row, pages numbered from 0.
 
-    At most limit + 1 rows per key leave any map task: the filter on the rank becomes a group limit below
-    the shuffle. A longer list is not nested: its array is NULL and `<name>_inline` is false, and the flat
-    operator over the same rows has it in full.
+    A list of up to `page_items` items (or of that weight) is one page in order. A longer one is dealt to pages
+    by a hash of the columns `spread`; each page is in order, and no task ever holds more than a page of a key.
     """
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    ranked = df.select(key, item.alias("_item"), rank.alias("_rank")).where(F.col("_rank") <= limit + 1)
-    lists = ranked.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("_rank", "_item"))).alias("_list")
+    long = checked(hot_keys(df, key, page_items, weight))
+    pages = F.coalesce("_salts", F.lit(1))
+    paged = df.join(long, key, "left").select(
+        "*", F.pmod(F.xxhash64(*spread), pages).cast("int").alias("_page_of"), pages.alias("_pages_of")
     )
-    fits = F.size("_list") <= limit
-    return lists.select(
-        key,
-        F.when(fits, F.transform("_list", lambda x: x["_item"])).alias(name),
-        fits.alias(f"{name}_inline"),
+    rank = F.row_number().over(Window.partitionBy(key, "_page_of").orderBy(*order))
+    ranked = paged.select(key, "_page_of", "_pages_of", item.alias("_item"), rank.alias("_rank"))
+    lists = ranked.groupBy(key, "_page_of").agg(
+        F.max("_pages_of").alias("pages"), F.array_sort(F.collect_list(F.struct("_rank", "_item"))).alias("_list")
     )
+    return lists.select(key, F.col("_page_of").alias("page"), "pages", F.transform("_list", lambda x: x["_item"]).alias(name))
 
 
 def small_list(df: DataFrame, key: str, order: str, item: Column, name: str) -> DataFrame:
-    """The same for lists that a unique key bounds (options of a question, answers of a response)."""
+    """The same in one row for lists that a unique key bounds (options of a question, answers of a response)."""
     lists = df.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct(F.col(order).alias("_order"), item.alias("_item")))).alias("_list")
     )
     return lists.select(key, F.transform("_list", lambda x: x["_item"]).alias(name))
 
 
-def not_inline(name: str) -> Column:
-    """JSON marker of a list too long to nest: false, or NULL (left out) where the list is complete."""
-    return F.when(~F.col(f"{name}_inline"), F.lit(False))
+def if_paged(page: str, pages: str) -> list[Column]:
+    """`page` and `pages` for a JSON body; NULL (left out) where there is one page."""
+    several = F.col(pages) > 1
+    return [F.when(several, F.col(page)).alias("page"), F.when(several, F.col(pages)).alias("pages")]

@@ -7,21 +7,31 @@ join is then salted here, for the hot keys alone.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from podium.functions.store import stored
+
 # Rows of one key that a task can take; a key with more is spread over as many tasks as needed.
 HOT_ROWS = 1_000_000
+# Longest list of hot keys that is broadcast.
+BROADCAST_KEYS = 1_000_000
 SALT = "_salt"
 # Places for rows with a NULL key.
 NULL_SALTS = 4096
 
 
-def hot_keys(many: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The keys with more than `hot_rows` rows, and the number of salts each gets. There are fewer of them
-    than rows divided by `hot_rows`, which bounds the broadcast: a million for a trillion rows."""
-    counts = many.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
-    return counts.select(key, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts"))
+def hot_keys(many: DataFrame, key: str, hot_rows: int = HOT_ROWS, weight: Column | None = None) -> DataFrame:
+    """The keys with more than `hot_rows` rows, and the number of salts each gets, stored. With `weight`, rows
+    count that much. The count combines before its shuffle."""
+    rows = F.count("*") if weight is None else F.sum(weight)
+    counts = many.groupBy(key).agg(rows.alias("_n")).where(F.col("_n") > hot_rows)
+    return stored(counts.select(key, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts")), "hot-keys")
+
+
+def checked(hot: DataFrame) -> DataFrame:
+    """Broadcast a stored list if a count shows that it is short; Spark joins a longer one as it sees fit."""
+    return F.broadcast(hot) if hot.count() <= BROADCAST_KEYS else hot
 
 
 def salt(many: DataFrame, one: DataFrame, hot: DataFrame, key: str, spread: str) -> tuple[DataFrame, DataFrame]:
@@ -30,10 +40,11 @@ def salt(many: DataFrame, one: DataFrame, hot: DataFrame, key: str, spread: str)
     match nothing and may be many, are spread as well."""
     n = F.coalesce("_salts", F.lit(1))
     spread_rows = F.when(F.col(key).isNull(), F.lit(NULL_SALTS)).otherwise(n)
-    many = many.join(F.broadcast(hot), key, "left").withColumn(
+    hot = checked(hot)
+    many = many.join(hot, key, "left").withColumn(
         SALT, F.pmod(F.xxhash64(spread), spread_rows).cast("int")
     )
-    one = one.join(F.broadcast(hot), key, "left").withColumn(SALT, F.explode(F.sequence(F.lit(0), n - 1)))
+    one = one.join(hot, key, "left").withColumn(SALT, F.explode(F.sequence(F.lit(0), n - 1)))
     return many.drop("_salts"), one.drop("_salts")
 
 

@@ -1,8 +1,9 @@
 """Nested documents: session lists, forms and event reports.
 
 A nested list is either bounded by a unique key (options of a question, questions of an event, answers of
-a response) or cut off by `inline_list`, which never collects more than its limit. The flat reports at the
-end hold everything for events of any size. The keys of the documents are fixed names that clients read.
+a response) or cut into pages: a document too large for one row has several rows, numbered in `page`, and every
+item stands in exactly one of them. Documents are built once per event; `events_by_secret` maps requests to
+them. The keys of the documents are fixed names that clients read.
 """
 
 from __future__ import annotations
@@ -12,10 +13,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from podium.functions.nest import inline_list, not_inline, small_list
-from podium.functions.skew import hot_keys, salted_join
+from podium.functions.nest import PAGE_ITEMS, if_paged, paged_list, small_list
+from podium.functions.store import stored
+from podium.functions.skew import salted_join
 from podium.functions.text import collated
-from podium.operators.fold import response_events
+from podium.operators.fold import popular_events
 from podium.operators.lookup import events_by_secret, session_listing, session_speakers
 from podium.operators.questions import question_form
 
@@ -23,44 +25,27 @@ from podium.operators.questions import question_form
 # Session lists
 
 
-def _session_item():
-    return F.struct(
-        F.col("session_id").alias("sessionId"),
-        "title",
-        "css",
-        "presenters",
-        not_inline("presenters").alias("presentersInline"),
-    )
-
-
-def sessions_blob(listing: DataFrame, collation: str | None = None, **limit: int) -> DataFrame:
-    """Per event the list of its sessions by title."""
-    by = [collated("title", collation), "session_id"]
-    return inline_list(listing, "event_id", by, _session_item(), "sessions", **limit)
+def sessions_blob(listing: DataFrame, collation: str | None = None, page_items: int = PAGE_ITEMS) -> DataFrame:
+    """Per event the list of its sessions by title. A session with several pages of speakers is an item each."""
+    item = F.struct(F.col("session_id").alias("sessionId"), "title", "css", "presenters", *if_paged("page", "pages"))
+    by = [collated("title", collation), "session_id", "page"]
+    return paged_list(listing, "event_id", by, item, "sessions", ["session_id", "page"], page_items)
 
 
 def admin_event_info(requests: DataFrame, events: DataFrame, sessions: DataFrame, session_presenters: DataFrame,
-                     presenters: DataFrame, **limit: int) -> DataFrame:
-    """Per request with a known secret: the event and its sessions. Only the requested events are listed."""
-    wanted = events_by_secret(requests, events)
-    event_ids = wanted.select("event_id").distinct()
+                     presenters: DataFrame, page_items: int = PAGE_ITEMS) -> DataFrame:
+    """(event_id, name, css, page, pages, sessions) of every event that a request knows the secret of."""
+    event_ids = stored(events_by_secret(requests, events).select("event_id").distinct(), "wanted")
     asked = sessions.join(event_ids, "event_id", "left_semi")
-    blobs = sessions_blob(session_listing(asked, events, session_presenters, presenters, restrict=True), **limit)
-    return wanted.join(
-        events.select("event_id", "name", "css").join(blobs, "event_id", "left"), "event_id"
-    ).withColumn("sessions_inline", F.coalesce("sessions_inline", F.lit(True)))
+    listing = session_listing(asked, events, session_presenters, presenters, restrict=True, page_items=page_items)
+    wanted = events.join(event_ids, "event_id", "left_semi").select("event_id", "name", "css")
+    info = wanted.join(sessions_blob(listing, page_items=page_items), "event_id", "left")
+    return info.withColumns({"page": F.coalesce("page", F.lit(0)), "pages": F.coalesce("pages", F.lit(1))})
 
 
 def admin_event_json(info: DataFrame) -> DataFrame:
-    return info.select(
-        "request_id",
-        F.to_json(
-            F.struct(
-                F.col("event_id").alias("eventId"), "name", "css", "sessions",
-                not_inline("sessions").alias("sessionsInline"),
-            )
-        ).alias("body"),
-    )
+    body = F.struct(F.col("event_id").alias("eventId"), "name", "css", "sessions", *if_paged("page", "pages"))
+    return info.select("event_id", "page", F.to_json(body).alias("body"))
 
 
 # Forms
@@ -98,22 +83,22 @@ def event_forms(questions: DataFrame, options: DataFrame) -> DataFrame:
 
 def questionnaire(responses: DataFrame, sessions: DataFrame, events: DataFrame, session_presenters: DataFrame,
                   presenters: DataFrame, questions: DataFrame, options: DataFrame) -> DataFrame:
-    """Per response the form of its session.
+    """Per response the form of its session, once for each page of speakers.
 
     Everything about a session is put together first, so a popular session is joined to its responses once.
     The wide form, one row per event, comes last and is salted for an event with many responses.
     """
     speakers = session_speakers(session_presenters, presenters, order="owner").select(
-        "session_id", F.col("presenters").alias("speakers"), F.col("presenters_inline").alias("speakers_inline")
+        "session_id", F.col("presenters").alias("speakers"), "page", "pages"
     )
     headers = (
         sessions.select("session_id", "event_id", "title")
         .join(speakers, "session_id", "left")
+        .withColumns({"page": F.coalesce("page", F.lit(0)), "pages": F.coalesce("pages", F.lit(1))})
         .join(events.select("event_id", "css"), "event_id")
-        .withColumn("speakers_inline", F.coalesce("speakers_inline", F.lit(True)))
     )
     per_response = responses.select("client_key", "response_id", "session_id").join(headers, "session_id")
-    hot = hot_keys(response_events(responses, sessions), "event_id")
+    hot = popular_events(responses, sessions)
     return salted_join(per_response, event_forms(questions, options), hot, "event_id", "response_id", "left")
 
 
@@ -123,8 +108,7 @@ def questionnaire_json(forms: DataFrame) -> DataFrame:
         F.to_json(
             F.struct(
                 F.col("client_key").alias("clientKey"), F.col("response_id").alias("responseId"), "css", "title",
-                F.col("event_id").alias("eventId"), "speakers", not_inline("speakers").alias("speakersInline"),
-                "questions",
+                F.col("event_id").alias("eventId"), "speakers", *if_paged("page", "pages"), "questions",
             )
         ).alias("body"),
     )
@@ -202,78 +186,70 @@ def _report_responses(tables: dict[str, DataFrame]) -> DataFrame:
 
 def restrict_to_events(tables: dict[str, DataFrame], event_ids: DataFrame) -> dict[str, DataFrame]:
     """The tables of a report for some events. Each semi-join is on the key its table is grouped by next, so
-    the cut costs no shuffle of its own there."""
+    the cut costs no shuffle of its own there. What several tables are cut by is stored."""
     kept = dict(tables)
     for name in ("events", "sessions", "questions"):
         kept[name] = tables[name].join(event_ids, "event_id", "left_semi")
+    kept["sessions"] = stored(kept["sessions"], "kept-sessions")
     kept["session_presenters"] = tables["session_presenters"].join(kept["sessions"], "session_id", "left_semi")
-    kept["responses"] = tables["responses"].join(kept["sessions"], "session_id", "left_semi")
+    kept["responses"] = stored(tables["responses"].join(kept["sessions"], "session_id", "left_semi"), "kept-responses")
     kept["answer_options"] = tables["answer_options"].join(kept["questions"], "question_id", "left_semi")
     for name in ("response_answers", "response_plaintext"):
         kept[name] = tables[name].join(kept["responses"], "response_id", "left_semi")
     return kept
 
 
-def event_report(requests: DataFrame, tables: dict[str, DataFrame], **limit: int) -> DataFrame:
-    """Per request with a known secret the whole report, nested bottom-up.
+def event_report(requests: DataFrame, tables: dict[str, DataFrame], page_items: int = PAGE_ITEMS) -> DataFrame:
+    """(event_id, name, page, pages, presenters, questions, sessions) of every event that a request knows the
+    secret of.
 
     Every table is cut down to the requested events before anything is nested. Lists are collected per
-    response, then per session, then per event, so a popular session never meets its whole event in one
-    row unless both fit. `report_parts` has events of any size.
+    response, then per session, then per event. A session with more responses or links than a page holds is
+    several items, and an event whose items hold more than ten pages of them several rows. The questions are
+    in the first row.
     """
-    wanted = events_by_secret(requests, tables["events"])
-    tables = restrict_to_events(tables, wanted.select("event_id").distinct())
+    event_ids = stored(events_by_secret(requests, tables["events"]).select("event_id").distinct(), "wanted")
+    tables = restrict_to_events(tables, event_ids)
     events, sessions = tables["events"], tables["sessions"]
-    presenters = inline_list(_event_presenters(tables), "event_id", ["presenter_id"], F.col("item"), "presenters", **limit)
+    presenters = paged_list(
+        _event_presenters(tables), "event_id", ["presenter_id"], F.col("item"), "presenters", ["presenter_id"], page_items
+    )
     questions = small_list(
         _report_questions(tables).withColumn("displayOrder", F.col("item.displayOrder")),
         "event_id", "displayOrder", F.col("item"), "questions",
-    )
-    links = inline_list(
+    ).withColumn("page", F.lit(0))
+    links = paged_list(
         tables["session_presenters"], "session_id", ["presented_by_id"],
         F.struct(F.col("presented_by_id").alias("presenterId"), F.col("is_session_owner").alias("isOwner")),
-        "presenters", **limit,
+        "presenters", ["presented_by_id"], page_items,
     )
-    responses = inline_list(_report_responses(tables), "session_id", ["response_id"], F.col("item"), "responses", **limit)
-    session_items = (
-        sessions.join(links, "session_id", "left")
-        .join(responses, "session_id", "left")
-        .select(
-            "event_id",
-            "session_id",
-            F.struct(
-                F.col("session_id").alias("sessionId"),
-                F.col("feed_id").alias("sessionizeId"),
-                "title",
-                "presenters",
-                not_inline("presenters").alias("presentersInline"),
-                "responses",
-                not_inline("responses").alias("responsesInline"),
-            ).alias("item"),
-        )
+    responses = paged_list(
+        _report_responses(tables), "session_id", ["response_id"], F.col("item"), "responses", ["response_id"], page_items
     )
-    nested = inline_list(session_items, "event_id", ["session_id"], F.col("item"), "sessions", **limit)
-    reports = (
-        events.select("event_id", "name")
-        .join(presenters, "event_id", "left")
-        .join(questions, "event_id", "left")
-        .join(nested, "event_id", "left")
-        .withColumn("presenters_inline", F.coalesce("presenters_inline", F.lit(True)))
-        .withColumn("sessions_inline", F.coalesce("sessions_inline", F.lit(True)))
+    parts = _page_by_page(links, responses, "session_id")
+    session_items = sessions.join(parts, "session_id", "left").withColumn("pages", F.coalesce("pages", F.lit(1)))
+    item = F.struct(
+        F.col("session_id").alias("sessionId"), F.col("feed_id").alias("sessionizeId"), "title", "presenters", "responses",
+        *if_paged("page", "pages"),
+    )
+    held = 1 + F.coalesce(F.size("presenters"), F.lit(0)) + F.coalesce(F.size("responses"), F.lit(0))
+    nested = paged_list(
+        session_items, "event_id", ["session_id", "page"], item, "sessions", ["session_id", "page"], 10 * page_items, held
     )
-    return wanted.join(reports, "event_id")
+    lists = _page_by_page(presenters, nested, "event_id").join(questions, ["event_id", "page"], "full_outer")
+    reports = events.select("event_id", "name").join(lists, "event_id", "left")
+    return reports.withColumns({"page": F.coalesce("page", F.lit(0)), "pages": F.coalesce("pages", F.lit(1))})
+
+
+def _page_by_page(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Two paged lists of a key side by side: page n of one with page n of the other."""
+    both = a.withColumnRenamed("pages", "_a").join(b.withColumnRenamed("pages", "_b"), [key, "page"], "full_outer")
+    return both.withColumn("pages", F.greatest("_a", "_b")).drop("_a", "_b")
 
 
 def event_report_json(reports: DataFrame) -> DataFrame:
-    return reports.select(
-        "request_id",
-        F.to_json(
-            F.struct(
-                "name", "presenters", not_inline("presenters").alias("presentersInline"), "questions", "sessions",
-                not_inline("sessions").alias("sessionsInline"),
-            )
-        ).alias("body"),
-    )
+    body = F.struct("name", "presenters", "questions", "sessions", *if_paged("page", "pages"))
+    return reports.select("event_id", "page", F.to_json(body).alias("body"))
 
 
 def report_parts(tables: dict[str, DataFrame]) -> DataFrame:

@@ -29,6 +29,14 @@ def response_events(responses: DataFrame, sessions: DataFrame) -> DataFrame:
     )
 
 
+def popular_events(responses: DataFrame, sessions: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Events with more than `hot_rows` responses, for salting. Responses are counted per session first, and
+    only the counts meet the sessions."""
+    counts = responses.groupBy("session_id").agg(F.count("*").alias("_responses"))
+    per_event = counts.join(sessions.select("session_id", "event_id"), "session_id")
+    return hot_keys(per_event, "event_id", hot_rows, F.col("_responses"))
+
+
 def click_targets(questions: DataFrame, options: DataFrame) -> DataFrame:
     """What a click can hit: one row per option, with its question's event and type."""
     return options.select("question_id", "answer_ordinal", "answer_option_id").join(
@@ -351,7 +359,7 @@ def visible_questions(changes, responses, sessions, questions, options, hot_rows
         .agg(F.collect_list("question_id").alias("question_ids"))
     )
     members = response_events(responses, sessions)
-    hot = hot_keys(members, "event_id", hot_rows)
+    hot = popular_events(responses, sessions, hot_rows)
     at_once = salted_join(members, displayed, hot, "event_id", "response_id").select(
         "response_id", F.explode("question_ids").alias("question_id")
     )
@@ -359,7 +367,8 @@ def visible_questions(changes, responses, sessions, questions, options, hot_rows
     opened = clicked_options(changes, responses, sessions, follow_ups, questions).select(
         "response_id", F.col("if_selected_show_question_id").alias("question_id")
     )
-    return at_once.union(opened).distinct()
+    # A question displayed at once is one that no option points at, so the two sides have nothing in common.
+    return at_once.union(opened.distinct())
 
 
 def answer_bands(changes, responses, sessions, questions, options) -> DataFrame:

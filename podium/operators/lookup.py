@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from podium.functions.nest import inline_list
+from podium.functions.nest import PAGE_ITEMS, paged_list
 from podium.functions.skew import hot_keys, salted_join
 from podium.functions.text import collated, event_link, matches, qr_link, session_link, speaker_names
 
@@ -54,11 +54,8 @@ def open_sessions(sessions: DataFrame, events: DataFrame, as_of: dt.datetime) ->
 def events_by_secret(requests: DataFrame, events: DataFrame) -> DataFrame:
     """The event of each request's secret, compared without case; unknown secrets give no row."""
     owners = events.groupBy(F.lower("event_secret").alias("_secret")).agg(F.min("event_id").alias("event_id"))
-    return (
-        requests.withColumn("_secret", F.lower("secret"))
-        .join(owners, "_secret")
-        .drop("_secret")
-    )
+    keyed = requests.withColumn("_secret", F.lower("secret"))
+    return salted_join(keyed, owners, hot_keys(keyed, "_secret"), "_secret", "request_id").drop("_secret")
 
 
 # Speakers and listings
@@ -72,18 +69,20 @@ def session_speaker_rows(session_presenters: DataFrame, presenters: DataFrame) -
 
 
 def session_speakers(session_presenters: DataFrame, presenters: DataFrame, order: str = "name",
-                     collation: str | None = None, **limit: int) -> DataFrame:
-    """Per session the array `presenters` of {name}: by name, or `order="owner"` with the owner first."""
+                     collation: str | None = None, page_items: int = PAGE_ITEMS) -> DataFrame:
+    """Per session the array `presenters` of {name}: by name, or `order="owner"` with the owner first. A
+    session with more speakers than a page holds has several rows, see `paged_list`."""
     by = [collated("name", collation), "presenter_id"]
     if order == "owner":
         by = [F.col("is_session_owner").desc(), *by]
     rows = session_speaker_rows(session_presenters, presenters)
-    return inline_list(rows, "session_id", by, F.struct("name"), "presenters", **limit)
+    return paged_list(rows, "session_id", by, F.struct("name"), "presenters", ["presenter_id"], page_items)
 
 
 def session_listing(sessions: DataFrame, events: DataFrame, session_presenters: DataFrame,
-                    presenters: DataFrame, restrict: bool = False) -> DataFrame:
-    """Rows of a session list: id, event, title, style sheet and speakers by name.
+                    presenters: DataFrame, restrict: bool = False, page_items: int = PAGE_ITEMS) -> DataFrame:
+    """Rows of a session list: id, event, title, style sheet and speakers by name; one row for each page of
+    speakers, numbered in `page`.
 
     `restrict` says that `sessions` is a part of all sessions; the links are then cut down to it before
     their lists are built. The cut uses the partitioning the lists need anyway.
@@ -93,15 +92,16 @@ def session_listing(sessions: DataFrame, events: DataFrame, session_presenters:
         links = links.join(sessions.select("session_id"), "session_id", "left_semi")
     return (
         sessions.join(events.select("event_id", "css"), "event_id")
-        .join(session_speakers(links, presenters), "session_id", "left")
-        .withColumn("presenters_inline", F.coalesce("presenters_inline", F.lit(True)))
+        .join(session_speakers(links, presenters, page_items=page_items), "session_id", "left")
+        .withColumns({"page": F.coalesce("page", F.lit(0)), "pages": F.coalesce("pages", F.lit(1))})
         .drop("feed_id")
     )
 
 
 def search_sessions(listing: DataFrame, needle: str) -> DataFrame:
-    """Rows whose title or speaker names contain the needle."""
-    return listing.where(matches(needle, F.col("title"), speaker_names("presenters")))
+    """Rows of the sessions whose title or speaker names contain the needle, all pages of them."""
+    found = listing.where(matches(needle, F.col("title"), speaker_names("presenters")))
+    return listing.join(found.select("session_id").distinct(), "session_id", "left_semi")
 
 
 def share_links(sessions: DataFrame, host: str) -> DataFrame:
@@ -147,7 +147,8 @@ def requested_events(requests: DataFrame, responses: DataFrame, sessions: DataFr
 
 def _list_events(event_ids: DataFrame, catalog: dict[str, DataFrame]) -> DataFrame:
     asked = event_ids.groupBy("event_id").agg(F.count("*").alias("n_requests"))
-    return _listing_of(catalog["sessions"].join(asked, "event_id"), catalog)
+    sessions = catalog["sessions"]
+    return _listing_of(salted_join(sessions, asked, hot_keys(sessions, "event_id"), "event_id", "session_id"), catalog)
 
 
 def _listing_of(sessions: DataFrame, catalog: dict[str, DataFrame]) -> DataFrame:

@@ -308,6 +308,11 @@ def _session_items(df, *keep):
     )
 
 
+def _per_request(t, df):
+    """Rows of events for every request that knows the event's secret."""
+    return lookup.events_by_secret(t.secrets, t.events).select("request_id", "event_id").join(df, "event_id")
+
+
 @query
 def sessions_blob(t):
     return _session_items(documents.sessions_blob(_listing(t)), "event_id")
@@ -316,7 +321,7 @@ def sessions_blob(t):
 @query
 def admin_event_info(t):
     info = documents.admin_event_info(t.secrets, t.events, t.sessions, t.session_presenters, t.presenters)
-    return _session_items(info.select("request_id", "event_id", "name", "sessions"), "request_id", "event_id", "name")
+    return _session_items(_per_request(t, info.select("event_id", "name", "sessions")), "request_id", "event_id", "name")
 
 
 @query
@@ -324,7 +329,7 @@ def admin_event_json(t):
     """The documents as JSON text, read back by path."""
     info = documents.admin_event_info(t.secrets, t.events, t.sessions, t.session_presenters, t.presenters)
     body = lambda path: F.get_json_object("body", path)
-    return documents.admin_event_json(info).select(
+    return _per_request(t, documents.admin_event_json(info)).select(
         "request_id",
         body("$.eventId").cast("bigint").alias("event_id"),
         body("$.name").alias("name"),
@@ -373,22 +378,21 @@ def event_report(t):
     """Leaf rows of the nested report: one per response."""
     reports = documents.event_report(t.secrets, t.published)
     rows = reports.select(
-        "request_id", "event_id", "name",
+        "event_id", "name",
         F.size("presenters").cast("bigint").alias("n_presenters"), F.size("questions").cast("bigint").alias("n_questions"),
         F.explode("sessions").alias("s"),
-    ).select(
-        "request_id", "event_id", "name", "n_presenters", "n_questions", "s", F.explode("s.responses").alias("r")
-    )
+    ).select("event_id", "name", "n_presenters", "n_questions", "s", F.explode("s.responses").alias("r"))
     ids = F.array_join(F.transform("r.answers", lambda a: a["optionId"].cast("string")), ",")
     texts = F.array_join(F.transform("r.textAnswers", lambda x: F.concat_ws("=", x["questionId"], x["text"])), ",")
     owner = F.filter("s.presenters", lambda p: p["isOwner"])
-    return rows.select(
-        "request_id", "event_id", "name", "n_presenters", "n_questions",
+    leaves = rows.select(
+        "event_id", "name", "n_presenters", "n_questions",
         F.col("s.sessionId").alias("session_id"), F.col("s.sessionizeId").alias("feed_id"), F.col("s.title").alias("title"),
         F.get(owner, 0)["presenterId"].alias("owner_id"),
         F.col("r.responseId").alias("response_id"), F.col("r.created").alias("created"), F.col("r.updated").alias("updated"),
         ids.alias("option_ids"), texts.alias("texts"),
     )
+    return _per_request(t, leaves)
 
 
 @query

@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from podium.functions.nest import inline_list
+from podium.functions.nest import paged_list
 from podium.functions.text import leading_int, speaker_names
 from podium.operators import documents, lookup
 from podium.session import fresh_path
@@ -65,7 +65,9 @@ def test_form_document(tables):
 def test_admin_document(spark, tables):
     requests = spark.createDataFrame([(1, "aBc"), (2, "DEF"), (3, "unknown")], "request_id BIGINT, secret STRING")
     info = documents.admin_event_info(requests, *[tables[n] for n in ("events", "sessions", "session_presenters", "presenters")])
-    assert bodies(documents.admin_event_json(info)) == {
+    by_event = bodies(documents.admin_event_json(info))
+    wanted = lookup.events_by_secret(requests, tables["events"])
+    assert {r.request_id: by_event[r.event_id] for r in wanted.collect()} == {
         1: {
             "eventId": 1, "name": "E",
             "sessions": [
@@ -107,20 +109,50 @@ def test_report_document(spark, tables):
     }
 
 
-def test_lists_beyond_the_limit_are_marked_and_whole_elsewhere(spark, tables):
-    rows = spark.range(30).selectExpr("id % 3 AS key", "id AS value").where("key > 0 OR value < 9")
-    lists = {r["key"]: r for r in inline_list(rows, "key", ["value"], F.col("value"), "values", limit=5).collect()}
-    assert lists[0]["values"] == [0, 3, 6] and lists[0].values_inline
-    assert lists[1]["values"] is None and not lists[1].values_inline
+def test_long_lists_are_paged_and_whole(spark):
+    rows = spark.range(2000).selectExpr("CASE WHEN id < 1900 THEN 0 ELSE id END AS key", "id AS value")
+    pages = paged_list(rows, "key", [F.desc("value")], F.col("value"), "values", ["value"], page_items=100).collect()
+    hot = [r for r in pages if r["key"] == 0]
+    assert {r.pages for r in hot} == {19} and len({r.page for r in hot}) == len(hot)
+    assert sorted(v for r in hot for v in r["values"]) == list(range(1900))
+    assert all(r["values"] == sorted(r["values"], reverse=True) and len(r["values"]) < 200 for r in hot)
+    assert all((r.page, r.pages, r["values"]) == (0, 1, [r["key"]]) for r in pages if r["key"])
+
+
+def test_documents_of_any_size_lose_nothing(spark, table, tables):
+    """700 speakers and 1,200 responses of one session, 600 sessions of one event."""
+    n, m = 700, 1200
+    big = dict(tables)
+    big["sessions"] = tables["sessions"].unionByName(table("sessions", [(1000 + i, 1, None, f"T{i}") for i in range(600)]))
+    big["presenters"] = table("presenters", [(i, f"P{i}", None, None) for i in range(n)])
+    big["session_presenters"] = table("session_presenters", [(11, i, i == 0) for i in range(n)])
+    big["responses"] = table("responses", [(i, 11, f"c{i}", AT, AT) for i in range(m)])
+    big["response_answers"] = table("response_answers", [(i, 10, 101, AT, 0, AT) for i in range(m)])
     requests = spark.createDataFrame([(1, "abc")], "request_id BIGINT, secret STRING")
-    report = bodies(documents.event_report_json(documents.event_report(requests, tables, limit=1)))[1]
-    assert report["sessionsInline"] is False and "sessions" not in report
-    parts = [(r.part, r.part_id) for r in documents.report_parts(tables).where("event_id = 1").collect()]
-    assert sorted(parts) == sorted([
-        ("event", "1"), ("presenter", "1"), ("presenter", "2"), ("question", "10"), ("question", "11"),
-        ("session", "11"), ("session", "12"), ("session_presenter", "11"), ("session_presenter", "11"),
-        ("response", "7"), ("response", "8"),
-    ])
+    rows = documents.event_report(requests, big, page_items=100).collect()
+    assert len(rows) > 1 and {r.event_id for r in rows} == {1}
+    assert sorted(p.presenterId for r in rows for p in r.presenters or []) == list(range(n))
+    assert sum(len(r.questions or []) for r in rows) == 2
+    items = [s for r in rows for s in r.sessions or []]
+    assert {s.sessionId for s in items} == {11, 12, *range(1000, 1600)}
+    assert sorted(p.presenterId for s in items for p in s.presenters or []) == list(range(n))
+    assert sorted(x.responseId for s in items for x in s.responses or []) == list(range(m))
+    assert max(len(s.responses or []) for s in items) < 200
+    flat = documents.report_rows(big).where("answer_option_id IS NOT NULL")
+    assert sorted(r.response_id for r in flat.collect()) == sorted(x.responseId for s in items for x in s.responses or [] if x.answers)
+
+    catalog = [big[k] for k in ("events", "session_presenters", "presenters")]
+    listing = lookup.session_listing(big["sessions"], *catalog)
+    assert sum(len(r.presenters) for r in listing.where("session_id = 11").collect()) == n
+    # A speaker on one page finds all rows of the session.
+    found = lookup.search_sessions(listing, "p699").collect()
+    assert {r.session_id for r in found} == {11} and len(found) == listing.where("session_id = 11").count()
+    info = documents.admin_event_info(requests, big["events"], big["sessions"], big["session_presenters"], big["presenters"])
+    listed = [json.loads(r.body) for r in documents.admin_event_json(info).collect()]
+    assert {s["sessionId"] for d in listed for s in d["sessions"]} == {11, 12, *range(1000, 1600)}
+    assert len(listed) > 1 and all(d["pages"] == listed[0]["pages"] for d in listed)
+    forms = documents.questionnaire(*[big[k] for k in ("responses", "sessions", "events", "session_presenters", "presenters", "questions", "answer_options")])
+    assert sum(len(r.speakers) for r in forms.where("response_id = 5").collect()) == n
 
 
 def test_report_parts_round_trip(spark, tables):

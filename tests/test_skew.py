@@ -25,10 +25,16 @@ def test_salted_join_equals_the_plain_join(spark):
     assert right.count() == 39 + 11
 
 
-def test_group_limit_trims_lists_before_the_shuffle(spark):
-    from podium.functions.nest import inline_list
+def test_a_long_list_of_hot_keys_is_not_broadcast(spark, monkeypatch):
+    from podium.functions import skew
 
-    rows = spark.range(1000).selectExpr("id % 2 AS key", "id AS value")
-    plan = inline_list(rows, "key", ["value"], F.col("value"), "values")._jdf.queryExecution().executedPlan().toString()
-    partial = plan.rindex("WindowGroupLimit")
-    assert "Partial" in plan[partial:] and plan.rindex("Exchange hashpartitioning") < partial
+    hot = hot_keys(spark.range(100).selectExpr("id % 3 AS key"), "key", 10)
+    plan = lambda: skew.checked(hot)._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" in plan()
+    monkeypatch.setattr(skew, "BROADCAST_KEYS", 2)
+    assert "broadcast" not in plan()
+
+
+def test_weighted_hot_keys(spark):
+    rows = spark.createDataFrame([(1, 6), (1, 6), (2, 6)], "key BIGINT, n BIGINT")
+    assert [tuple(r) for r in hot_keys(rows, "key", 10, F.col("n")).collect()] == [(1, 2)]
