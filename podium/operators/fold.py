@@ -10,7 +10,7 @@ response's event, does the option exist) is checked on the folded rows, far fewe
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from podium.functions.skew import HOT_ROWS, SALT, hot_keys, salt, salted_join
@@ -55,6 +55,7 @@ def click_marks(changes: DataFrame) -> DataFrame:
         F.lit(1).cast("bigint").alias("clicks"),
         F.col("ts").alias("first_ts"),
         F.col("ts").alias("last_ts"),
+        F.col("seq").alias("first_seq"),
         "seq",
     )
 
@@ -76,6 +77,7 @@ def text_marks(changes: DataFrame) -> DataFrame:
         F.lit(1).cast("bigint").alias("clicks"),
         F.col("ts").alias("first_ts"),
         F.col("ts").alias("last_ts"),
+        F.col("seq").alias("first_seq"),
         "seq",
     )
 
@@ -86,8 +88,10 @@ def text_resets(changes: DataFrame) -> DataFrame:
     )
 
 
-def stored_marks(rows: DataFrame, payload: str, seq=BEFORE_LOG) -> DataFrame:
-    """Rows that are folded already; `payload` is `answer_ordinal` or `plaintext`."""
+def stored_marks(rows: DataFrame, payload: str, seq: Column | None = None) -> DataFrame:
+    """Rows that are folded already; `payload` is `answer_ordinal` or `plaintext`. `seq` is their place, before
+    the log by default."""
+    seq = F.lit(BEFORE_LOG).cast("bigint") if seq is None else seq
     return rows.select(
         "response_id",
         "question_id",
@@ -95,11 +99,12 @@ def stored_marks(rows: DataFrame, payload: str, seq=BEFORE_LOG) -> DataFrame:
         (F.col("revision") + 1).cast("bigint").alias("clicks"),
         F.col("created").alias("first_ts"),
         F.col("updated").alias("last_ts"),
-        (seq if not isinstance(seq, int) else F.lit(seq)).cast("bigint").alias("seq"),
+        seq.alias("first_seq"),
+        seq.alias("seq"),
     )
 
 
-def stored_click_marks(answers: DataFrame, options: DataFrame, seq=BEFORE_LOG) -> DataFrame:
+def stored_click_marks(answers: DataFrame, options: DataFrame, seq: Column | None = None) -> DataFrame:
     ordinals = options.select("answer_option_id", "answer_ordinal")
     return stored_marks(answers.join(ordinals, "answer_option_id"), "answer_ordinal", seq)
 
@@ -114,13 +119,14 @@ def busy_responses(log: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 
 
 def _with_live_seq(marks: DataFrame, resets: DataFrame | None, slot: list[str], hot: DataFrame) -> DataFrame:
-    """Add `live_seq`, the mark's seq where no later reset hit its slot, else NULL, and the salt."""
+    """Add `live_seq`, the mark's first seq where no later reset hit its slot, else NULL, and the salt. A mark of
+    several clicks never has a reset between them."""
     if resets is None:
-        return marks.withColumn("live_seq", F.col("seq")).withColumn(SALT, F.lit(0))
+        return marks.withColumn("live_seq", F.col("first_seq")).withColumn(SALT, F.lit(0))
     last_reset = resets.groupBy(slot).agg(F.max("seq").alias("reset_seq"))
     marks, last_reset = salt(marks, last_reset, hot, "response_id", "seq")
     live = F.col("reset_seq").isNull() | (F.col("seq") > F.col("reset_seq"))
-    return marks.join(last_reset, [*slot, SALT], "left").withColumn("live_seq", F.when(live, F.col("seq")))
+    return marks.join(last_reset, [*slot, SALT], "left").withColumn("live_seq", F.when(live, F.col("first_seq")))
 
 
 def fold_click_marks(
@@ -136,15 +142,15 @@ def fold_click_marks(
     An uncheck hits its ordinal on every checkbox question of the response, whatever question it names;
     `scoped=True` limits it to that question.
     """
-    slot = ["response_id", "question_id", "answer_ordinal"] if scoped else ["response_id", "answer_ordinal"]
+    slot = click_slot(scoped)
     per_option = (
         _with_live_seq(marks, resets, slot, hot)
         .groupBy("response_id", "question_id", "answer_ordinal", SALT)
         .agg(
             F.sum("clicks").alias("clicks"),
-            F.min("seq").alias("first_seq"),
+            F.min("first_seq").alias("first_seq"),
             F.max("seq").alias("last_seq"),
-            F.min_by("first_ts", "seq").alias("first_ts"),
+            F.min_by("first_ts", "first_seq").alias("first_ts"),
             F.max_by("last_ts", "seq").alias("last_ts"),
             F.min("live_seq").alias("checked_seq"),
             F.min_by("first_ts", "live_seq").alias("checked_ts"),
@@ -203,10 +209,10 @@ def fold_text_marks(
     slot = ["response_id", "question_id"]
     live = _with_live_seq(marks, resets, slot, hot).where("live_seq IS NOT NULL")
     parts = live.groupBy(*slot, SALT).agg(
-        F.min("seq").alias("first_seq"),
+        F.min("first_seq").alias("first_seq"),
         F.max("seq").alias("last_seq"),
         F.max_by("plaintext", "seq").alias("plaintext"),
-        F.min_by("first_ts", "seq").alias("first_ts"),
+        F.min_by("first_ts", "first_seq").alias("first_ts"),
         F.sum("clicks").alias("clicks"),
         F.max_by("last_ts", "seq").alias("last_ts"),
     )
@@ -223,6 +229,38 @@ def fold_text_marks(
     )
 
 
+# Partial folds: what a part of the log leaves for a later fold, without a look at responses or questions.
+
+
+def click_slot(scoped: bool) -> list[str]:
+    return ["response_id", "question_id", "answer_ordinal"] if scoped else ["response_id", "answer_ordinal"]
+
+
+def partial_clicks(marks: DataFrame, resets: DataFrame, hot: DataFrame, scoped: bool = False) -> DataFrame:
+    """Marks of the clicks up to the last reset of their slot, which only radio and text questions count, and of
+    those after it."""
+    live = _with_live_seq(marks, resets, click_slot(scoped), hot)
+    merged = live.groupBy("response_id", "question_id", "answer_ordinal", F.col("live_seq").isNull().alias("_dead"), SALT)
+    return merged.agg(*_merged_marks()).drop("_dead", SALT)
+
+
+def partial_texts(marks: DataFrame, resets: DataFrame, hot: DataFrame) -> DataFrame:
+    """Marks of the texts after the last empty one of their question."""
+    live = _with_live_seq(marks, resets, ["response_id", "question_id"], hot).where("live_seq IS NOT NULL")
+    merged = live.groupBy("response_id", "question_id", SALT)
+    return merged.agg(F.max_by("plaintext", "seq").alias("plaintext"), *_merged_marks()).drop(SALT)
+
+
+def _merged_marks() -> list[Column]:
+    return [
+        F.sum("clicks").alias("clicks"),
+        F.min_by("first_ts", "first_seq").alias("first_ts"),
+        F.max_by("last_ts", "seq").alias("last_ts"),
+        F.min("first_seq").alias("first_seq"),
+        F.max("seq").alias("seq"),
+    ]
+
+
 # User-level operators
 
 
