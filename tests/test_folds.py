@@ -96,18 +96,42 @@ def test_stream_equals_batch_for_any_split(seed, spark, survey, log):
     for low, high in zip([0, *cuts], [*cuts, 500]):
         log(rows[low:high]).write.mode("append").parquet(source)
         arriving = spark.readStream.schema(schema).parquet(source)
-        stream.stream_apply_changes(arriving, tables, deltas, checkpoint).awaitTermination()
+        stream.stream_apply_changes(arriving, deltas, checkpoint).awaitTermination()
     expected = replay(rows, 15)
     assert rows_of(stream.stream_state(spark, deltas, tables)) == expected
-    # Compacting half of the batches keeps the state; a replayed batch changes nothing.
-    compacted = fresh_path(spark, "compacted")
-    stream.compact_state(spark, deltas, compacted, tables, up_to=1)
-    later = stream.read_deltas(spark, deltas).where("batch_id > 1")
-    merged = stream.merge_deltas(stream.read_deltas(spark, compacted).unionByName(later), tables)
-    assert rows_of(merged) == expected
+    # Compacting half of the batches, and then all, keeps the state; a replayed batch changes nothing.
+    stream.compact_state(spark, deltas, up_to=1)
+    assert stream.compacted_up_to(spark, deltas) == 1
+    assert rows_of(stream.stream_state(spark, deltas, tables)) == expected
     last = log(rows[cuts[-1]:])
-    stream._write_delta(stream.batch_delta(last, tables), deltas, 3)
+    stream._write_delta(stream.batch_delta(last, 3), deltas, stream.BATCHES, "batch_id=3")
+    assert rows_of(stream.stream_state(spark, deltas, tables)) == expected
+    stream.compact_state(spark, deltas, up_to=3)
     assert rows_of(stream.stream_state(spark, deltas, tables)) == expected
+    # The job goes on after a compaction.
+    more = random_log(rng, 15, 600)[500:]
+    more = [(*r[:-1], 10_000 + i) for i, r in enumerate(more)]
+    log(more).write.mode("append").parquet(source)
+    arriving = spark.readStream.schema(schema).parquet(source)
+    stream.stream_apply_changes(arriving, deltas, checkpoint).awaitTermination()
+    assert rows_of(stream.stream_state(spark, deltas, tables)) == replay(rows + more, 15)
+
+
+def test_stream_applies_to_stored_answers_and_to_responses_opened_later(spark, survey, log):
+    rng = random.Random(8)
+    rows = random_log(rng, 12, 400)
+    early = {**survey(6), **{n: t for n, t in fold.apply_changes(survey(6), log(rows[:150])).items() if n.startswith("response")}}
+    source, deltas, checkpoint = (fresh_path(spark, n) for n in ("source", "deltas", "checkpoint"))
+    for part in (rows[150:280], rows[280:]):
+        log(part).write.mode("append").parquet(source)
+        arriving = spark.readStream.schema(log([]).schema).parquet(source)
+        stream.stream_apply_changes(arriving, deltas, checkpoint).awaitTermination()
+    stream.compact_state(spark, deltas, up_to=1)
+    # Responses 6 to 11 exist by the time the state is read, without any stored answer.
+    now = {**early, "responses": early["responses"].unionByName(survey(12)["responses"].where("response_id >= 6"))}
+    got = stream.stream_state(spark, deltas, now)
+    assert rows_of(got) == rows_of(fold.apply_changes(now, log(rows[150:])))
+    assert got["response_answers"].where("response_id >= 6").count() > 0
 
 
 def test_stream_drops_redelivered_changes_on_request(spark, survey, log):
@@ -119,7 +143,7 @@ def test_stream_drops_redelivered_changes_on_request(spark, survey, log):
     for key in (None, "seq"):
         deltas, checkpoint = fresh_path(spark, "deltas"), fresh_path(spark, "checkpoint")
         arriving = spark.readStream.schema(log([]).schema).parquet(source)
-        stream.stream_apply_changes(arriving, tables, deltas, checkpoint, dedupe_on=key).awaitTermination()
+        stream.stream_apply_changes(arriving, deltas, checkpoint, dedupe_on=key).awaitTermination()
         revisions.append(stream.stream_state(spark, deltas, tables)["response_answers"].first().revision)
     assert revisions == [3, 1]
 
