@@ -6,8 +6,8 @@ a benchmark item and the offset between them. At every such offset the words aro
 by one, and the passage counts if enough of them agree.
 
 The benchmark is the small side: its hashes are broadcast if a count shows that they fit, else both sides are
-shuffled by hash. Hits are reduced to distinct (document, item, offset) before the texts are joined again, so a
-passage that many documents share costs each of them a few rows, and no pair of documents ever meets.
+shuffled by hash. Hits are reduced to distinct (text, item, offset) before the texts are joined again, so copies
+are verified once, a passage that many documents share costs each a few rows, and no pair of documents meets.
 """
 
 from __future__ import annotations
@@ -50,21 +50,27 @@ def seed_hashes(rows: DataFrame, keys: list[str], words: str) -> DataFrame:
     return spread.select(*keys, "position", F.explode(masked).alias("hash"))
 
 
+def text_key(text: Column) -> Column:
+    """128 bits that tell texts apart: equal texts have the same passages and are searched under one key."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
 def passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(row, doc_id, item_id, first_word, n_words, n_agree): every place where a document has a passage of the
-    benchmark, at its best window. `docs` has (row, doc_id, text), `row` unique."""
+    """(key, item_id, first_word, n_words, n_agree): every place where a text has a passage of the benchmark, at
+    its best window, once for all copies of the text."""
     items = benchmark.where(F.col("text").isNotNull()).select("item_id", word_hashes(F.col("text")).alias("item"))
     items = stored(items.dropDuplicates(["item_id", "item"]).withColumn("item_row", F.monotonically_increasing_id()), "leak-items")
     seeds = seed_hashes(items, ["item_row"], "item").select("item_row", F.col("position").alias("item_at"), "hash")
     seeds = stored(seeds, "leak-seeds")
     small = F.broadcast if seeds.count() <= BROADCAST_HASHES else (lambda df: df)
-    hashed = docs.select("row", word_hashes(F.col("text")).alias("words"))
-    hits = seed_hashes(hashed, ["row"], "words").join(small(seeds), "hash")
-    offsets = hits.select("row", "item_row", (F.col("position") - F.col("item_at")).alias("shift")).distinct()
+    hashed = docs.select(text_key(F.col("text")).alias("key"), word_hashes(F.col("text")).alias("words"))
+    hits = seed_hashes(hashed, ["key"], "words").join(small(seeds), "hash")
+    offsets = hits.select("key", "item_row", (F.col("position") - F.col("item_at")).alias("shift")).distinct()
     offsets = stored(offsets, "leak-hits")
-    texts = docs.join(offsets.select("row").distinct(), "row", "left_semi").select("row", "doc_id", word_hashes(F.col("text")).alias("words"))
-    found = offsets.join(items, "item_row").join(texts, "row")
-    return best_window(found).where(enough(F.col("n_agree"), F.col("n_words")))
+    texts = docs.select(text_key(F.col("text")).alias("key"), "text").join(offsets.select("key").distinct(), "key", "left_semi")
+    texts = texts.groupBy("key").agg(F.first("text").alias("text")).select("key", word_hashes(F.col("text")).alias("words"))
+    found = offsets.join(items, "item_row").join(texts, "key")
+    return stored(best_window(found).where(enough(F.col("n_agree"), F.col("n_words"))), "leak-passages")
 
 
 def enough(agree: Column, compared: Column) -> Column:
@@ -85,10 +91,10 @@ def best_window(found: DataFrame) -> DataFrame:
         F.sequence(F.lit(1), F.size("_same") - size + 1),
         lambda i: F.struct(F.aggregate(F.slice("_same", i, size), F.lit(0), lambda a, x: a + x).alias("agree"), (-i).alias("at")),
     )
-    rows = found.select("row", "doc_id", "item_id", "shift", lowest.alias("_low"), same.alias("_same"))
+    rows = found.select("key", "item_id", "shift", lowest.alias("_low"), same.alias("_same"))
     best = rows.withColumn("_best", F.array_max(scores)).withColumn("n_words", size)
     return best.select(
-        "row", "doc_id", "item_id", (F.col("_low") + F.col("shift") - F.col("_best.at") - 1).cast("bigint").alias("first_word"),
+        "key", "item_id", (F.col("_low") + F.col("shift") - F.col("_best.at") - 1).cast("bigint").alias("first_word"),
         F.col("n_words").cast("bigint").alias("n_words"), F.col("_best.agree").cast("bigint").alias("n_agree"),
     )
 
@@ -97,20 +103,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and benchmark item it has a passage of: (doc_id, item_id, n_places, n_agree, n_words,
     first_word), with the best place by agreeing words, then the first.
 
-    Null or short texts (fewer than SPAN words) have no passage and no row. Documents of one doc_id are searched
-    row by row and reported together; items with a null id are reported with a null id. Extra columns are ignored.
+    Null or short texts (fewer than SPAN words) have no passage and no row. Different texts of one doc_id are
+    reported together, equal rows once; items with a null id are reported with a null id. Extra columns are
+    ignored; empty tables give no rows.
     """
-    numbered = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    found = passages(stored(numbered, "leak-docs"), benchmark)
+    found = passages(docs, benchmark)
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("key"))
+    named = rows.join(found.select("key").distinct(), "key", "left_semi").distinct().join(found, "key")
     best = F.max(F.struct("n_agree", (-F.col("first_word")).alias("_at"), "n_words"))
-    return found.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_places"), best.alias("_best")).select(
+    return named.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_places"), best.alias("_best")).select(
         "doc_id", "item_id", "n_places", "_best.n_agree", "_best.n_words", (-F.col("_best._at")).alias("first_word")
     )
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a passage of the benchmark, all columns kept."""
-    numbered = stored(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.monotonically_increasing_id().alias("row")), "leak-docs")
-    found = passages(numbered.select("row", F.col("_doc.doc_id").alias("doc_id"), F.col("_doc.text").alias("text")), benchmark)
-    clean = numbered.join(stored(found.select("row").distinct(), "leak-rows"), "row", "left_anti")
+    leaked = stored(passages(docs, benchmark).select("key").distinct(), "leak-keys")
+    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    clean = docs.select(doc, text_key(F.col("text")).alias("key")).join(leaked, "key", "left_anti")
     return clean.select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])
