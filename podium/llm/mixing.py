@@ -162,7 +162,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs=MAX_EPOCHS, seed: int = SEE
     """Per document (doc_id, size, source_size, target, repeats, taken): how often the mix takes it.
 
     A null text has size 0, and so has an empty one; such documents are taken like others of their source but
-    add no words. A null source is a source of its own. Rows of one doc_id share one draw: they are taken
+    add no words. A source without words has target 0 and its documents are taken once. A null source is a source of its own. Rows of one doc_id share one draw: they are taken
     together. An empty table gives an empty result. Other columns are ignored.
     """
     sized = stored(

@@ -202,14 +202,17 @@ def correlation(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
 
 
 def maximise(patterns: np.ndarray, free: np.ndarray, clean: np.ndarray, toxic: np.ndarray, groups: list[tuple[int, ...]]) -> np.ndarray:
-    """Expectation maximisation; without labels it starts from voters that rarely fire on clean documents."""
+    """Expectation maximisation. Without labels of both classes a mixture of few voters cannot be told from
+    another, so every pattern with a firing voter is held to be toxic."""
     states = [fires(patterns, g) for g in groups]
     posterior = np.where(patterns != 0, 0.9, 0.02)
-    labelled, known = clean.sum() + toxic.sum(), clean.sum() and toxic.sum()
+    if not (clean.sum() and toxic.sum()):
+        return posterior
+    labelled = clean.sum() + toxic.sum()
     for step in range(ROUNDS):
         # Rows without a label weigh no more than those with one, or they would take the classes elsewhere; the
         # first estimate is from labelled rows alone.
-        share = (0.0 if step == 0 else min(1.0, labelled / max(free.sum(), 1.0))) if known else 1.0
+        share = 0.0 if step == 0 else min(1.0, labelled / max(free.sum(), 1.0))
         weight = np.stack([share * free * (1 - posterior) + clean, share * free * posterior + toxic])
         prior = (weight.sum(axis=1) + 1) / (weight.sum() + 2)
         score = np.log(prior)[:, None] + np.zeros((2, len(patterns)))

@@ -52,7 +52,7 @@ def test_targets_and_sampling(spark, monkeypatch, broadcast):
 
 def test_only_empty_texts(spark):
     got = mixing.mix(documents(spark, [(1, None, None, None), (2, "", "en", "a")])).collect()
-    assert [(x.size, x.target, x.repeats) for x in got] == [(0, 0.0, 0)] * 2
+    assert [(x.size, x.target, x.taken, x.repeats) for x in got] == [(0, 0.0, 0, 1)] * 2
 
 
 def test_the_sorted_level_agrees_with_the_rounds(spark, monkeypatch):

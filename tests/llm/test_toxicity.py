@@ -67,7 +67,7 @@ def test_the_label_model_finds_accuracies_and_correlations():
     count = lambda rows: np.array([(mask[rows] == p).sum() for p in patterns], dtype=float)
     known = np.arange(20_000) < 1_000
     posterior, groups = toxicity.fit_labels(patterns, count(~known), count(known & ~truth), count(known & truth), 5)
-    assert (0, 4) in groups
+    assert any({0, 4} <= set(g) for g in groups)
     by_rows = posterior[np.searchsorted(patterns, mask)]
     best = np.array([truth[mask == p].mean() for p in patterns])[np.searchsorted(patterns, mask)]
     assert np.abs(by_rows - best).mean() < 0.03
