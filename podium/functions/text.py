@@ -12,6 +12,11 @@ def leading_int(text: Column | str, kind: str = "bigint") -> Column:
     return digits.try_cast(kind)
 
 
+def starts_with_number(text: Column | str) -> Column:
+    """Whether `leading_int` has digits to read."""
+    return F.coalesce(F.regexp_extract(text, r"^\s*([+-]?\d+)", 1) != "", F.lit(False))
+
+
 def speaker_names(presenters: Column | str) -> Column:
     """Names joined by commas; empty where there are none."""
     names = F.transform(presenters, lambda p: p["name"])

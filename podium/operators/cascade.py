@@ -88,8 +88,8 @@ def delete_events(tables: dict[str, DataFrame], ids: DataFrame) -> tuple[dict[st
     ]:
         if name in tables:
             result[name] = tables[name].join(gone, key, "left_anti")
-    orphans = orphan_presenters(tables["presenters"], result["session_presenters"]).select("presenter_id")
-    result["presenters"] = tables["presenters"].join(orphans, "presenter_id", "left_anti")
+    linked = result["session_presenters"].select(F.col("presented_by_id").alias("presenter_id"))
+    result["presenters"] = tables["presenters"].join(linked, "presenter_id", "left_semi")
     rejected = ids.join(tables["events"].select("event_id"), "event_id", "left_anti").select(
         "event_id", F.lit("event not found").alias("error")
     )

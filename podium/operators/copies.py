@@ -31,8 +31,9 @@ def create_event_rows(events: DataFrame, requests: DataFrame, store_key: bool =
     """Apply create-event requests in the order of request_id.
 
     `requests` has request_id, name, from_template_event_id, from_template_name, is_template, css,
-    accepts_from, accepts_to, api_key and event_secret. Returns the snapshot `events`, the pairs `created`
-    (request_id, event_id, event_secret), the `copies` to make (event_id, template_id), and `rejected`.
+    accepts_from, accepts_to, api_key and event_secret. Returns the snapshot `events`, the `copies` to make
+    (event_id, template_id), and one row per request in `created` (request_id, event_id, event_secret), `updated`
+    (request_id, event_id) or `rejected` (request_id, from_template_name, error).
 
     A request with the API key of a stored event, or of one that an earlier request of the batch created,
     updates that event: every field is overwritten, also with NULL, and no secret is returned. Without a
@@ -42,14 +43,17 @@ def create_event_rows(events: DataFrame, requests: DataFrame, store_key: bool =
     requests = requests.join(keyed_events, "api_key", "left")
 
     resolved, unknown = resolve_template(requests.where("known_id IS NULL"), events)
-    # A template id without an event copies nothing and creates nothing.
     templates = events.select(
         F.col("event_id").alias("from_template_event_id"), F.col("name").alias("t_name"), F.col("css").alias("t_css"),
         F.lit(True).alias("t_found"),
     )
-    resolved = resolved.join(templates, "from_template_event_id", "left").where(
-        "from_template_event_id IS NULL OR t_found"
+    resolved = resolved.join(templates, "from_template_event_id", "left")
+    # A template id without an event creates nothing.
+    lost = F.col("from_template_event_id").isNotNull() & F.col("t_found").isNull()
+    unknown = unknown.select(*requests.columns, "error").unionByName(
+        resolved.where(lost).select(*requests.columns, F.lit("no event of that template id").alias("error"))
     )
+    resolved = resolved.where(~lost)
     stores_key = F.lit(True) if store_key else F.col("from_template_event_id").isNotNull()
     creators = (
         resolved.where(F.col("api_key").isNotNull() & stores_key)
@@ -101,12 +105,21 @@ def create_event_rows(events: DataFrame, requests: DataFrame, store_key: bool =
         "api_key", "event_secret",
     )
 
+    # An update returns the id of its event, but no secret.
+    by_creator = created.where("api_key IS NOT NULL").select(F.col("request_id").alias("creator_id"), "event_id")
+    repeats = resolved.where("repeats").select("request_id", "creator_id").unionByName(
+        unknown.where("repeats").select("request_id", "creator_id")
+    )
+    updated = requests.where("known_id IS NOT NULL").select("request_id", F.col("known_id").alias("event_id")).unionByName(
+        repeats.join(by_creator, "creator_id").select("request_id", "event_id")
+    )
     copies = created.where("from_template_event_id IS NOT NULL").select(
         "event_id", F.col("from_template_event_id").alias("template_id")
     )
     return {
         "events": snapshot,
         "created": created.select("request_id", "event_id", "event_secret"),
+        "updated": updated,
         "copies": copies,
         "rejected": unknown.where("NOT repeats").select("request_id", "from_template_name", "error"),
     }

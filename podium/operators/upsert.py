@@ -119,13 +119,18 @@ def upsert_presenters(presenters: DataFrame, incoming: DataFrame) -> tuple[DataF
 # Sessions
 
 
-def upsert_sessions(sessions: DataFrame, session_presenters: DataFrame, incoming: DataFrame
-                    ) -> tuple[DataFrame, DataFrame]:
-    """Insert or retitle sessions; returns the new sessions and links.
+def upsert_sessions(sessions: DataFrame, session_presenters: DataFrame, events: DataFrame, incoming: DataFrame
+                    ) -> dict[str, DataFrame]:
+    """Insert or retitle sessions. Returns the snapshots `sessions` and `session_presenters`, `assigned` (seq,
+    session_id) of every request carried out, and `rejected` (seq, event_id, error) of the others.
 
     `incoming` has event_id, title, feed_id and seq. Requests with a feed id match on (event, feed id), and
-    the stored links of a matched session are dropped; those without always insert.
+    the stored links of a matched session are dropped; those without always insert. The event must exist.
     """
+    rejected = incoming.join(events.select("event_id"), "event_id", "left_anti").select(
+        "seq", "event_id", F.lit("event not found").alias("error")
+    )
+    incoming = incoming.join(events.select("event_id"), "event_id", "left_semi")
     latest = incoming.where("feed_id IS NOT NULL").groupBy("event_id", "feed_id").agg(_last("title").alias("new_title"))
     merged = sessions.where("feed_id IS NOT NULL").join(latest, ["event_id", "feed_id"], "full_outer")
     stored = merged.where("session_id IS NOT NULL").select(
@@ -144,18 +149,33 @@ def upsert_sessions(sessions: DataFrame, session_presenters: DataFrame, incoming
             )
         )
     )
+    by_seq = F.concat_ws("/", F.lit("session"), "event_id", F.lit("seq"), "seq").alias("identity")
     new = assign_ids(new, "identity", taken=sessions.select("session_id"), name="session_id")
     matched = sessions.join(latest, ["event_id", "feed_id"], "left_semi").select("session_id")
     links = session_presenters.join(matched, "session_id", "left_anti")
-    return stored.unionByName(new.drop("identity")), links
+    snapshot = stored.unionByName(new.drop("identity"))
+    # A feed repeats few requests of one session, so these joins have no hot key but a NULL, which is kept apart.
+    with_feed = incoming.where("feed_id IS NOT NULL").select("seq", "event_id", "feed_id").join(
+        snapshot.where("feed_id IS NOT NULL").select("event_id", "feed_id", "session_id"), ["event_id", "feed_id"]
+    )
+    without = incoming.where("feed_id IS NULL").select("seq", by_seq).join(new.select("identity", "session_id"), "identity")
+    assigned = with_feed.select("seq", "session_id").unionByName(without.select("seq", "session_id"))
+    return {"sessions": snapshot, "session_presenters": links, "assigned": assigned, "rejected": rejected}
 
 
-def upsert_session_presenters(session_presenters: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Insert or update links; an owner request demotes every other owner of its session.
+def upsert_session_presenters(session_presenters: DataFrame, sessions: DataFrame, presenters: DataFrame,
+                              incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Insert or update links; an owner request demotes every other owner of its session. Returns the new links
+    and the rejected requests, whose session or speaker does not exist.
 
     `incoming` has session_id, presenter_id, is_owner and seq. A link owns its session after the batch if
     its last word is "owner" and no other speaker of the session was made owner later.
     """
+    known = _with_parent(_with_parent(incoming, sessions, "session_id"), presenters, "presenter_id")
+    error = F.when(~F.col("has_session_id"), "session not found").when(~F.col("has_presenter_id"), "presenter not found")
+    known = known.withColumn("error", error)
+    rejected = known.where("error IS NOT NULL").select("seq", "session_id", "presenter_id", "error")
+    incoming = known.where("error IS NULL")
     stored = session_presenters.select(
         "session_id",
         F.col("presented_by_id").alias("presenter_id"),
@@ -175,9 +195,17 @@ def upsert_session_presenters(session_presenters: DataFrame, incoming: DataFrame
     )
     keeps = F.col("is_owner") & (F.col("owner_id").isNull() | (F.col("owner_id") == F.col("presenter_id")))
     large = hot_keys(per_link, "session_id")
-    return salted_join(per_link, owners, large, "session_id", "presenter_id", "left").select(
+    snapshot = salted_join(per_link, owners, large, "session_id", "presenter_id", "left").select(
         "session_id", F.col("presenter_id").alias("presented_by_id"), keeps.alias("is_session_owner")
     )
+    return snapshot, rejected
+
+
+def _with_parent(requests: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+    """Add `has_<key>`: whether the parent exists. A parent with many requests is spread out."""
+    exists = parents.select(key, F.lit(True).alias("_exists"))
+    joined = salted_join(requests, exists, hot_keys(requests, key), key, "seq", "left")
+    return joined.withColumn(f"has_{key}", F.col("_exists").isNotNull()).drop("_exists")
 
 
 # Responses

@@ -444,7 +444,7 @@ BODIES: dict[str, str] = {
     "question_has_percentages": "SELECT * FROM @pcts",
     "question_allow_plaintext": "SELECT question_id, has_plaintext OR type = 'text' AS allow_plaintext FROM @qu",
     "pack_order": """SELECT question_id, (display_order * 3)::SMALLINT AS display_order,
-        row_number() OVER (PARTITION BY event_id ORDER BY display_order)::SMALLINT AS packed FROM @qu WHERE type <> 'text'""",
+        row_number() OVER (PARTITION BY event_id ORDER BY display_order)::SMALLINT AS packed FROM @qu""",
     # Lookups
     "list_templates": "SELECT name, css FROM @ev WHERE is_template",
     "resolve_template": """SELECT request_id, e.event_id AS template_id,
@@ -523,6 +523,14 @@ BODIES: dict[str, str] = {
         WHERE feed_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM @se s WHERE s.event_id = i.event_id AND s.feed_id = i.feed_id)
         UNION ALL SELECT {hashed("'session/' || event_id || '/seq/' || seq", 48)}, event_id, feed_id, title FROM @ins
         WHERE feed_id IS NULL""",
+    "upsert_sessions_results": f"""SELECT i.seq, s.session_id, NULL::VARCHAR AS error FROM @ins i JOIN @se s
+            ON i.event_id = s.event_id AND i.feed_id = s.feed_id
+        UNION ALL SELECT seq, CASE WHEN feed_id IS NULL THEN {hashed("'session/' || event_id || '/seq/' || seq", 48)}
+            ELSE {hashed("'session/' || event_id || '/' || feed_id", 48)} END, NULL FROM @ins i
+        WHERE NOT EXISTS (SELECT 1 FROM @se s WHERE s.event_id = i.event_id AND s.feed_id = i.feed_id)
+        UNION ALL SELECT seq + 100000000, NULL, 'event not found' FROM @ins""",
+    "upsert_session_presenters_rejected": """SELECT seq, -session_id AS session_id, presenter_id, 'session not found' AS error FROM @inl
+        UNION ALL SELECT seq, session_id, -presenter_id, 'presenter not found' FROM @inl""",
     "upsert_sessions_links": "SELECT * FROM @sp WHERE session_id NOT IN (SELECT session_id FROM @inx)",
     # Replays the requests of a session: whoever last became owner, unless told otherwise since.
     "upsert_session_presenters": """SELECT session_id, presented_by_id, coalesce(is_owner AND NOT EXISTS (
@@ -546,6 +554,7 @@ BODIES: dict[str, str] = {
         FROM @op o JOIN @cq q ON q.question_id = o.question_id
         LEFT JOIN @cq f ON f.question_id = o.if_selected_show_question_id AND f.new_event_id = q.new_event_id""",
     "create_events_results": """SELECT request_id, event_id, event_secret, NULL::VARCHAR AS error FROM @made
+        UNION ALL SELECT request_id, event_id, NULL, NULL FROM @known
         UNION ALL SELECT request_id, NULL, NULL, 'no event template of that name' FROM @fresh
         WHERE template_name IS NOT NULL AND template_id IS NULL""",
     "grant_event_users": """SELECT DISTINCT event_id, name AS "user" FROM (

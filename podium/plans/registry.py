@@ -180,8 +180,8 @@ def question_allow_plaintext(t):
 
 @query
 def pack_order(t):
-    """Orders spread out with gaps, packed again; every fourth question is left out first."""
-    gaps = t.questions.where("type <> 'text'").withColumn("display_order", (F.col("display_order") * 3).cast("smallint"))
+    """Orders spread out with gaps, packed again."""
+    gaps = t.questions.withColumn("display_order", (F.col("display_order") * 3).cast("smallint"))
     return questions.pack_order(gaps, "event_id", "display_order").select("question_id", "display_order", "packed")
 
 
@@ -412,19 +412,47 @@ def upsert_presenters(t):
     )
 
 
+def _upserted(t):
+    """The requests of the parts, the same again for events that are not there."""
+    strays = t.incoming_sessions.withColumns({"event_id": F.col("event_id") + 10_000_000, "seq": F.col("seq") + 100_000_000})
+    return upsert.upsert_sessions(t.sessions, t.session_presenters, t.events, t.incoming_sessions.unionByName(strays))
+
+
 @query
 def upsert_sessions(t):
-    return upsert.upsert_sessions(t.sessions, t.session_presenters, t.incoming_sessions)[0]
+    return _upserted(t)["sessions"]
 
 
 @query
 def upsert_sessions_links(t):
-    return upsert.upsert_sessions(t.sessions, t.session_presenters, t.incoming_sessions)[1]
+    return _upserted(t)["session_presenters"]
+
+
+@query
+def upsert_sessions_results(t):
+    """One row a request: the session it got, or the reason it got none."""
+    result, none = _upserted(t), F.lit(None)
+    return union(
+        result["assigned"].withColumn("error", none.cast("string")),
+        result["rejected"].select("seq", none.cast("bigint").alias("session_id"), "error"),
+    )
+
+
+def _linked(t):
+    """The requests of the line items, the same again for sessions or speakers that are not there."""
+    links = t.incoming_links
+    strays = links.withColumn("session_id", -F.col("session_id")).unionByName(links.withColumn("presenter_id", -F.col("presenter_id")))
+    return upsert.upsert_session_presenters(t.session_presenters, t.sessions, t.presenters, links.unionByName(strays))
 
 
 @query
 def upsert_session_presenters(t):
-    return upsert.upsert_session_presenters(t.session_presenters, t.incoming_links)
+    return _linked(t)[0]
+
+
+@query
+def upsert_session_presenters_rejected(t):
+    return _linked(t)[1]
 
 
 def _created(t):
@@ -452,6 +480,7 @@ def create_events_results(t):
     none = F.lit(None)
     return union(
         result["created"].withColumn("error", none.cast("string")),
+        result["updated"].select("request_id", "event_id", none.cast("string").alias("event_secret"), none.cast("string").alias("error")),
         result["rejected"].select(
             "request_id", none.cast("bigint").alias("event_id"), none.cast("string").alias("event_secret"), "error"
         ),

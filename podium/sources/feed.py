@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from podium.functions.text import leading_int
+from podium.functions.text import leading_int, starts_with_number
 from podium.sources.schemas import FEED, FEED_GROUPS, RAW_CHANGES
 
 
@@ -50,24 +51,29 @@ def parse_feed(documents: DataFrame, all_groups: bool = False) -> tuple[DataFram
 
 
 def parse_changes(raw: DataFrame) -> DataFrame:
-    """Typed changes from save requests. An ordinal that is 0 or no number is NULL: the change is a text."""
+    """Typed changes from save requests, with `error` (NULL where the request is carried out).
+
+    An ordinal that is 0 or no number is NULL: the change is a text. A number no option or id can have fails the
+    whole request, and so does a line that is no JSON document (`_corrupt`, if the reader keeps it).
+    """
+    corrupt = F.col("_corrupt").isNotNull() if "_corrupt" in raw.columns else F.lit(False)
     ordinal = leading_int("answerOrdinal")
+    ids = {"response_id": "responseId", "question_id": "questionId"}
+    too_large = lambda text, number: starts_with_number(text) & number.isNull()
+    error = F.when(corrupt, "no JSON document").when(
+        too_large("answerOrdinal", ordinal) | ~F.coalesce(ordinal, F.lit(0)).between(-32768, 32767), "answer ordinal out of range"
+    )
+    for text in ids.values():
+        error = error.when(too_large(text, leading_int(text)), "id out of range")
     return raw.select(
-        leading_int("responseId").alias("response_id"),
-        leading_int("questionId").alias("question_id"),
-        F.nullif(ordinal, F.lit(0)).alias("_ordinal"),
-        "plaintext",
-        "ts",
-        "seq",
-    ).where(
-        # An ordinal no option can have fails the whole request.
-        "_ordinal IS NULL OR _ordinal BETWEEN -32768 AND 32767"
-    ).select(
-        "response_id", "question_id", F.col("_ordinal").cast("smallint").alias("answer_ordinal"), "plaintext", "ts", "seq"
+        *[leading_int(text).alias(name) for name, text in ids.items()],
+        F.nullif(ordinal, F.lit(0)).try_cast("smallint").alias("answer_ordinal"), "plaintext", "ts", "seq", error.alias("error"),
     )
 
 
-def read_answer_changes(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """The save log from JSON lines, as a batch or a stream."""
-    reader = spark.readStream if streaming else spark.read
-    return parse_changes(reader.schema(RAW_CHANGES).json(path))
+def read_answer_changes(spark: SparkSession, path: str, streaming: bool = False, rejected: bool = False) -> DataFrame:
+    """The save log from JSON lines, as a batch or a stream; with `rejected`, the requests that fail, with `error`."""
+    reader = (spark.readStream if streaming else spark.read).option("columnNameOfCorruptRecord", "_corrupt")
+    schema = StructType([*RAW_CHANGES.fields, StructField("_corrupt", StringType())])
+    parsed = parse_changes(reader.schema(schema).json(path))
+    return parsed.where("error IS NOT NULL") if rejected else parsed.where("error IS NULL").drop("error")

@@ -11,18 +11,30 @@ from pyspark.sql import functions as F
 from podium.sources.schemas import TABLES
 
 
+# Written last; a folder without it is not a whole snapshot.
+MANIFEST = "_published"
+
+
 def load_feedback(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """Read the ten tables with their fixed types; a missing or mistyped column fails, none is inferred."""
-    return {
-        name: spark.read.schema(schema).parquet(os.path.join(folder, name))
-        for name, schema in TABLES.items()
-    }
+    """Read the ten tables of a finished snapshot. A missing or mistyped column fails, none is inferred."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(folder, MANIFEST), "_SUCCESS")
+    if not marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
+        raise FileNotFoundError(f"{folder} has no finished snapshot")
+    loaded = {}
+    for name, schema in TABLES.items():
+        path = os.path.join(folder, name)
+        found = {f.name: f.dataType for f in spark.read.parquet(path).schema}
+        if bad := [f.name for f in schema if found.get(f.name) != f.dataType]:
+            raise ValueError(f"table {name}: columns missing or of another type: {', '.join(bad)}")
+        loaded[name] = spark.read.schema(schema).parquet(path)
+    return loaded
 
 
 def save_feedback(tables: dict[str, DataFrame], folder: str) -> None:
     """Publish a snapshot to a new folder. An existing one is never overwritten: it may be being read.
 
     The tables are independent jobs and are submitted together, so that small ones fill the gaps of large.
+    The manifest comes last, so a crash leaves a folder that does not load.
     """
 
     def save(name: str) -> None:
@@ -31,3 +43,6 @@ def save_feedback(tables: dict[str, DataFrame], folder: str) -> None:
 
     with ThreadPoolExecutor(len(TABLES)) as pool:
         list(pool.map(save, TABLES))
+    spark = next(iter(tables.values())).sparkSession
+    names = spark.createDataFrame([(name,) for name in TABLES], "value STRING").coalesce(1)
+    names.write.mode("errorifexists").text(os.path.join(folder, MANIFEST))

@@ -250,6 +250,14 @@ def test_save_requests_are_parsed_like_numbers_in_text(spark):
     assert [rows[i].answer_ordinal for i in range(1, 6)] == [3, None, None, -2, 1]
     assert rows[4].question_id == 11 and rows[5].response_id is None and 6 not in rows
     assert feed.read_answer_changes(spark, path, streaming=True).isStreaming
+    assert {r.seq: r.error for r in feed.read_answer_changes(spark, path, rejected=True).collect()} == {6: "answer ordinal out of range"}
+    broken = fresh_path(spark, "raw")
+    huge = '{"responseId": "5", "questionId": "10", "answerOrdinal": "99999999999999999999", "plaintext": "x", "seq": 7}'
+    ids = '{"responseId": "99999999999999999999", "questionId": "10", "answerOrdinal": "1", "seq": 8}'
+    spark.createDataFrame([(huge,), (ids,), ('{"responseId": ',)], "value STRING").write.text(broken)
+    assert feed.read_answer_changes(spark, broken).count() == 0
+    errors = {r.seq: r.error for r in feed.read_answer_changes(spark, broken, rejected=True).collect()}
+    assert errors == {7: "answer ordinal out of range", 8: "id out of range", None: "no JSON document"}
     assert spark.range(1).select(leading_int(F.lit("+7 ")).alias("n")).first().n == 7
 
 
@@ -262,3 +270,11 @@ def test_tables_round_trip_with_their_types(spark, table, tables):
     for name, schema in TABLES.items():
         assert [(f.name, f.dataType) for f in loaded[name].schema] == [(f.name, f.dataType) for f in schema]
     assert loaded["event_users"].count() == 1
+    with pytest.raises(FileNotFoundError):
+        load_feedback(spark, fresh_path(spark, "nothing"))
+    for columns in (["event_id"], ["CAST(event_id AS STRING) AS event_id", "user"]):
+        other = fresh_path(spark, "snapshot")
+        save_feedback({**tables, "event_users": table("event_users", [(1, "ann")])}, other)
+        loaded["event_users"].selectExpr(*columns).write.mode("overwrite").parquet(f"{other}/event_users")
+        with pytest.raises(ValueError, match="event_users"):
+            load_feedback(spark, other)

@@ -62,7 +62,15 @@ def test_sessions_by_feed_id(spark, table):
         [(1, "new", 7, 1), (1, "newer", 7, 2), (1, "made", 8, 3), (1, "retitled", 8, 4), (1, "kept", None, 5)],
         "event_id BIGINT, title STRING, feed_id BIGINT, seq BIGINT",
     )
-    snapshot, left = upsert.upsert_sessions(sessions, links, incoming)
+    incoming = incoming.unionByName(spark.createDataFrame([(9, "no event", 7, 6)], incoming.schema))
+    events = spark.createDataFrame([(1,), (2,)], "event_id BIGINT")
+    result = upsert.upsert_sessions(sessions, links, events, incoming)
+    snapshot, left = result["sessions"], result["session_presenters"]
+    titles = {r.session_id: r.title for r in snapshot.collect()}
+    assigned = {r.seq: r.session_id for r in result["assigned"].collect()}
+    assert {seq: titles[i] for seq, i in assigned.items()} == {1: "newer", 2: "newer", 3: "retitled", 4: "retitled", 5: "kept"}
+    assert assigned[1] == assigned[2] == 1 and assigned[5] != 2
+    assert [(r.seq, r.error) for r in result["rejected"].collect()] == [(6, "event not found")]
     assert sorted((r.event_id, r.feed_id or 0, r.title) for r in snapshot.collect()) == [
         (1, 0, "kept"), (1, 0, "kept"), (1, 7, "newer"), (1, 8, "retitled"), (2, 7, "other event"),
     ]
@@ -79,10 +87,16 @@ def test_links_equal_a_replay(spark, table, seed_):
         if owner:
             links.update({k: False for k in links if k[0] == s and k[1] != p})
         links[s, p] = owner
-    snapshot = upsert.upsert_session_presenters(
+    strays = [(99, 1, True, 1000), (1, 77, True, 1001), (None, 1, True, 1002), (99, 77, True, 1003)]
+    snapshot, rejected = upsert.upsert_session_presenters(
         table("session_presenters", stored),
-        spark.createDataFrame(requests, "session_id BIGINT, presenter_id BIGINT, is_owner BOOLEAN, seq BIGINT"),
+        spark.range(15).selectExpr("id AS session_id"),
+        spark.range(5).selectExpr("id AS presenter_id"),
+        spark.createDataFrame(requests + strays, "session_id BIGINT, presenter_id BIGINT, is_owner BOOLEAN, seq BIGINT"),
     )
+    assert {r.seq: r.error for r in rejected.collect()} == {
+        1000: "session not found", 1001: "presenter not found", 1002: "session not found", 1003: "session not found",
+    }
     assert {(r.session_id, r.presented_by_id): r.is_session_owner for r in snapshot.collect()} == links
 
 
@@ -142,7 +156,11 @@ def test_create_events(spark, template):
     result = copies.create_events(template, spark.createDataFrame(requests, REQUEST))
     created = {r.request_id: r for r in result["created"].collect()}
     assert set(created) == {1, 5, 9} and created[1].event_secret == "secret1"
-    assert sorted(r.request_id for r in result["rejected"].collect()) == [2, 8]
+    assert {r.request_id: r.error for r in result["rejected"].collect()} == {
+        2: "no event template of that name", 7: "no event of that template id", 8: "no event template of that name",
+    }
+    updated = {r.request_id: r.event_id for r in result["updated"].collect()}
+    assert updated == {3: 2, 4: created[1].event_id, 6: created[1].event_id}
     events = {r.event_id: r for r in result["events"].collect()}
     assert (events[2].name, events[2].css, events[2].accepts_responses_to) == ("N3", "/u.css", None)
     copy = events[created[1].event_id]
