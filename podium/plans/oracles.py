@@ -529,8 +529,8 @@ BODIES: dict[str, str] = {
             ELSE {hashed("'session/' || event_id || '/' || feed_id", 48)} END, NULL FROM @ins i
         WHERE NOT EXISTS (SELECT 1 FROM @se s WHERE s.event_id = i.event_id AND s.feed_id = i.feed_id)
         UNION ALL SELECT seq + 100000000, NULL, 'event not found' FROM @ins""",
-    "upsert_session_presenters_rejected": """SELECT seq, -session_id AS session_id, presenter_id, 'session not found' AS error FROM @inl
-        UNION ALL SELECT seq, session_id, -presenter_id, 'presenter not found' FROM @inl""",
+    "upsert_session_presenters_rejected": """SELECT seq, -session_id - 1 AS session_id, presenter_id, 'session not found' AS error FROM @inl
+        UNION ALL SELECT seq, session_id, -presenter_id - 1, 'presenter not found' FROM @inl""",
     "upsert_sessions_links": "SELECT * FROM @sp WHERE session_id NOT IN (SELECT session_id FROM @inx)",
     # Replays the requests of a session: whoever last became owner, unless told otherwise since.
     "upsert_session_presenters": """SELECT session_id, presented_by_id, coalesce(is_owner AND NOT EXISTS (

@@ -441,7 +441,7 @@ def upsert_sessions_results(t):
 def _linked(t):
     """The requests of the line items, the same again for sessions or speakers that are not there."""
     links = t.incoming_links
-    strays = links.withColumn("session_id", -F.col("session_id")).unionByName(links.withColumn("presenter_id", -F.col("presenter_id")))
+    strays = links.withColumn("session_id", -F.col("session_id") - 1).unionByName(links.withColumn("presenter_id", -F.col("presenter_id") - 1))
     return upsert.upsert_session_presenters(t.session_presenters, t.sessions, t.presenters, links.unionByName(strays))
 
 
