@@ -1,89 +1,94 @@
 """Edits of ordered lists: questions of an event, options of a question.
 
-After every edit a list is packed to 1..n, so the order is an array index. Each parent's edits are folded
-over its list by one `aggregate` expression, in parallel over the parents.
+Edits of a list depend on each other, so they are replayed in order. Lists and edits are shuffled by parent and
+sorted, lists first; a task then reads one row after the other and holds nothing but the list it is at, which
+the order's type bounds. Parents run in parallel; a parent with very many edits takes time, but no memory.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+from functools import partial
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from podium.functions.ids import assign_ids
-from podium.session import shared_folder
 
 # Largest order values: a question's order is one unsigned byte, an option's a signed short.
 QUESTION_CAPACITY = 255
 OPTION_CAPACITY = 32767
-# Moves of one parent folded at a time; more are folded in further rounds.
-ROUND_SIZE = 10_000
-
-
-def _lists(items: DataFrame, parent: str, item: str, order: str) -> DataFrame:
-    """Per parent the arrays `ids` and `orders`. The unique order value bounds them."""
-    sorted_items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(item).alias("id"))))
-    return items.groupBy(parent).agg(sorted_items.alias("items")).select(
-        parent, F.transform("items", lambda x: x["id"]).alias("ids"), F.transform("items", lambda x: x["o"]).alias("orders")
-    )
 
 
-def _packed_position(position: Column, index: Column, orders: Column) -> Column:
-    """Only the first edit can meet gaps; its position counts the stored orders before it."""
-    before = F.size(F.filter(orders, lambda o: o < position)) + 1
-    return F.when(position.isNull() | (index > 0), position.cast("int")).otherwise(before)
-
-
-def _insert_at(ids: Column, position: Column, new: Column) -> Column:
-    """Put `new` before the item at `position` (1-based), at the end if NULL or beyond."""
-    n = F.size(ids)
-    at = F.least(F.greatest(F.coalesce(position, n + 1), F.lit(1)), n + 1)
-    return F.concat(F.slice(ids, F.lit(1), at - 1), F.array(new), F.slice(ids, at, n + 1 - at))
-
-
-def _insert_all() -> Column:
-    edits = F.transform(
-        F.col("edits"),
-        lambda e, i: F.struct(_packed_position(e["position"], i, F.col("orders")).alias("position"), e["id"].alias("id")),
-    )
-    return F.aggregate(edits, F.col("ids"), lambda ids, e: _insert_at(ids, e["position"], e["id"]))
-
-
-def _insert(items: DataFrame, requests: DataFrame, parent: str, item: str, order: str, capacity: int
-            ) -> DataFrame:
-    """(parent, item, order) after the inserts.
-
-    A list never grows beyond its capacity, so only the first `capacity` inserts of a parent can succeed;
-    the filter on the rank trims the others before the shuffle.
-    """
-    rank = F.row_number().over(Window.partitionBy(parent).orderBy("seq"))
-    candidates = (
-        requests.select(parent, item, "position", "seq")
-        .withColumn("rank", rank)
-        .where(F.col("rank") <= capacity)
-    )
-    edits = candidates.groupBy(parent).agg(
-        F.array_sort(F.collect_list(F.struct("seq", "position", F.col(item).alias("id")))).alias("edits")
-    )
-    empty_ids, empty_orders = F.array().cast("array<bigint>"), F.array().cast("array<smallint>")
-    lists = (
-        _lists(items, parent, item, order)
-        .join(edits, parent, "full_outer")
-        .withColumn("ids", F.coalesce("ids", empty_ids))
-        .withColumn("orders", F.coalesce("orders", empty_orders))
-        .withColumn("edits", F.slice(F.col("edits"), F.lit(1), F.greatest(F.lit(capacity) - F.size("ids"), F.lit(0))))
-        .withColumn("ids", F.when(F.col("edits").isNull(), F.col("ids")).otherwise(_insert_all()))
-    )
-    # An untouched list is not packed.
-    placed = F.transform(
-        "ids",
-        lambda x, i: F.struct(
-            x.alias("id"),
-            F.when(F.col("edits").isNull() | (F.size("edits") == 0), F.get("orders", i)).otherwise(i + 1).cast("smallint").alias("o"),
-        ),
-    )
-    return lists.select(parent, F.explode(placed).alias("p")).select(
-        parent, F.col("p.id").alias(item), F.col("p.o").alias(order)
-    )
+class EditedList:
+    """The list of one parent while its edits pass by. After the first edit it is packed to 1..n."""
+
+    def __init__(self, parent: int):
+        self.parent, self.ids, self.orders, self.edited = parent, [], [], False
+
+    def stored(self, item: int, order: int) -> None:
+        self.ids.append(item)
+        self.orders.append(order)
+
+    def place(self, position: int | None) -> int | None:
+        """Only the first edit can meet gaps; its position counts the stored orders before it."""
+        if position is not None and not self.edited:
+            position = sum(o < position for o in self.orders) + 1
+        self.edited = True
+        return position
+
+    def insert(self, item: int, position: int | None, capacity: int) -> None:
+        """Put a new item before the one at `position`, at the end if there is none. A full list stays as it is."""
+        if len(self.ids) < capacity:
+            position, n = self.place(position), len(self.ids)
+            self.ids.insert(n if position is None else min(max(position, 1), n + 1) - 1, item)
+
+    def move(self, item: int, position: int | None) -> None:
+        """Put an item before the one now at `position`; on its own position it stays, beyond the end it is last."""
+        position = self.place(position)
+        if position is not None:
+            own, n = self.ids.index(item) + 1, len(self.ids)
+            to = n if position > n else position - 1 if position > own else max(position, 1)
+            self.ids.pop(own - 1)
+            self.ids.insert(to - 1, item)
+
+    def rows(self) -> pd.DataFrame:
+        orders = range(1, len(self.ids) + 1) if self.edited else self.orders
+        return pd.DataFrame({"parent": self.parent, "item": self.ids, "order": list(orders)})
+
+
+def _replay(frames: Iterator[pd.DataFrame], edit: Callable) -> Iterator[pd.DataFrame]:
+    current: EditedList | None = None
+    for frame in frames:
+        done = []
+        for parent, is_edit, seq, item, position in zip(*[frame[c] for c in frame.columns], strict=True):
+            if current is None or current.parent != parent:
+                if current is not None:
+                    done.append(current.rows())
+                current = EditedList(parent)
+            if is_edit:
+                edit(current, item, None if pd.isna(position) else int(position))
+            else:
+                current.stored(item, seq)
+        if done:
+            yield pd.concat(done)
+    if current is not None:
+        yield current.rows()
+
+
+def _edited(items: DataFrame, edits: DataFrame, parent: str, item: str, order: str, edit: Callable) -> DataFrame:
+    """(parent, item, order) after the edits (parent, seq, item, position)."""
+    stored = items.select(parent, F.lit(0).alias("is_edit"), F.col(order).cast("bigint").alias("seq"), item, F.lit(None).cast("int").alias("position"))
+    coming = edits.select(parent, F.lit(1).alias("is_edit"), "seq", item, F.col("position").cast("int").alias("position"))
+    rows = stored.unionByName(coming).repartition(parent).sortWithinPartitions(parent, "is_edit", "seq", item)
+    replayed = rows.mapInPandas(partial(_replay, edit=edit), "parent bigint, item bigint, order int")
+    return replayed.select(F.col("parent").alias(parent), F.col("item").alias(item), F.col("order").cast("smallint").alias(order))
+
+
+def _insert(items: DataFrame, requests: DataFrame, parent: str, item: str, order: str, capacity: int) -> DataFrame:
+    """(parent, item, order) after the inserts that fit."""
+    return _edited(items, requests, parent, item, order, partial(EditedList.insert, capacity=capacity))
 
 
 def insert_questions(questions: DataFrame, requests: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -140,61 +145,24 @@ def insert_answer_options(options: DataFrame, requests: DataFrame, questions: Da
 # Moves
 
 
-def _move(ids: Column, position: Column, item: Column) -> Column:
-    """Put `item` before the item now at `position`; on its own position it stays, beyond the end it is last."""
-    n = F.size(ids)
-    own = F.array_position(ids, item).cast("int")
-    to = F.when(position > n, n).when(position > own, position - 1).otherwise(F.greatest(position, F.lit(1)))
-    others = F.filter(ids, lambda x: x != item)
-    moved = F.concat(F.slice(others, F.lit(1), to - 1), F.array(item), F.slice(others, to, n - to))
-    return F.when(position.isNull(), ids).otherwise(moved)
-
-
-def _move_all(lists: DataFrame, edits: DataFrame, parent: str) -> DataFrame:
-    collected = edits.groupBy(parent).agg(
-        F.array_sort(F.collect_list(F.struct("seq", "position", "id"))).alias("edits")
-    )
-    packed = F.transform(
-        F.col("edits"),
-        lambda e, i: F.struct(_packed_position(e["position"], i, F.col("orders")).alias("position"), e["id"].alias("id")),
-    )
-    folded = F.aggregate(packed, F.col("ids"), lambda ids, e: _move(ids, e["position"], e["id"]))
-    edited = F.col("edits").isNotNull()
-    return lists.join(collected, parent, "left").select(
-        parent,
-        F.when(edited, folded).otherwise(F.col("ids")).alias("ids"),
-        F.when(edited, F.transform("ids", lambda x, i: (i + 1).cast("smallint"))).otherwise(F.col("orders")).alias("orders"),
-    )
-
-
-def update_questions(questions: DataFrame, requests: DataFrame, round_size: int = ROUND_SIZE
-                     ) -> tuple[DataFrame, DataFrame]:
+def update_questions(questions: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Patch the given fields of questions and move those with a position, in the order of seq.
 
-    NULL leaves a field as it is. Returns the new snapshot and the requests for unknown questions. Moves
-    depend on each other, so a parent's edits are folded one after another: all at once where no parent has
-    more than `round_size`, else that many per parent and round, each round on the checkpointed lists.
+    NULL leaves a field as it is. Returns the new snapshot and the requests for unknown questions. Of the
+    requests without a position only the first of an event is replayed, as it packs the list.
     """
     attributes = ["question", "description", "optimal_percent", "is_required", "type", "has_plaintext"]
     patches = requests.groupBy("question_id").agg(
         *[F.max_by(a, F.when(F.col(a).isNotNull(), F.col("seq"))).alias(f"new_{a}") for a in attributes]
     )
     edits = requests.join(questions.select("question_id", "event_id"), "question_id").select(
-        "event_id", "seq", F.col("position"), F.col("question_id").alias("id")
+        "event_id", "seq", "position", "question_id"
     )
-    lists = _lists(questions, "event_id", "question_id", "display_order")
-    largest = edits.groupBy("event_id").count().agg(F.max("count")).first()[0] or 0
-    if largest <= round_size:
-        lists = _move_all(lists, edits, "event_id")
-    else:
-        shared_folder(questions.sparkSession)
-        rank = F.row_number().over(Window.partitionBy("event_id").orderBy("seq"))
-        ranked = edits.withColumn("round", F.floor((rank - 1) / round_size).cast("int")).checkpoint()
-        for step in range((largest - 1) // round_size + 1):
-            lists = _move_all(lists, ranked.where(F.col("round") == step), "event_id").checkpoint()
-    placed = lists.select("event_id", F.explode(F.arrays_zip("ids", "orders")).alias("p")).select(
-        "event_id", F.col("p.ids").alias("question_id"), F.col("p.orders").alias("display_order")
+    still = edits.where("position IS NULL").groupBy("event_id").agg(
+        F.min("seq").alias("seq"), F.min_by("position", "seq").alias("position"), F.min_by("question_id", "seq").alias("question_id")
     )
+    moves = edits.where("position IS NOT NULL").unionByName(still)
+    placed = _edited(questions, moves, "event_id", "question_id", "display_order", EditedList.move)
     snapshot = (
         placed.join(questions.drop("event_id", "display_order"), "question_id")
         .join(patches, "question_id", "left")
