@@ -6,11 +6,16 @@ costs one row per map task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from podium.functions.graph import components
 from podium.functions.ids import assign_ids
-from podium.functions.skew import hot_keys, nullable_left_join, salted_join
+from podium.functions.skew import hot_keys, salted_join
+from podium.functions.store import stored
 from podium.operators.lookup import accepts
 
 
@@ -18,102 +23,145 @@ def _last(column: str, seq: str = "seq"):
     return F.max_by(column, seq).alias(column)
 
 
-def _last_given(column: str, seq: str = "seq"):
-    """The last non-null value."""
-    return F.max_by(column, F.when(F.col(column).isNotNull(), F.col(seq))).alias(column)
-
-
 # Presenters
 
 
-def _reduce_presenters(incoming: DataFrame) -> DataFrame:
-    return incoming.groupBy("email", "identifier").agg(_last("name"), F.max("seq").alias("seq"))
-
-
-def _match_presenters(requests: DataFrame, presenters: DataFrame) -> DataFrame:
-    """(request, stored presenter) pairs: one equi-join per key instead of one join on either key."""
-    by_email = requests.where("email IS NOT NULL").join(
-        presenters.where("email IS NOT NULL").select("presenter_id", "email"), "email"
-    )
-    by_identifier = requests.where("identifier IS NOT NULL").join(
-        presenters.where("identifier IS NOT NULL").select("presenter_id", "identifier"), "identifier"
-    )
-    columns = ["email", "identifier", "name", "seq", "presenter_id"]
-    return by_email.select(columns).union(by_identifier.select(columns)).distinct()
-
-
-def upsert_presenters(presenters: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Insert or update presenters matched on email or identifier; NULL matches nothing.
-
-    `incoming` has name, email, identifier and seq. A match takes the last name and the last given email
-    and identifier. Requests without any key insert one row each. A key that another request of the batch
-    brings to a presenter counts for the whole batch. Returns the new snapshot and the rejected requests,
-    which match several presenters.
+class PresenterCalls:
+    """Carries out upsert calls of one component in order: a call updates every presenter with its email or its
+    identifier, or else inserts one. A call that would give one identifier to several presenters fails."""
+
+    def __init__(self):
+        self.rows: list[dict] = []
+        self.by_email: dict[str, set[int]] = {}
+        self.by_identifier: dict[str, set[int]] = {}
+        self.identities: set[str] = set()
+
+    def add(self, presenter_id: int | None, identity: str | None, name: str, email: str | None, identifier: str | None) -> int:
+        self.rows.append({"presenter_id": presenter_id, "identity": identity, "name": name, "email": None, "identifier": None})
+        self.set_keys(len(self.rows) - 1, email, identifier)
+        return len(self.rows) - 1
+
+    def set_keys(self, at: int, email: str | None, identifier: str | None) -> None:
+        for index, key, value in ((self.by_email, "email", email), (self.by_identifier, "identifier", identifier)):
+            if value is not None:
+                index.get(self.rows[at][key], set()).discard(at)
+                index.setdefault(value, set()).add(at)
+                self.rows[at][key] = value
+
+    def call(self, name: str, email: str | None, identifier: str | None, seq: int) -> list[int]:
+        """Places of the presenters it met or made; none if it failed."""
+        met = self.by_email.get(email, set()) | self.by_identifier.get(identifier, set())
+        if len(met) > 1 and identifier is not None:
+            return []
+        for at in met:
+            self.rows[at]["name"] = name
+            self.set_keys(at, email, identifier)
+        if met:
+            return sorted(met)
+        identity = f"i:{identifier}" if identifier is not None else f"e:{email}"
+        if identity in self.identities:
+            identity += f"#{seq}"
+        self.identities.add(identity)
+        return [self.add(None, identity, name, email, identifier)]
+
+
+PRESENTER_RESULT = "kind string, presenter_id bigint, identity string, name string, email string, identifier string, seq bigint"
+
+
+def _call_presenters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a component stand together, stored presenters first, then calls by seq. Kinds of the output:
+    `presenter` as it is in the end, `assigned` for each presenter a call met or made, `rejected` calls."""
+    columns = [c.split(" ")[0] for c in PRESENTER_RESULT.split(", ")]
+    types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64()]
+    schema = pa.schema(list(zip(columns, types, strict=True)))
+    component, calls, out = None, PresenterCalls(), []
+
+    def record(kind: str, seq: int | None = None, **values) -> None:
+        out.append({**dict.fromkeys(columns), **values, "kind": kind, "seq": seq})
+
+    def close() -> None:
+        for row in calls.rows:
+            record("presenter", **row)
+
+    def flushed() -> Iterator[pa.RecordBatch]:
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+            out.clear()
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["component"] != component:
+                close()
+                component, calls = row["component"], PresenterCalls()
+            keys = (row["name"], row["email"], row["identifier"])
+            if not row["is_call"]:
+                calls.add(row["presenter_id"], None, *keys)
+                continue
+            places = calls.call(*keys, row["seq"])
+            if not places:
+                record("rejected", row["seq"], name=keys[0], email=keys[1], identifier=keys[2])
+            for at in places:
+                record("assigned", row["seq"], presenter_id=calls.rows[at]["presenter_id"], identity=calls.rows[at]["identity"])
+        yield from flushed()
+    close()
+    yield from flushed()
+
+
+def _with_component(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Add `component`: a number that rows share if a chain of emails and identifiers connects them."""
+    node = F.coalesce(_node("email"), _node("identifier"))
+    joined = rows.withColumn("_key", node).join(labels, F.col("_key") == F.col("node"), "left")
+    return joined.withColumn("component", F.coalesce("root", "_key")).drop("_key", "node", "root")
+
+
+def _node(key: str):
+    """A number for an email or an identifier. Should two of them share one, their components are one."""
+    return F.when(F.col(key).isNotNull(), F.xxhash64(F.lit(key), F.col(key)))
+
+
+def upsert_presenters(presenters: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Insert or update presenters matched on email or identifier, in the order of seq; NULL matches nothing.
+
+    `incoming` has name, email, identifier and seq. A call renames every presenter it matches and gives it its
+    email and identifier, where given. Returns the new snapshot, the rejected calls, which would give one
+    identifier to several presenters, and `assigned` (seq, presenter_id) of the others.
+
+    Calls depend on each other only if keys connect them. Components of stored rows and calls that share an email
+    or identifier are replayed one by one, each by a task that holds the component's presenters and lets the
+    calls pass by, so many calls of one key take no memory.
     """
-    keyed = _reduce_presenters(incoming.where("email IS NOT NULL OR identifier IS NOT NULL"))
     keyless = incoming.where("email IS NULL AND identifier IS NULL")
-    pairs = _match_presenters(keyed, presenters)
-    per_request = pairs.groupBy("email", "identifier", "name", "seq").agg(
-        F.count("*").alias("n"), F.min("presenter_id").alias("presenter_id")
-    )
-    rejected = per_request.where("n > 1").select(
-        "name", "email", "identifier", "seq", F.lit("matches several presenters").alias("error")
-    )
-    matched = per_request.where("n = 1").drop("n")
-
-    same_request = F.expr("k.email <=> m.email AND k.identifier <=> m.identifier")
-    unmatched = keyed.alias("k").join(per_request.alias("m"), same_request, "left_anti")
-    # Keys that matched requests bring to their presenters, for requests that know nothing else.
-    brought = (
-        matched.select("presenter_id", "email", "identifier")
-        .where("email IS NOT NULL AND identifier IS NOT NULL")
-    )
-    by_identifier = brought.groupBy("identifier").agg(F.min("presenter_id").alias("by_identifier"))
-    by_email = brought.groupBy("email").agg(F.min("presenter_id").alias("by_email"))
-    # Among the unmatched, an email is resolved to the identifier it was last given with.
-    emails = (
-        unmatched.where("email IS NOT NULL AND identifier IS NOT NULL")
-        .groupBy("email")
-        .agg(F.max_by("identifier", "seq").alias("email_identifier"))
-    )
-    per_email = by_email.join(emails, "email", "full_outer")
-    unmatched = nullable_left_join(unmatched, by_identifier, "identifier", "seq")
-    unmatched = nullable_left_join(unmatched, per_email, "email", "seq").withColumn(
-        "presenter_id", F.coalesce("by_identifier", "by_email")
-    )
-    late = unmatched.where("presenter_id IS NOT NULL").select("email", "identifier", "name", "seq", "presenter_id")
-    changes = (
-        matched.select("email", "identifier", "name", "seq", "presenter_id")
-        .union(late)
-        .groupBy("presenter_id")
-        .agg(
-            _last("name").alias("new_name"),
-            _last_given("email").alias("new_email"),
-            _last_given("identifier").alias("new_identifier"),
-        )
-    )
-    stored = presenters.join(changes, "presenter_id", "left").select(
-        "presenter_id",
-        F.coalesce("new_name", "name").alias("name"),
-        F.coalesce("new_email", "email").alias("email"),
-        F.coalesce("new_identifier", "identifier").alias("identifier"),
+    keyed = incoming.where("email IS NOT NULL OR identifier IS NOT NULL")
+    fields = ["name", "email", "identifier"]
+    calls = keyed.select(F.lit(1).alias("is_call"), F.lit(None).cast("bigint").alias("presenter_id"), *fields, "seq")
+    known = presenters.select(F.lit(0).alias("is_call"), "presenter_id", *fields, F.col("presenter_id").alias("seq"))
+    has_key = "email IS NOT NULL OR identifier IS NOT NULL"
+    rows = calls.unionByName(known.where(has_key))
+    both = rows.where("email IS NOT NULL AND identifier IS NOT NULL")
+    labels = components(both.select(_node("email").alias("a"), _node("identifier").alias("b")))
+    placed = _with_component(rows, labels).repartition("component").sortWithinPartitions("component", "is_call", "seq")
+    done = stored(placed.mapInArrow(_call_presenters, PRESENTER_RESULT), "presenter-calls")
+
+    made = done.where("kind = 'presenter' AND presenter_id IS NULL").select("identity", *fields).unionByName(
+        keyless.select(F.concat(F.lit("n:"), F.col("seq").cast("string")).alias("identity"), *fields)
     )
-    identity = F.coalesce(
-        F.concat(F.lit("i:"), F.coalesce("identifier", "email_identifier")), F.concat(F.lit("e:"), "email")
+    new = assign_ids(made, "identity", taken=presenters.select("presenter_id"), name="presenter_id")
+    kept = done.where("kind = 'presenter' AND presenter_id IS NOT NULL").select("presenter_id", *fields)
+    snapshot = (
+        kept.unionByName(presenters.where(f"NOT ({has_key})").select("presenter_id", *fields))
+        .unionByName(new.select("presenter_id", *fields))
     )
-    new_keyed = (
-        unmatched.where("presenter_id IS NULL")
-        .withColumn("identity", identity)
-        .groupBy("identity")
-        .agg(_last("name"), _last_given("email"), _last_given("identifier"))
+    rejected = done.where("kind = 'rejected'").select(
+        *fields, "seq", F.lit("brings one identifier to several presenters").alias("error")
     )
-    new_keyless = keyless.select(
-        F.concat(F.lit("n:"), F.col("seq").cast("string")).alias("identity"), "name", "email", "identifier"
+    met = done.where("kind = 'assigned'")
+    by_identity = met.where("identity IS NOT NULL").select("seq", "identity").unionByName(
+        keyless.select("seq", F.concat(F.lit("n:"), F.col("seq").cast("string")).alias("identity"))
     )
-    new = assign_ids(
-        new_keyed.unionByName(new_keyless), "identity", taken=presenters.select("presenter_id"), name="presenter_id"
+    assigned = met.where("identity IS NULL").select("seq", "presenter_id").unionByName(
+        by_identity.join(new.select("identity", "presenter_id"), "identity").select("seq", "presenter_id")
     )
-    return stored.unionByName(new.drop("identity")), rejected
+    return snapshot, rejected, assigned
 
 
 # Sessions
@@ -133,7 +181,7 @@ def upsert_sessions(sessions: DataFrame, session_presenters: DataFrame, events:
     incoming = incoming.join(events.select("event_id"), "event_id", "left_semi")
     latest = incoming.where("feed_id IS NOT NULL").groupBy("event_id", "feed_id").agg(_last("title").alias("new_title"))
     merged = sessions.where("feed_id IS NOT NULL").join(latest, ["event_id", "feed_id"], "full_outer")
-    stored = merged.where("session_id IS NOT NULL").select(
+    kept = merged.where("session_id IS NOT NULL").select(
         "session_id", "event_id", "feed_id", F.coalesce("new_title", "title").alias("title")
     ).unionByName(sessions.where("feed_id IS NULL"))
     new = (
@@ -153,7 +201,7 @@ def upsert_sessions(sessions: DataFrame, session_presenters: DataFrame, events:
     new = assign_ids(new, "identity", taken=sessions.select("session_id"), name="session_id")
     matched = sessions.join(latest, ["event_id", "feed_id"], "left_semi").select("session_id")
     links = session_presenters.join(matched, "session_id", "left_anti")
-    snapshot = stored.unionByName(new.drop("identity"))
+    snapshot = kept.unionByName(new.drop("identity"))
     # A feed repeats few requests of one session, so these joins have no hot key but a NULL, which is kept apart.
     with_feed = incoming.where("feed_id IS NOT NULL").select("seq", "event_id", "feed_id").join(
         snapshot.where("feed_id IS NOT NULL").select("event_id", "feed_id", "session_id"), ["event_id", "feed_id"]
@@ -176,7 +224,7 @@ def upsert_session_presenters(session_presenters: DataFrame, sessions: DataFrame
     known = known.withColumn("error", error)
     rejected = known.where("error IS NOT NULL").select("seq", "session_id", "presenter_id", "error")
     incoming = known.where("error IS NULL")
-    stored = session_presenters.select(
+    links = session_presenters.select(
         "session_id",
         F.col("presented_by_id").alias("presenter_id"),
         F.col("is_session_owner").alias("is_owner"),
@@ -184,7 +232,7 @@ def upsert_session_presenters(session_presenters: DataFrame, sessions: DataFrame
     )
     requests = incoming.select("session_id", "presenter_id", "is_owner", "seq")
     per_link = (
-        stored.unionByName(requests)
+        links.unionByName(requests)
         .groupBy("session_id", "presenter_id")
         .agg(_last("is_owner"))
     )

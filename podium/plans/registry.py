@@ -405,7 +405,7 @@ def report_rows(t):
 
 @query
 def upsert_presenters(t):
-    snapshot, rejected = upsert.upsert_presenters(t.presenters, t.incoming_presenters)
+    snapshot, rejected, _ = upsert.upsert_presenters(t.presenters, t.incoming_presenters)
     return union(
         snapshot.withColumn("error", F.lit(None).cast("string")),
         rejected.select(F.lit(None).cast("bigint").alias("presenter_id"), "name", "email", "identifier", "error"),
@@ -573,7 +573,7 @@ def delete_events(t):
 @query
 def orphan_presenters(t):
     """Speakers without a session after an import of speakers, before any link."""
-    imported, _ = upsert.upsert_presenters(t.presenters, t.incoming_presenters)
+    imported, _, _ = upsert.upsert_presenters(t.presenters, t.incoming_presenters)
     return cascade.orphan_presenters(imported, t.session_presenters)
 
 

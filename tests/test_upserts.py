@@ -14,26 +14,52 @@ def presenters_of(df):
     return {(r.name, r.email, r.identifier) for r in df.collect()}
 
 
-def test_presenters_match_on_either_key(spark, table):
-    stored = table("presenters", [(1, "a", "a@x", None), (2, "b", None, "b"), (3, "c", "c@x", "c")])
-    incoming = spark.createDataFrame(
-        [
-            ("A", "a@x", "new-id", 1),  # by email, gains an identifier
-            ("A2", None, "new-id", 2),  # knows only the identifier the batch brought
-            ("B", None, "b", 3),  # by identifier
-            ("none", None, None, 4),  # matches nothing
-            ("both", "a@x", "b", 5),  # two presenters
-            ("D", "d@x", "d", 6),
-            ("D2", "d@x", None, 7),  # the same new presenter by email
-        ],
-        PRESENTER,
-    )
-    snapshot, rejected = upsert.upsert_presenters(stored, incoming)
-    assert presenters_of(snapshot) == {
-        ("A2", "a@x", "new-id"), ("B", None, "b"), ("c", "c@x", "c"), ("none", None, None), ("D2", "d@x", "d"),
-    }
-    assert [r.name for r in rejected.collect()] == ["both"]
-    assert snapshot.select("presenter_id").distinct().count() == 5
+def replay_presenters(stored, requests):
+    """One call after the other, as a search through all presenters."""
+    rows = [list(r) for r in stored]
+    rejected, assigned = [], {}
+    for name, email, identifier, seq in requests:
+        met = [r for r in rows if email is not None and r[2] == email or identifier is not None and r[3] == identifier]
+        if len(met) > 1 and identifier is not None:
+            rejected.append(seq)
+            continue
+        if not met:
+            met = [[None, name, email, identifier]]
+            rows += met
+        for r in met:
+            r[1:] = [name, email if email is not None else r[2], identifier if identifier is not None else r[3]]
+        assigned[seq] = met
+    return rows, rejected, assigned
+
+
+@pytest.mark.parametrize("seed_", range(4))
+def test_presenter_calls_equal_a_replay(spark, table, seed_):
+    rng = random.Random(seed_)
+    key = lambda kind, n: rng.choice([None, *[f"{kind}{rng.randrange(n)}" for _ in range(2)]])
+    stored = [(i, f"s{i}", key("e", 25), f"i{i}" if i % 3 else None) for i in range(25)]
+    requests = [(f"n{seq}", key("e", 40), key("i", 40), seq) for seq in range(160)]
+    rows, failed, met = replay_presenters(stored, requests)
+    snapshot, rejected, assigned = upsert.upsert_presenters(table("presenters", stored), spark.createDataFrame(requests, PRESENTER))
+    got = {r.presenter_id: (r.name, r.email, r.identifier) for r in snapshot.collect()}
+    assert sorted(got.values(), key=str) == sorted((tuple(r[1:]) for r in rows), key=str)
+    assert all(got[r[0]] == tuple(r[1:]) for r in rows if r[0] is not None)
+    assert sorted(r.seq for r in rejected.collect()) == failed
+    by_seq = {}
+    for r in assigned.collect():
+        by_seq.setdefault(r.seq, []).append(got[r.presenter_id])
+    assert {s: sorted(v, key=str) for s, v in by_seq.items()} == {s: sorted((tuple(r[1:]) for r in v), key=str) for s, v in met.items()}
+
+
+def test_keys_that_move_within_a_batch(spark, table):
+    stored = table("presenters", [(1, "a", "e1", "i1"), (2, "b", "dup", None), (3, "c", "dup", None)])
+    calls = [
+        ("A", "e2", "i1", 1), ("N", "e1", None, 2),  # e1 is free by then: a new presenter
+        ("D", "dup", None, 3), ("E", "dup", "x", 4),  # an email of two presenters; no identifier for both
+        ("F", "f", "f1", 5), ("G", "f", "f2", 6),  # one email, the identifier changes
+    ]
+    snapshot, rejected, _ = upsert.upsert_presenters(stored, spark.createDataFrame(calls, PRESENTER))
+    assert presenters_of(snapshot) == {("A", "e2", "i1"), ("N", "e1", None), ("D", "dup", None), ("G", "f", "f2")}
+    assert snapshot.count() == 5 and [r.name for r in rejected.collect()] == ["E"]
 
 
 def test_presenters_with_one_key_equal_a_replay(spark, table):
@@ -44,13 +70,13 @@ def test_presenters_with_one_key_equal_a_replay(spark, table):
     names = {identifier: name for _, name, _, identifier in stored}
     for name, _, identifier, _ in requests:
         names[identifier] = name
-    snapshot, _ = upsert.upsert_presenters(table("presenters", stored), spark.createDataFrame(requests, PRESENTER))
+    snapshot, _, _ = upsert.upsert_presenters(table("presenters", stored), spark.createDataFrame(requests, PRESENTER))
     assert presenters_of(snapshot) == {(name, None, identifier) for identifier, name in names.items()}
 
 
 def test_presenter_upsert_plans_no_cross_join(spark, table):
     stored = table("presenters", [(1, "a", "a@x", None)])
-    snapshot, _ = upsert.upsert_presenters(stored, spark.createDataFrame([("A", "a@x", None, 1)], PRESENTER))
+    snapshot, _, _ = upsert.upsert_presenters(stored, spark.createDataFrame([("A", "a@x", None, 1)], PRESENTER))
     plan = snapshot._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
