@@ -288,14 +288,14 @@ CTES["imported"] = f"""SELECT p.presenter_id, coalesce(u.name, p.name) AS name,
     coalesce(u.identifier, p.identifier) AS identifier FROM @pr p LEFT JOIN @inp_upd u USING (presenter_id)
     UNION ALL SELECT {hashed('ident', 48)}, name, email, identifier FROM @inp_new"""
 
-# Narrow ids, three draws deep.
-CTES["id0"] = f"SELECT 'order/' || o_orderkey AS k, {hashed("'order/' || o_orderkey", 24)} AS id FROM orders"
+# Ids of orders, three draws deep.
+CTES["id0"] = f"SELECT 'order/' || o_orderkey AS k, {hashed("'order/' || o_orderkey", 48)} AS id FROM orders"
 CTES["id_lost"] = """SELECT k FROM (SELECT *, min(k) OVER (PARTITION BY id) AS owner FROM @id0)
     WHERE k <> owner OR id IN (SELECT session_id FROM @se)"""
-CTES["id1"] = f"""SELECT k, {hashed('k', 24, 1)} AS id FROM @id_lost"""
+CTES["id1"] = f"""SELECT k, {hashed('k', 48, 1)} AS id FROM @id_lost"""
 CTES["id1_won"] = """SELECT min(k) AS k, id FROM @id1 WHERE id NOT IN (SELECT id FROM @id0)
     AND id NOT IN (SELECT session_id FROM @se) GROUP BY id"""
-CTES["id2"] = f"""SELECT k, {hashed('k', 24, 2)} AS id FROM @id1 WHERE k NOT IN (SELECT k FROM @id1_won)"""
+CTES["id2"] = f"""SELECT k, {hashed('k', 48, 2)} AS id FROM @id1 WHERE k NOT IN (SELECT k FROM @id1_won)"""
 CTES["id2_won"] = """SELECT min(k) AS k, id FROM @id2 WHERE id NOT IN (SELECT id FROM @id0) AND id NOT IN (SELECT id FROM @id1_won)
     AND id NOT IN (SELECT session_id FROM @se) GROUP BY id"""
 

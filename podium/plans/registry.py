@@ -506,10 +506,10 @@ def init_responses(t):
 
 
 @named("assign_ids")
-def narrow_ids(t):
-    """24-bit ids for all orders: many first draws collide and are redrawn."""
+def order_ids(t):
+    """48-bit ids for all orders, beside those of the sessions. The tests draw from few bits."""
     keys = t.responses.select(F.concat(F.lit("order/"), F.col("response_id").cast("string")).alias("natural_key"))
-    return assign_ids(keys, "natural_key", bits=24, taken=t.sessions.select("session_id"))
+    return assign_ids(keys, "natural_key", bits=48, taken=t.sessions.select("session_id"))
 
 
 # List edits
