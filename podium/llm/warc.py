@@ -2,21 +2,25 @@
 
 `write_archive` gives every page a record. Of records with equal payloads the one with the smallest page_id is
 a response, the others are revisits that refer to it. The archive is two tables in the shared folder:
-`payloads` (digest, payload) with every payload once, and `headers` (record, digest, header) with the bytes of
+`payloads` (digest, frame) with every payload once, compressed, and `headers` (record, digest, header) with the bytes of
 every record's header block. `read_archive` verifies each stored payload against its digest, joins the two and
 returns the records as they were; `parse_records` reads a record back from its bytes alone.
 
-Payloads are told apart by SHA-256 and length; the SHA-1 of the WARC header is computed from the same bytes.
-Only digests are grouped, so a payload shared by a third of the pages is a few rows per task; its bytes are
-written by the one row that owns it.
+Payloads are told apart by SHA-256, and every record's length is checked on reading; the SHA-1 of the WARC header
+is computed from the same bytes. Digests and payloads are combined before they are shuffled, so a payload that a
+third of the pages share is one row a task. Payloads are compressed one by one when they are read, and travel and
+rest that way until a record is put together again.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from podium.llm.common import stored
 
@@ -40,6 +44,26 @@ def base32(hex_digest: Column) -> Column:
     return F.translate(F.upper(F.concat(*groups)), CONV_DIGITS, BASE32_DIGITS)
 
 
+@F.pandas_udf(T.BinaryType())
+def compressed(payloads: pd.Series) -> pd.Series:
+    pack = zstandard.ZstdCompressor(level=3).compress
+    return pd.Series([pack(p) for p in payloads], dtype=object)
+
+
+@F.pandas_udf(T.BinaryType())
+def decompressed(frames: pd.Series) -> pd.Series:
+    """The payloads; null for a frame that is missing or damaged."""
+    unpack = zstandard.ZstdDecompressor().decompress
+
+    def payload(frame: bytes | None) -> bytes | None:
+        try:
+            return None if frame is None else unpack(frame)
+        except zstandard.ZstdError:
+            return None
+
+    return pd.Series([payload(f) for f in frames], dtype=object)
+
+
 def record_uri(record: Column) -> Column:
     """A urn:uuid from a hash of the record's place in the archive."""
     digest = F.md5(F.concat(F.lit("record:"), record.cast("string")))
@@ -91,22 +115,22 @@ def write_archive(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES)
         pages.select(
             "page_id", "url", F.monotonically_increasing_id().alias("record"), F.sha2(payload, 256).alias("digest"),
             base32(F.sha1(payload)).alias("sha1"), F.octet_length(payload).cast("bigint").alias("payload_bytes"),
-            payload.alias("payload"),
         ),
-        "warc-input",
+        "warc-digests",
     )
     order = F.struct(F.col("page_id").isNull(), "page_id", "record")
-    owners = digests.groupBy("digest", "payload_bytes").agg(F.min(order).alias("_owner"))
+    owners = digests.groupBy("digest").agg(F.min(order).alias("_owner"))
     owners = stored(owners.select("digest", "_owner.record", "_owner.page_id"), "warc-owners").select(
         "digest", F.col("record").alias("owner"), F.col("page_id").alias("owner_page")
     )
-    joined = digests.select("page_id", "url", "record", "digest", "sha1", "payload_bytes").join(owners, "digest")
     alone = (F.col("record") == F.col("owner")) | (F.col("payload_bytes") < min_revisit_bytes)
-    headers = joined.withColumn("is_response", alone).select(
+    headers = digests.join(owners, "digest").withColumn("is_response", alone).select(
         "record", "digest", "payload_bytes", header_block().alias("header")
     )
-    kept = digests.select("record", "digest", "payload").join(owners.select(F.col("owner").alias("record")), "record", "left_semi")
-    return Archive(stored(headers, "warc-headers"), stored(kept.select("digest", "payload"), "warc-payloads"))
+    # Copies of a payload are dropped in the map tasks before the rest are shuffled.
+    frames = pages.select(F.sha2(payload, 256).alias("digest"), compressed(payload).alias("frame"))
+    payloads = frames.groupBy("digest").agg(F.first("frame").alias("frame"))
+    return Archive(stored(headers, "warc-headers"), stored(payloads, "warc-payloads"))
 
 
 def open_archive(spark: SparkSession, headers: str, payloads: str) -> Archive:
@@ -115,11 +139,9 @@ def open_archive(spark: SparkSession, headers: str, payloads: str) -> Archive:
 
 def read_archive(archive: Archive) -> DataFrame:
     """(record, header, payload) of every record. A payload that is lost or fails its digest raises."""
-    sound = archive.payloads.select(
-        "digest", F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).alias("payload")
-    )
-    joined = archive.headers.join(sound, "digest", "left")
-    checked = F.when(F.octet_length("payload") == F.col("payload_bytes"), F.col("payload")).otherwise(
+    joined = archive.headers.join(archive.payloads, "digest", "left").withColumn("payload", decompressed("frame"))
+    sound = (F.octet_length("payload") == F.col("payload_bytes")) & (F.sha2("payload", 256) == F.col("digest"))
+    checked = F.when(sound, F.col("payload")).otherwise(
         F.raise_error(F.concat(F.lit("archive: payload lost or damaged: "), F.col("digest"))).cast("binary")
     )
     return joined.select("record", "header", checked.alias("payload"))
