@@ -4,9 +4,11 @@ import pytest
 
 import __spark_entry__ as contract
 import check
+from podium.plans import oracles
+from podium.plans.registry import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-ORACLES = contract.oracle_sql()
+ORACLES = oracles.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +17,8 @@ def con():
 
 
 def test_every_query_has_its_sql():
-    assert set(ORACLES) == set(contract.queries())
+    assert set(ORACLES) == set(QUERIES)
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
 
 
 def test_entry(spark):
