@@ -25,7 +25,7 @@ WINDOW = 13
 AGREE = 10
 # Items with fewer words than the window must agree in all but one fifth of their words, and have this many.
 SHORTEST = SPAN
-BROADCAST_HASHES = 1_000_000
+BROADCAST_HASHES, BROADCAST_KEYS = 1_000_000, 1_000_000
 
 
 def word_hashes(text: Column) -> Column:
@@ -67,12 +67,19 @@ def passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = seed_hashes(hashed, ["key"], "words").join(small(seeds), "hash")
     offsets = hits.select("key", "item_row", (F.col("position") - F.col("item_at")).alias("shift")).distinct()
     offsets = stored(offsets, "leak-hits")
-    texts = docs.select(text_key(F.col("text")).alias("key"), "text").join(offsets.select("key").distinct(), "key", "left_semi")
+    texts = with_keys(docs.select(text_key(F.col("text")).alias("key"), "text"), offsets)
     texts = texts.groupBy("key").agg(F.first("text").alias("text")).select("key", word_hashes(F.col("text")).alias("words"))
     found = offsets.join(items, "item_row").join(texts, "key")
     return stored(best_window(found).where(enough(F.col("n_agree"), F.col("n_words"))), "leak-passages")
 
 
+def with_keys(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """The rows whose key the stored table has. A counted list of keys goes to the rows, so that copies of a text
+    can be combined before any shuffle; a longer one meets them by shuffle."""
+    keys = stored(table.select("key").distinct(), "leak-keys")
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, "key", "left_semi")
+
+
 def enough(agree: Column, compared: Column) -> Column:
     """Whether so many agreeing words among the compared ones are a passage."""
     return F.when(compared >= WINDOW, agree >= AGREE).otherwise((compared >= SHORTEST) & (agree * 5 >= compared * 4))
@@ -109,7 +116,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     found = passages(docs, benchmark)
     rows = docs.select("doc_id", text_key(F.col("text")).alias("key"))
-    named = rows.join(found.select("key").distinct(), "key", "left_semi").distinct().join(found, "key")
+    named = with_keys(rows, found).distinct().join(found, "key")
     best = F.max(F.struct("n_agree", (-F.col("first_word")).alias("_at"), "n_words"))
     return named.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_places"), best.alias("_best")).select(
         "doc_id", "item_id", "n_places", "_best.n_agree", "_best.n_words", (-F.col("_best._at")).alias("first_word")
