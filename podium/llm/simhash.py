@@ -23,7 +23,7 @@ from itertools import islice, repeat
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from podium.functions.graph import components
@@ -42,6 +42,9 @@ VANTAGE_TRIES = 6
 NEAR_SHINGLE, NEAR_SIMILARITY, NEAR_BITS = 5, 0.8, 6
 # Texts held in memory while the others of their component stream by.
 BLOCK_TEXTS = 512
+# Texts that frequent shingles are counted on, from how many of them on a shingle is frequent, and the most such shingles.
+# They come last in the order of the prefixes: any order finds the same pairs, this one in less time.
+ORDER_TEXTS, ORDER_COUNT, ORDER_SHINGLES = 8_192, 8, 65_536
 
 
 # Fingerprints
@@ -350,14 +353,119 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
+# Exact candidates
+
+
+def digests(text: bytes | None, size: int) -> np.ndarray:
+    """The hashes of a text's different shingles, sorted."""
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles_of(words_of(text), size)), dtype=np.uint64))
+
+
+def prefix_of(shingles: np.ndarray, frequent: np.ndarray, least: float) -> np.ndarray:
+    """The first shingles in the order (frequent, hash): two texts that are `least` similar share one of their prefixes."""
+    late = np.isin(shingles, frequent)
+    kept = len(shingles) - int(np.ceil(least * len(shingles) - 1e-9)) + 1 if len(shingles) else 0
+    return np.concatenate([shingles[~late], shingles[late]])[:kept]
+
+
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """512 bits, each the parity of the shingles that fall on it. Those of two sets differ in no more bits than the
+    sets have shingles that are not in both."""
+    bit = (shingles >> np.uint64(55)).astype(np.int64)
+    return np.packbits((np.bincount(bit, minlength=512) & 1).astype(np.uint8)).view(np.int64)
+
+
+def frequent_shingles(docs: DataFrame, n_docs: int, size: int) -> np.ndarray:
+    """The shingles of many texts, by a bounded sample."""
+    share = min(1.0, ORDER_TEXTS / max(n_docs, 1))
+    sample = docs.where(F.pmod(F.xxhash64(text_key(F.col("text"))), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+
+    def hashes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for text in frame["text"]:
+                yield pd.DataFrame({"hash": digests(text, size).view(np.int64)})
+
+    counts = sample.select(F.col("text").cast("binary").alias("text")).mapInPandas(hashes, "hash bigint").groupBy("hash").agg(F.count("*").alias("n"))
+    most = counts.where(F.col("n") >= ORDER_COUNT).orderBy(F.desc("n"), "hash").limit(ORDER_SHINGLES).toPandas()
+    return np.sort(most["hash"].to_numpy(dtype=np.int64).view(np.uint64))
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame, docs: DataFrame, size: int, least: float) -> DataFrame:
+    """The pairs (a, b) of text numbers whose texts are similar, stored."""
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct().join(texts, "tid").select("tid", "first_doc", "key"), "near-wanted")
+    full = docs.select(F.col("doc_id").alias("first_doc"), text_key(F.col("text")).alias("key"), F.col("text").cast("binary").alias("text"))
+    full = stored(wanted.join(full, ["first_doc", "key"]).dropDuplicates(["tid"]).select("tid", "text"), "near-wanted-texts")
+    both = pairs.join(full.select(F.col("tid").alias("a"), F.col("text").alias("_ta")), "a").join(full.select(F.col("tid").alias("b"), F.col("text").alias("_tb")), "b")
+    return stored(both.where(similarity_column(F.col("_ta"), F.col("_tb"), size) >= least).select("a", "b"), "near-similar")
+
+
+def exact_links(texts: DataFrame, known: DataFrame, docs: DataFrame, n_docs: int, size: int, least: float) -> DataFrame:
+    """Links (a, b) that, with the components (node, root) of `known`, connect the same texts as all pairs of at
+    least `least` similarity do.
+
+    Texts that are similar share a shingle of their prefixes, so every pair meets at a shingle. Every text of a
+    shingle is first compared with the smallest one; then only pairs of different groups are left. Lengths and
+    parities, bounds that no similar pair can break, are looked at before texts are.
+    """
+    frequent = frequent_shingles(docs, n_docs, size)
+
+    def signed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            sets = [digests(t, size) for t in frame["text"]]
+            yield frame[["doc_id", "key"]].assign(
+                n=[len(x) for x in sets], parity=[parities(x) for x in sets], prefix=[prefix_of(x, frequent, least).view(np.int64) for x in sets]
+            )
+
+    types = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, n bigint, parity array<bigint>, prefix array<bigint>"
+    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", text_key(F.col("text")).alias("key"), F.col("text").cast("binary").alias("text"))
+    named = texts.select("tid", F.col("first_doc").alias("doc_id"), "key")
+    signs = stored(rows.mapInPandas(signed, types).join(named, ["doc_id", "key"]).dropDuplicates(["tid"]).select("tid", "n", "parity", "prefix"), "near-signs")
+    at_shingle = Window.partitionBy("hash")
+    posted = signs.select("tid", F.explode("prefix").alias("hash"))
+    shared = posted.withColumn("lead", F.min("tid").over(at_shingle)).withColumn("_n", F.count("*").over(at_shingle)).where("_n > 1")
+    shared = stored(shared.select("hash", "tid", "lead"), "near-shared")
+
+    def grouped(labels: DataFrame) -> DataFrame:
+        table = signs.join(shared.select("tid").distinct(), "tid", "left_semi").join(labels, F.col("tid") == F.col("node"), "left")
+        return stored(table.select("tid", "n", "parity", F.coalesce("root", "tid").alias("group")), "near-groups")
+
+    def side(table: DataFrame, name: str) -> DataFrame:
+        return table.select(F.col("tid").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in table.columns if c not in ("tid", "hash")])
+
+    together = F.col("n_a") + F.col("n_b")
+    apart = sum((F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i])) for i in range(8)), F.lit(0))
+    possible = (
+        (F.col("group_a") != F.col("group_b"))
+        & (F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-6)
+        & (apart <= (1 - least) / (1 + least) * together + 1e-6)
+    )
+    groups = grouped(known)
+    leads = shared.where("tid <> lead").select(F.col("tid").alias("a"), F.col("lead").alias("b")).distinct()
+    first = leads.join(side(groups, "a"), "a").join(side(groups, "b"), "b").where(possible).select("a", "b")
+    first = similar_pairs(stored(first, "near-first-pairs"), texts, docs, size, least)
+    groups = grouped(components(known.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(first)))
+    met = stored(shared.join(groups, "tid"), "near-met")
+    open_ = met.groupBy("hash").agg(F.min("group").alias("_low"), F.max("group").alias("_high")).where("_low <> _high").select("hash")
+    met = stored(met.join(open_, "hash", "left_semi").drop("lead"), "near-open")
+    pairs = side_by_side(met).where(possible).select("a", "b").distinct()
+    return first.unionByName(similar_pairs(stored(pairs, "near-second-pairs"), texts, docs, size, least))
+
+
+def side_by_side(met: DataFrame) -> DataFrame:
+    """All pairs of texts that meet at a shingle, with the columns of either."""
+    left = met.select("hash", *[F.col(c).alias("a" if c == "tid" else f"{c}_a") for c in met.columns if c != "hash"])
+    right = met.select("hash", *[F.col(c).alias("b" if c == "tid" else f"{c}_b") for c in met.columns if c != "hash"])
+    return left.join(right, "hash").where(F.col("a") < F.col("b"))
+
+
 def without_near_duplicates(
     docs: DataFrame, size: int = NEAR_SHINGLE, least: float = NEAR_SIMILARITY, bits: int = NEAR_BITS
 ) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest doc_id; all columns are kept.
 
     Texts belong to a group if a chain of texts connects them, each `least` similar to the next by the Jaccard
-    similarity of their sets of `size`-word shingles, and near in the SimHash of their sets of words, which
-    finds the candidates. Copies of a text count once. Null texts are as empty ones: all texts without words
+    similarity of their sets of `size`-word shingles. Fingerprints of their sets of words within `bits` give the
+    first links, shared shingles of prefixes (`exact_links`) all that are missing. Copies of a text count once. Null texts are as empty ones: all texts without words
     are one group. Of rows with the same doc_id and text one stays. A document with a null id stays only if no
     row with an id has its text; it is compared by its exact text alone.
     """
@@ -365,7 +473,9 @@ def without_near_duplicates(
     rows = stored(docs.select("doc_id", text_key(F.col("text")).alias("key"), fingerprint(text, 1, distinct=True).alias("fp")), "near-rows")
     texts = rows.groupBy("key").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("first_doc"))
     texts = stored(texts.withColumn("tid", F.monotonically_increasing_id()), "near-texts")
-    labels = components(near_duplicate_texts(texts, docs, size, least, bits))
+    near = stored(near_duplicate_texts(texts, docs, size, least, bits), "near-links")
+    exact = exact_links(texts, components(near), docs, rows.count(), size, least)
+    labels = components(near.unionByName(exact))
     grouped = texts.join(labels, F.col("tid") == F.col("node"), "left").withColumn("group", F.coalesce("root", "tid"))
     order = F.struct(F.col("first_doc").isNull(), "first_doc", "key")
     kept = grouped.groupBy("group").agg(F.min(order).alias("_kept")).select(F.col("_kept.first_doc").alias("_doc"), F.col("_kept.key").alias("_key"))

@@ -135,3 +135,27 @@ def test_a_chain_is_one_group_though_its_ends_differ(spark, monkeypatch):
     bits = max(bin((a ^ b) & (1 << 64) - 1).count("1") for a, b in zip(fps, fps[1:], strict=False))
     kept = simhash.without_near_duplicates(documents(spark, [(9 - i, t, "en", "a") for i, t in enumerate(chain)]), bits=bits)
     assert [r.doc_id for r in kept.collect()] == [2]
+
+
+def test_near_duplicates_beyond_the_bits_of_the_fingerprint(spark):
+    """Every pair of similarity 0.8 is linked, by brute force over appended, cut and substituted copies."""
+    rows = []
+    for i in range(30):
+        base = prose(300 + i, 60 + 14 * i).split(" ")
+        n = len(base)
+        new = [w + "new" for w in prose(400 + i, n).split(" ")]
+        copies = [base, base + new[: n // 10], base + new[: n * 24 // 100], base[: n * 85 // 100], [new[j] if j % 60 == 30 else w for j, w in enumerate(base)]]
+        rows += [(100 * i + j, " ".join(c), "en", "a") for j, c in enumerate(copies)]
+    sets = [simhash.shingle_set(t.encode(), 5) for _, t, _, _ in rows]
+    fps = [simhash.fingerprint_of(t.encode(), 1, True) for _, t, _, _ in rows]
+    label = list(range(len(rows)))
+    far = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if simhash.similarity(sets[i], sets[j]) >= 0.8:
+                far += bin((fps[i] ^ fps[j]) & (1 << 64) - 1).count("1") > simhash.NEAR_BITS
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    assert far > 20
+    want = sorted({min(rows[k][0] for k in range(len(rows)) if label[k] == x) for x in label})
+    assert sorted(r.doc_id for r in simhash.without_near_duplicates(documents(spark, rows)).collect()) == want
