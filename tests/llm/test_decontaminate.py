@@ -1,5 +1,6 @@
 import random
 import re
+from itertools import combinations
 
 from helpers import documents, edited, prose
 
@@ -75,3 +76,17 @@ def test_a_very_long_text(spark):
     text = prose(1, 60_000) + " " + item + " " + prose(2, 60_000)
     found = d.leaks(documents(spark, [text]), bench).collect()
     assert [(x.n_agree, x.first_word) for x in found] == [(13, 60_000)]
+
+
+def test_every_accepted_passage_is_found(spark):
+    """All places of the replaced words that the check accepts, for every length up to the window; no seeds here."""
+    items, rows, want = [], [], set()
+    for n, most in ((9, 1), (10, 2), (11, 2), (12, 2), (13, 3)):
+        item = prose(50 + n, n).split(" ")
+        items.append((n, " ".join(item)))
+        for replaced in combinations(range(n), most):
+            passage = " ".join(f"new{i}" if i in replaced else w for i, w in enumerate(item))
+            want.add((len(rows), n))
+            rows.append(f"{prose(1000 + len(rows), 20)} {passage} {prose(5000 + len(rows), 20)}")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    assert {(x.doc_id, x.item_id) for x in d.leaks(documents(spark, rows), bench).collect()} == want
