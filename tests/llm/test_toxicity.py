@@ -1,4 +1,5 @@
 import zlib
+from itertools import islice, product
 
 import numpy as np
 import pytest
@@ -78,3 +79,9 @@ def test_wanted_features_are_those_of_all(text):
     everything = toxicity.features_of(text)
     for wanted in (set(), {"vlor*", "vlor*3", "vlorga", "x"}, everything):
         assert toxicity.features_of(text, wanted, toxicity.stems_of(wanted)) == everything & wanted
+
+
+def test_a_rare_strong_term_is_mined_among_many_frequent_ones(spark):
+    common = " ".join(islice(map("".join, product("abcdefghijklm", repeat=4)), 21_000))
+    rows = [(common + " vlorg" * (i < 8), 1) for i in range(12)] + [(common if i < 20 else "fine", 0) for i in range(80)]
+    assert "vlorg" in toxicity.mined_terms(spark.createDataFrame(rows, "text string, toxic int")).number
