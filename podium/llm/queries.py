@@ -1,4 +1,4 @@
-"""The operators as named queries over the whole test tables: op1 to op10."""
+"""The operators as named queries over the whole test tables: op1 to op13."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podium.llm import chat, decontaminate, licences, mixing, pii, quality, simhash, toxicity, url_filter, warc
+from podium.llm import (
+    align, chat, codes, decontaminate, licences, line_dedup, mixing, pii, quality, simhash, toxicity, url_filter, warc,
+)
 from podium.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +87,28 @@ def op9_decontamination(spark, folder):
 def op10_license_scans(spark, folder):
     """Licences named in every document."""
     return licences.licence_scan(read_table(spark, folder, "documents"))
+
+
+@query
+def op11_cross_tokenizer_alignment(spark, folder):
+    """Tokens of two tokenizers aligned in all documents."""
+    aligned = align.align_documents(read_table(spark, folder, "documents").select("doc_id", "text"))
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    return aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest)
+
+
+@query
+def op12_vector_codes(spark, folder):
+    """All usable vectors as codes."""
+    coded, books = codes.compress(read_table(spark, folder, "embeddings"))
+    result = codes.with_label_errors(coded).select("vec_id", "code", "error", "label_error")
+    return result.withColumn("codebooks_sha256", F.lit(codes.codebooks_sha256(books)))
+
+
+@query
+def op13_line_dedup(spark, folder):
+    """All documents without the lines that many documents have."""
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    index = line_dedup.insert_documents(line_dedup.empty_index(spark), docs)
+    kept = line_dedup.dedup_lines(docs, index)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))

@@ -6,7 +6,7 @@ brute-force versions in tests/llm.
 
 from __future__ import annotations
 
-from podium.llm import chat, decontaminate, mixing, url_filter
+from podium.llm import chat, codes, decontaminate, line_dedup, mixing, url_filter
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -142,10 +142,64 @@ def decontamination() -> str:
     FROM ranked WHERE place = 1"""
 
 
+def line_dedup_sql() -> str:
+    white = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
+    key = f"translate(trim(line, {white}), '{UPPER}', '{LOWER}')"
+    return f"""
+    WITH docs AS (SELECT row_number() OVER () AS k, doc_id, string_split(coalesce(text, ''), chr(10)) AS cut FROM documents),
+    parts AS (SELECT k, unnest(cut) AS line, unnest(range(len(cut))) AS place FROM docs),
+    keyed AS (SELECT *, {key} AS key FROM parts),
+    common AS (SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT k) >= {line_dedup.MIN_DOCS}),
+    marked AS (SELECT keyed.*, common.key IS NOT NULL AS gone FROM keyed LEFT JOIN common USING (key)),
+    summed AS (
+      SELECT k, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+        sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+      FROM marked GROUP BY k
+    )
+    SELECT doc_id, n_lines, n_dropped, kept_sha256 FROM docs JOIN summed USING (k)"""
+
+
+def vector_codes() -> str:
+    parts, entries = codes.PARTS, codes.ENTRIES
+    apart = "CAST(list_sum(list_transform(range(len(p.q)), lambda i: (p.q[i + 1] - e.q[i + 1]) * (p.q[i + 1] - e.q[i + 1]))) AS BIGINT)"
+    steps = []
+    for n in range(codes.ROUNDS + 1):
+        steps.append(f"""near{n} AS MATERIALIZED (
+      SELECT k, part, min(struct_pack(d := {apart}, entry := e.entry)) AS best
+      FROM parts p JOIN book{n} e USING (part) GROUP BY k, part
+    )""")
+        if n < codes.ROUNDS:
+            steps.append(f"""mean{n} AS (
+      SELECT part, entry, place, CAST(floor(CAST(sum(x) AS HUGEINT) / count(*)) AS BIGINT) AS x, sum(x) AS s, count(*) AS n
+      FROM (SELECT part, best.entry AS entry, unnest(q) AS x, unnest(range(len(q))) AS place FROM near{n} JOIN parts USING (k, part))
+      GROUP BY part, entry, place
+    ), book{n + 1} AS MATERIALIZED (
+      SELECT b.part, b.entry, coalesce(m.q, b.q) AS q FROM book{n} b LEFT JOIN (
+        SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY place) AS q FROM mean{n} GROUP BY part, entry) m USING (part, entry)
+    )""")
+    last = codes.ROUNDS
+    return f"""
+    WITH kept AS (
+      SELECT row_number() OVER (ORDER BY vec_id) - 1 AS k, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+      FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)
+    ), parts AS MATERIALIZED (
+      SELECT k, part, q[part * len(q) // {parts} + 1 : (part + 1) * len(q) // {parts}] AS q FROM (SELECT k, q, unnest(range({parts})) AS part FROM kept)
+    ), book0 AS MATERIALIZED (SELECT part, k AS entry, q FROM parts WHERE k < {entries}),
+    {", ".join(steps)},
+    scored AS (
+      SELECT k, string_agg(lpad(to_hex(best.entry), 2, '0'), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM near{last} GROUP BY k
+    )
+    SELECT vec_id, lower(code) AS code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+      (SELECT sha256(string_agg(array_to_string(q, ','), ',' ORDER BY part, entry)) FROM book{last}) AS codebooks_sha256
+    FROM kept JOIN scored USING (k)"""
+
+
 ORACLES: dict[str, str] = {
     "op1_chat_formatting": chat_formatting(),
     "op4_url_filters": url_filters(),
     "op7_mixing": mixing_sources(),
     "op8_warc": warc_records(),
     "op9_decontamination": decontamination(),
+    "op12_vector_codes": vector_codes(),
+    "op13_line_dedup": line_dedup_sql(),
 }
