@@ -8,31 +8,37 @@ Identity-map fast path: the B id with the same bytes as an A id is known beforeh
 key: it is counted in a vector as long as A's vocabulary. Only other pairs, which come from irregular groups, are
 counted through a shuffle, added up by each task before.
 
-Words are aligned once: neither tokenizer has a token that goes on over a single blank between two words (checked for
-B when it is loaded), so a text is cut there, and the pieces' alignments are remembered by each worker process.
+Words are encoded once: neither tokenizer has a token that goes on over a single blank between two words (checked for
+B when it is loaded), so texts are cut there, and the tokens of a piece are remembered by each worker process. The
+alignments themselves are computed for all pieces of a batch together, on arrays of byte ends.
+
+The texts are read and encoded once. What is stored of a document is its pairs of ids with their links, as sorted
+numbers; the counts and then the scores are made from that.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import partial
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from podium.llm.common import free_name, stored
+from podium.session import fresh_path
 
 TOKENIZERS = "/opt/tokenizers"
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-# Pieces of texts a worker remembers, in characters altogether; longer pieces are not remembered.
-REMEMBERED_CHARS = 16_000_000
+# Pieces of texts a worker remembers; longer ones than LONGEST_PIECE characters are not remembered.
+REMEMBERED_PIECES = 250_000
 LONGEST_PIECE = 64
 # Characters of texts that are aligned together, and pairs a task holds before it hands them on.
 BATCH_CHARS = 4_000_000
@@ -56,6 +62,8 @@ class Tokenizers:
     """Both tokenizers, the bytes of all their ids, and the identity map, from the contents of their files."""
 
     def __init__(self, a_json: bytes, b_model: bytes):
+        # A task has one core; the library would start threads on all of them.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
@@ -80,7 +88,10 @@ class Tokenizers:
         # Can a piece of B go on over a blank? Then texts stay whole.
         self.cuts = not any(re.search(r"[^▁]▁", pieces[i]) for i in order)
         self.width = len(pieces)
-        self.a_text, self.b_text = list(map(str, range(len(self.a_bytes)))), list(map(str, range(len(pieces))))
+        self.a_sizes, self.b_sizes = (np.array(list(map(len, x)), dtype=np.int64) for x in (self.a_bytes, self.b_bytes))
+        # An id as text, inside its group and at the end of its side of the group.
+        texts = lambda n, end: np.array([f"{i}{mark}" for mark in (",", end) for i in range(n)], dtype=object)
+        self.a_texts, self.b_texts = texts(len(self.a_bytes), "|"), texts(len(pieces), ";")
 
     def encode(self, pieces: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of texts that begin with a blank; B adds that blank itself."""
@@ -88,47 +99,63 @@ class Tokenizers:
         return a, self.b.encode([p[1:] for p in pieces], num_threads=1)
 
 
+class Aligned:
+    """Alignments of a list of pieces: `counts` (tokens of A, of B, groups, links), `texts` of the groups, None where
+    the tokens' bytes are not the piece's, and the codes of linked pairs, those of piece n at starts[n] : starts[n + 1]."""
+
+    def __init__(self, t: Tokenizers, pieces: list[str], a: list[bytes], b: list[bytes]):
+        whole = [p.encode() for p in pieces]
+        size = np.fromiter(map(len, whole), dtype=np.int64, count=len(whole))
+        n_a, n_b = (np.fromiter(map(len, x), dtype=np.int64, count=len(whole)) // 4 for x in (a, b))
+        a_ids, b_ids = (np.frombuffer(b"".join(x), dtype=np.uint32).astype(np.int64) for x in (a, b))
+        good = self.equal(whole, n_a, a_ids, t.a_bytes, t.a_sizes) & self.equal(whole, n_b, b_ids, t.b_bytes, t.b_sizes)
+        a_ids, b_ids = a_ids[np.repeat(good, n_a)], b_ids[np.repeat(good, n_b)]
+        a_ends, b_ends = np.cumsum(t.a_sizes[a_ids]), np.cumsum(t.b_sizes[b_ids])
+        limits = np.concatenate([[0], np.cumsum(np.where(good, size, 0))])
+        # Marks at the bytes where tokens end, counted up.
+        in_a, in_b = np.zeros(limits[-1] + 1, dtype=bool), np.zeros(limits[-1] + 1, dtype=bool)
+        in_a[a_ends], in_b[b_ends] = True, True
+        upto_a, upto_b, upto_group, upto_link = (np.cumsum(x) for x in (in_a, in_b, in_a & in_b, in_a | in_b))
+        # Every end of either begins a new pair: the tokens whose bytes come next.
+        ends = np.flatnonzero(in_a | in_b)
+        self.codes = a_ids[upto_a[ends] - in_a[ends]] * t.width + b_ids[upto_b[ends] - in_b[ends]]
+        self.counts = np.stack([np.diff(x[limits]) for x in (upto_a, upto_b, upto_group, upto_link)], axis=1)
+        self.starts = upto_link[limits]
+        # The tokens as text, A's of a group before B's.
+        groups = np.flatnonzero(in_a & in_b)
+        own_a, own_b = upto_group[a_ends] - in_b[a_ends], upto_group[b_ends] - in_a[b_ends]
+        words = np.empty(len(a_ids) + len(b_ids), dtype=object)
+        before = np.concatenate([[0], upto_b[groups]])
+        words[np.arange(len(a_ids)) + before[own_a]] = t.a_texts[a_ids + len(t.a_bytes) * in_b[a_ends]]
+        words[np.arange(len(b_ids)) + upto_a[groups][own_b]] = t.b_texts[b_ids + t.width * in_a[b_ends]]
+        words, at = words.tolist(), (upto_a + upto_b)[limits].tolist()
+        self.texts = ["".join(words[s:e])[:-1] if ok else None for s, e, ok in zip(at[:-1], at[1:], good.tolist(), strict=True)]
+
+    @staticmethod
+    def equal(whole: list[bytes], n: np.ndarray, ids: np.ndarray, table: list[bytes], sizes: np.ndarray) -> np.ndarray:
+        """Whether the tokens' bytes are those of the piece."""
+        joined = b"".join([table[i] for i in ids.tolist()])
+        ends = np.concatenate([[0], np.cumsum(sizes[ids])])[np.concatenate([[0], np.cumsum(n)])].tolist()
+        return np.array([joined[s:e] == x for s, e, x in zip(ends[:-1], ends[1:], whole, strict=True)], dtype=bool)
+
+
 class Alignments:
-    """Alignments of pieces, each made once: counts, groups as text, and pairs of ids with their occurrences."""
+    """Aligns texts, and remembers the tokens of short pieces."""
 
     def __init__(self, tokenizers: Tokenizers):
         self.tokenizers = tokenizers
-        self.clear()
-
-    def clear(self) -> None:
-        self.numbers: dict[str, int] = {}
-        self.chars = 0
-        self.counts: list[tuple[int, int, int, int]] = []
-        self.groups: list[str | None] = []
-        self.pairs: list[np.ndarray] = []
-
-    def add(self, pieces: list[str]) -> None:
-        for piece, a, b in zip(pieces, *self.tokenizers.encode(pieces), strict=True):
-            self.numbers[piece] = len(self.groups)
-            self.chars += len(piece) + 100
-            counts, groups, pairs = self.align(piece.encode(), a, b)
-            self.counts.append(counts)
-            self.groups.append(groups)
-            self.pairs.append(pairs)
-
-    def align(self, text: bytes, a: list[int], b: list[int]) -> tuple[tuple[int, int, int, int], str | None, np.ndarray]:
-        """((tokens of A, of B, groups, links), the groups as text, codes of the linked pairs); None for the text where
-        the tokens' bytes are not the piece's."""
-        t = self.tokenizers
-        a_parts, b_parts = [t.a_bytes[i] for i in a], [t.b_bytes[i] for i in b]
-        if b"".join(a_parts) != text or b"".join(b_parts) != text:
-            return (0, 0, 0, 0), None, np.empty(0, dtype=np.int64)
-        a_ends, b_ends = list(accumulate(map(len, a_parts))), list(accumulate(map(len, b_parts)))
-        groups, pairs = [], []
-        i = j = first_a = first_b = 0
-        while i < len(a) and j < len(b):
-            pairs.append(a[i] * t.width + b[j])
-            x, y = a_ends[i], b_ends[j]
-            i, j = i + (x <= y), j + (y <= x)
-            if x == y:
-                groups.append(",".join([t.a_text[k] for k in a[first_a:i]]) + "|" + ",".join([t.b_text[k] for k in b[first_b:j]]))
-                first_a, first_b = i, j
-        return (len(a), len(b), len(groups), len(pairs)), ";".join(groups), np.array(pairs, dtype=np.int64)
+        self.tokens: dict[str, tuple[bytes, bytes]] = {}
+
+    def encoded(self, pieces: list[str]) -> tuple[list[bytes], list[bytes]]:
+        """The ids of different pieces, as bytes."""
+        new = [p for p in pieces if p not in self.tokens]
+        packed = lambda ids: array("I", ids).tobytes()
+        made = {p: (packed(a), packed(b)) for p, a, b in zip(new, *self.tokenizers.encode(new), strict=True)}
+        both = [made[p] if p in made else self.tokens[p] for p in pieces]
+        if len(self.tokens) + len(made) > REMEMBERED_PIECES:
+            self.tokens = {}
+        self.tokens.update((p, x) for p, x in made.items() if len(p) <= LONGEST_PIECE)
+        return [x for x, _ in both], [x for _, x in both]
 
     def pieces_of(self, text: str | None) -> list[str]:
         if not text:
@@ -139,36 +166,29 @@ class Alignments:
         """Of every text its four counts and its groups; then, sorted by text and pair: number of the text, pair code
         and links of every different pair. Texts without tokens have zeros, no groups and no pairs."""
         cut = [self.pieces_of(t) for t in texts]
-        if self.chars > REMEMBERED_CHARS:
-            self.clear()
-        self.add(list({p for pieces in cut for p in pieces if p not in self.numbers}))
-        found = [[self.numbers[p] for p in pieces] for pieces in cut]
-        whole = [bool(f) and all(self.groups[n] is not None for n in f) for f in found]
-        found = [f if ok else [] for f, ok in zip(found, whole, strict=True)]
+        numbers = {p: n for n, p in enumerate(dict.fromkeys(p for pieces in cut for p in pieces))}
+        found = [[numbers[p] for p in pieces] for pieces in cut]
+        aligned = Aligned(self.tokenizers, list(numbers), *self.encoded(list(numbers)))
+        bad = {n for n, text in enumerate(aligned.texts) if text is None}
+        found = [[] if bad and not bad.isdisjoint(f) else f for f in found]
+        groups = [";".join([aligned.texts[n] for n in f]) for f in found]
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         flat = np.fromiter((n for f in found for n in f), dtype=np.int64, count=int(sizes.sum()))
         owner = np.repeat(np.arange(len(found)), sizes)
-        counts = np.zeros((len(found), 4), dtype=np.int64)
-        used, place = np.unique(flat, return_inverse=True)
-        if len(used):
-            np.add.at(counts, owner, np.array([self.counts[n] for n in used], dtype=np.int64)[place])
-        groups = [";".join([self.groups[n] for n in f]) for f in found]
+        counts = np.stack([np.bincount(owner, weights=x, minlength=len(found)) for x in aligned.counts[flat].T], axis=1).astype(np.int64)
         # Pieces of a text that are the same count once with a weight, then their pairs.
-        both, times = np.unique(owner * max(1, len(used)) + place, return_counts=True)
-        of_text, of_piece = np.divmod(both, max(1, len(used)))
-        lengths = np.array([len(self.pairs[n]) for n in used], dtype=np.int64)
-        starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-        table = np.concatenate([self.pairs[n] for n in used]) if len(used) else np.empty(0, dtype=np.int64)
-        n_pairs = lengths[of_piece]
+        both, times = np.unique(owner * max(1, len(numbers)) + flat, return_counts=True)
+        of_text, of_piece = np.divmod(both, max(1, len(numbers)))
+        n_pairs = np.diff(aligned.starts)[of_piece]
         within = np.arange(int(n_pairs.sum())) - np.repeat(np.cumsum(n_pairs) - n_pairs, n_pairs)
-        codes = table[np.repeat(starts[of_piece], n_pairs) + within]
+        codes = aligned.codes[np.repeat(aligned.starts[of_piece], n_pairs) + within]
         span = len(self.tokenizers.a_bytes) * self.tokenizers.width
-        keys, inverse = np.unique(np.repeat(of_text, n_pairs) * span + codes, return_inverse=True)
-        links = np.bincount(inverse, weights=np.repeat(times, n_pairs), minlength=len(keys)).astype(np.int64)
-        for piece in [p for p in self.numbers if len(p) > LONGEST_PIECE]:
-            number = self.numbers.pop(piece)
-            self.groups[number], self.pairs[number] = None, np.empty(0, dtype=np.int64)
-        return counts, groups, *np.divmod(keys, span), links
+        keys = np.repeat(of_text, n_pairs) * span + codes
+        order = np.argsort(keys, kind="stable")
+        keys, links = keys[order], np.repeat(times, n_pairs)[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, dtype=np.int64)
+        links = np.add.reduceat(links, first) if len(keys) else links
+        return counts, groups, *np.divmod(keys[first], span), links
 
 
 _loaded: dict[bytes, Alignments] = {}
@@ -183,7 +203,7 @@ def alignments(files: tuple[bytes, bytes]) -> Alignments:
     return _loaded[key]
 
 
-def text_batches(batch: pa.RecordBatch, texts: list[str | None]) -> Iterator[tuple[int, int]]:
+def text_batches(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about BATCH_CHARS characters of text, one row at least."""
     start, chars = 0, 0
     for n, text in enumerate(texts):
@@ -191,18 +211,57 @@ def text_batches(batch: pa.RecordBatch, texts: list[str | None]) -> Iterator[tup
         if chars >= BATCH_CHARS:
             yield start, n + 1
             start, chars = n + 1, 0
-    if start < batch.num_rows:
-        yield start, batch.num_rows
+    if start < len(texts):
+        yield start, len(texts)
+
+
+COUNTS = ("n_a", "n_b", "n_groups", "n_links")
+SCORES = ("n_best", "count_sum")
 
 
-# First pass: how many documents link a pair
+def _lists(owner: np.ndarray, n: int, values: np.ndarray, kind: pa.DataType) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values).cast(kind))
 
 
-def count_pairs(batches: Iterator[pa.RecordBatch], files) -> Iterator[pa.RecordBatch]:
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the row, and value, of all items of a list column."""
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(column)), sizes), column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def align(batches: Iterator[pa.RecordBatch], files, names: list[str], digests: bool) -> Iterator[pa.RecordBatch]:
+    """Replace the text by its counts, its groups, and steps between its sorted pair codes with their links."""
+    made = alignments(files.value)
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        for start, end in text_batches(texts):
+            counts, groups, owner, codes, links = made.documents(texts[start:end])
+            if digests:
+                groups = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
+            steps = np.diff(codes, prepend=0)
+            at = np.flatnonzero(np.diff(owner, prepend=-1))
+            steps[at] = codes[at]
+            columns = [*(pa.array(np.ascontiguousarray(x)) for x in counts.T), pa.array(groups, pa.string())]
+            columns += [_lists(owner, end - start, steps, pa.int64()), _lists(owner, end - start, links, pa.int32())]
+            own = batch.slice(start, end - start)
+            kept = [x for x in own.schema.names if x != "text"]
+            yield pa.RecordBatch.from_arrays([own.column(x) for x in kept] + columns, names=kept + names)
+
+
+def unpacked(batch: pa.RecordBatch, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the row, pair code and links of all pairs of a batch."""
+    owner, steps = _flat(batch.column(names[0]))
+    _, links = _flat(batch.column(names[1]))
+    codes = np.cumsum(steps)
+    at = np.flatnonzero(np.diff(owner, prepend=-1))
+    codes -= np.repeat(codes[at] - steps[at], np.diff(at, append=len(owner)))
+    return owner, codes, links
+
+
+def count_pairs(batches: Iterator[pa.RecordBatch], identity: np.ndarray, width: int, names: list[str]) -> Iterator[pa.RecordBatch]:
     """(identity, code, n): documents by pair of ids, added up over the task. The code of an identity pair is A's id
     alone; those are counted in a vector and come once a task."""
-    made = alignments(files.value)
-    identity, width = made.tokenizers.identity, made.tokenizers.width
     vector = np.zeros(len(identity), dtype=np.int64)
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -214,17 +273,15 @@ def count_pairs(batches: Iterator[pa.RecordBatch], files) -> Iterator[pa.RecordB
         return codes, np.bincount(place, weights=np.concatenate([n for _, n in held])).astype(np.int64)
 
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for start, end in text_batches(batch, texts):
-            codes = made.documents(texts[start:end])[3]
-            a = codes // width
-            regular = identity[a] == codes % width
-            vector += np.bincount(a[regular], minlength=len(vector))
-            held.append(np.unique(codes[~regular], return_counts=True))
-            if sum(len(c) for c, _ in held) > TASK_PAIRS:
-                held = [merged()]
-                if len(held[0][0]) > TASK_PAIRS // 2:
-                    yield row(False, *held.pop())
+        _, codes, _ = unpacked(batch, names)
+        a = codes // width
+        regular = identity[a] == codes % width
+        vector += np.bincount(a[regular], minlength=len(vector))
+        held.append(np.unique(codes[~regular], return_counts=True))
+        if sum(len(c) for c, _ in held) > TASK_PAIRS:
+            held = [merged()]
+            if len(held[0][0]) > TASK_PAIRS // 2:
+                yield row(False, *held.pop())
     if held:
         yield row(False, *merged())
     yield row(True, np.flatnonzero(vector), vector[np.flatnonzero(vector)])
@@ -238,16 +295,16 @@ class Counts:
         self.regular, self.best, self.codes, self.n = regular, best, codes, n
 
 
-def pair_counts(docs: DataFrame, files, vocabulary: int, width: int, broadcast_pairs: int) -> tuple[Counts, DataFrame]:
+def pair_counts(aligned: DataFrame, identity: np.ndarray, width: int, names: list[str], broadcast_pairs: int) -> tuple[Counts, DataFrame]:
     """The counts, and the table (code, n) of the pairs that are no identity pairs, stored."""
-    counting = partial(count_pairs, files=files)
-    counted = docs.select("text").mapInArrow(counting, "identity boolean, code bigint, n bigint")
+    counting = partial(count_pairs, identity=identity, width=width, names=names)
+    counted = aligned.select(*names).mapInArrow(counting, "identity boolean, code bigint, n bigint")
     counted = stored(counted.groupBy("identity", "code").agg(F.sum("n").alias("n")), "align-counts")
     irregular = counted.where("NOT identity").select("code", "n")
     # As long as A's vocabulary at most, so small whatever the corpus.
     rows = counted.where("identity").select("code", "n").toPandas()
     tops = irregular.groupBy(F.floor(F.col("code") / width).alias("a")).agg(F.max("n").alias("n")).toPandas()
-    regular, best = np.zeros(vocabulary, dtype=np.int64), np.zeros(vocabulary, dtype=np.int64)
+    regular, best = np.zeros(len(identity), dtype=np.int64), np.zeros(len(identity), dtype=np.int64)
     regular[rows["code"].to_numpy(dtype=np.int64)] = rows["n"]
     best[tops["a"].to_numpy(dtype=np.int64)] = tops["n"]
     best = np.maximum(best, regular)
@@ -257,40 +314,31 @@ def pair_counts(docs: DataFrame, files, vocabulary: int, width: int, broadcast_p
     return Counts(regular, best, pairs["code"].to_numpy(dtype=np.int64), pairs["n"].to_numpy(dtype=np.int64)), irregular
 
 
-# Second pass: the documents
-
-COUNTS = ("n_a", "n_b", "n_groups", "n_links")
-SCORES = ("n_best", "count_sum")
-
-
-def score(batches: Iterator[pa.RecordBatch], files, counts, names: list[str], open_pairs: bool) -> Iterator[pa.RecordBatch]:
-    """Fill the counts, scores and groups of documents. With `open_pairs` only identity pairs are scored, and the others
-    are listed with their links."""
-    made, c = alignments(files.value), counts.value
-    identity, width = made.tokenizers.identity, made.tokenizers.width
+def score(batches: Iterator[pa.RecordBatch], counts, identity: np.ndarray, width: int, names: list[str], drop: list[str]) -> Iterator[pa.RecordBatch]:
+    """Add the scores of documents. Pairs that the counts do not hold are left out."""
+    c = counts.value
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for start, end in text_batches(batch, texts):
-            numbers, groups, owner, codes, links = made.documents(texts[start:end])
-            a = codes // width
-            regular = identity[a] == codes % width
-            n = np.where(regular, c.regular[a], 0)
-            if not open_pairs:
-                n[~regular] = c.n[np.searchsorted(c.codes, codes[~regular])] if len(c.codes) else 0
-            known = regular | (not open_pairs)
-            sums = lambda x, owner=owner, size=end - start: np.bincount(owner, weights=x, minlength=size)
-            best = sums(np.where(known & (n == c.best[a]), links, 0)).astype(np.int64)
-            total = np.zeros(end - start, dtype=np.int64)
-            np.add.at(total, owner[known], (n * links)[known])
-            filled = [*numbers.T, best, total]
-            columns = [pa.array(np.ascontiguousarray(x)) for x in filled]
-            columns.append(pa.array(groups, pa.large_string()).cast(pa.string()))
-            if open_pairs:
-                ends = np.concatenate([[0], np.cumsum(np.bincount(owner[~regular], minlength=end - start))]).astype(np.int32)
-                columns += [pa.ListArray.from_arrays(pa.array(ends), pa.array(x[~regular])) for x in (codes, links)]
-            own = batch.slice(start, end - start)
-            yield pa.RecordBatch.from_arrays([own.column(name) for name in own.schema.names if name not in names] + columns,
-                                             names=[x for x in own.schema.names if x not in names] + names)
+        owner, codes, links = unpacked(batch, drop)
+        a = codes // width
+        regular = identity[a] == codes % width
+        n = np.where(regular, c.regular[a], 0)
+        if c.codes is not None:
+            n[~regular] = c.n[np.searchsorted(c.codes, codes[~regular])] if len(c.codes) else 0
+        known = regular | (c.codes is not None)
+        best, total = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows, dtype=np.int64)
+        np.add.at(best, owner, np.where(known & (n == c.best[a]), links, 0))
+        np.add.at(total, owner, np.where(known, n * links, 0))
+        kept = [x for x in batch.schema.names if x not in drop]
+        yield pa.RecordBatch.from_arrays([batch.column(x) for x in kept] + [pa.array(best), pa.array(total)], names=kept + names)
+
+
+def open_pairs(batches: Iterator[pa.RecordBatch], row: str, identity: np.ndarray, width: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """(row, code, links) of the pairs that are no identity pairs."""
+    for batch in batches:
+        owner, codes, links = unpacked(batch, names)
+        at = np.flatnonzero(identity[codes // width] != codes % width)
+        rows = batch.column(row).to_numpy(zero_copy_only=False)[owner[at]]
+        yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(codes[at]), pa.array(links[at])], names=["row", "code", "links"])
 
 
 def read_files(folder: str, a_file: str = A_FILE, b_file: str = B_FILE) -> tuple[bytes, bytes]:
@@ -302,10 +350,11 @@ def read_files(folder: str, a_file: str = A_FILE, b_file: str = B_FILE) -> tuple
     return contents[0], contents[1]
 
 
-def align_documents(docs: DataFrame, folder: str = TOKENIZERS, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
-    """All rows and columns, and n_a, n_b (tokens), n_groups, n_links, n_best (links whose pair has the highest count
-    that its A id has with any B id, ties included), count_sum (of the links' counts), and `groups`: ids as
-    `a1,a2|b1;a3|b2,b3`. Taken names get `_` before them.
+def align_documents(docs: DataFrame, folder: str = TOKENIZERS, digests: bool = False, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
+    """All rows, and all columns but `text`, with n_a, n_b (tokens), n_groups, n_links, `groups` (ids as
+    `a1,a2|b1;a3|b2,b3`; with `digests` their SHA-256 in hex, which takes less room between the passes), n_best (links
+    whose pair has the highest count that its A id has with any B id, ties included) and count_sum (of the links'
+    counts). Taken names get `_` before them.
 
     Null and empty texts, and texts that one of the tokenizers does not give back byte by byte, have no tokens: zeros,
     an empty `groups`, and no part in the counts. Every row is a document of its own: repeated rows count as often as
@@ -315,25 +364,36 @@ def align_documents(docs: DataFrame, folder: str = TOKENIZERS, broadcast_pairs:
     contents = read_files(folder)
     files = spark.sparkContext.broadcast(contents)
     known = Tokenizers(*contents)
-    counts, irregular = pair_counts(docs, files, len(known.identity), known.width, broadcast_pairs)
-    open_pairs = counts.codes is None
-    names = [free_name(docs, x) for x in (*COUNTS, *SCORES, "groups")]
-    extra = [free_name(docs, x) for x in ("_codes", "_links")] if open_pairs else []
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(x, T.LongType()) for x in names[:-1]], T.StructField(names[-1], T.StringType()),
-                           *[T.StructField(x, T.ArrayType(T.LongType())) for x in extra]])
+    identity, width = known.identity, known.width
+    names, scores, lists = ([free_name(docs, x) for x in some] for some in ((*COUNTS, "groups"), SCORES, ("_steps", "_links")))
+    row = free_name(docs, "_row")
+    fields = [f for f in docs.schema.fields if f.name != "text"]
+    fields += [*[T.StructField(x, T.LongType()) for x in names[:-1]], T.StructField(names[-1], T.StringType())]
+    held = [T.StructField(lists[0], T.ArrayType(T.LongType())), T.StructField(lists[1], T.ArrayType(T.IntegerType()))]
+    aligning = partial(align, files=files, names=[*names, *lists], digests=digests)
+    aligned = docs.mapInArrow(aligning, T.StructType(fields + held)).withColumn(row, F.monotonically_increasing_id())
+    path = fresh_path(spark, "align-rows")
+    aligned.write.option("compression", "zstd").parquet(path)
+    aligned = spark.read.schema(aligned.schema).parquet(path)
+    counts, irregular = pair_counts(aligned, identity, width, lists, broadcast_pairs)
     shared = spark.sparkContext.broadcast(counts)
-    scored = docs.mapInArrow(partial(score, files=files, counts=shared, names=[*names, *extra], open_pairs=open_pairs), schema)
-    return _joined(spark, scored, irregular, shared, names, extra, known.width) if open_pairs else scored
-
-
-def _joined(spark: SparkSession, scored: DataFrame, irregular: DataFrame, counts, names: list[str], extra: list[str], width: int) -> DataFrame:
-    """Add the scores of listed pairs by a join with their counts. The pairs of a document are added up after it."""
-    row, n_best, total = "_align_row", names[-3], names[-2]
-    scored = stored(scored.withColumn(row, F.monotonically_increasing_id()), "align-rows")
-    listed = scored.select(row, F.explode(F.arrays_zip(F.col(extra[0]).alias("code"), F.col(extra[1]).alias("links"))).alias("_pair"))
-    listed = listed.select(row, F.col("_pair.code").alias("code"), F.col("_pair.links").alias("links"))
-    best = spark.createDataFrame([(i, int(n)) for i, n in enumerate(counts.value.best)], "a bigint, best bigint")
-    ranked = stored(irregular.withColumn("a", F.floor(F.col("code") / width)).join(best, "a").select("code", "n", (F.col("n") == F.col("best")).alias("top")), "align-ranked")
-    summed = listed.join(ranked, "code").groupBy(row).agg(F.sum(F.when(F.col("top"), F.col("links")).otherwise(0)).alias("_best"), F.sum(F.col("links") * F.col("n")).alias("_sum"))
-    joined = scored.join(summed, row, "left")
-    return joined.withColumns({n_best: F.col(n_best) + F.coalesce("_best", F.lit(0)), total: F.col(total) + F.coalesce("_sum", F.lit(0))}).drop(row, "_best", "_sum", *extra)
+    result = T.StructType([*fields, T.StructField(row, T.LongType()), *[T.StructField(x, T.LongType()) for x in scores]])
+    scoring = partial(score, counts=shared, identity=identity, width=width, names=scores, drop=lists)
+    scored = aligned.mapInArrow(scoring, result)
+    if counts.codes is None:
+        listing = partial(open_pairs, row=row, identity=identity, width=width, names=lists)
+        listed = aligned.select(row, *lists).mapInArrow(listing, "row bigint, code bigint, links bigint")
+        scored = _joined(scored, listed, irregular, counts, row, scores, width)
+    return scored.drop(row)
+
+
+def _joined(scored: DataFrame, listed: DataFrame, irregular: DataFrame, counts: Counts, row: str, scores: list[str], width: int) -> DataFrame:
+    """Add the scores of listed pairs (row, code, links) by a join with their counts, both stored, so that a pair many
+    documents have splits. The pairs of a document are added up after it."""
+    best = scored.sparkSession.createDataFrame([(i, int(n)) for i, n in enumerate(counts.best)], "a bigint, best bigint")
+    ranked = irregular.withColumn("a", F.floor(F.col("code") / width)).join(best, "a")
+    ranked = stored(ranked.select("code", "n", (F.col("n") == F.col("best")).alias("top")), "align-ranked")
+    met = stored(listed, "align-listed").join(ranked, "code")
+    summed = met.groupBy(F.col("row").alias(row)).agg(F.sum(F.when(F.col("top"), F.col("links")).otherwise(0)).alias("_best"), F.sum(F.col("links") * F.col("n")).alias("_sum"))
+    more = {c: F.col(c) + F.coalesce(part, F.lit(0)) for c, part in zip(scores, ("_best", "_sum"), strict=True)}
+    return scored.join(summed, row, "left").withColumns(more).drop("_best", "_sum")

@@ -92,9 +92,8 @@ def op10_license_scans(spark, folder):
 @query
 def op11_cross_tokenizer_alignment(spark, folder):
     """Tokens of two tokenizers aligned in all documents."""
-    aligned = align.align_documents(read_table(spark, folder, "documents").select("doc_id", "text"))
-    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
-    return aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest)
+    aligned = align.align_documents(read_table(spark, folder, "documents").select("doc_id", "text"), digests=True)
+    return aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
 
 
 @query

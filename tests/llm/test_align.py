@@ -1,3 +1,4 @@
+import hashlib
 import os
 from collections import Counter, defaultdict
 
@@ -53,19 +54,20 @@ def test_against_brute_force(spark, known, broadcast_pairs):
     texts = [t if t is None or len(t) < 3000 else t[:700] for t in TEXTS] + [prose(i, 60) for i in range(12)]
     df = documents(spark, texts).selectExpr("*", "'own' AS n_a", "'own' AS `groups`", "'own' AS _codes", "1 AS code", "2 AS n")
     got = align.align_documents(df, broadcast_pairs=broadcast_pairs).orderBy("doc_id").collect()
+    digests = align.align_documents(df, digests=True).orderBy("doc_id").collect()
+    assert [r["_groups"] for r in digests] == [hashlib.sha256(r["_groups"].encode()).hexdigest() if r["_groups"] else "" for r in got]
     names = ["_n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "_groups"]
     assert [tuple(r[c] for c in names) for r in got] == by_hand(known, texts)
     assert all(r["n_a"] == "own" and r["_codes"] == "own" for r in got)
 
 
 def test_pieces_give_the_tokens_of_the_whole_text(known):
-    made = align.Alignments(known)
-    counts, groups, *_ = made.documents(TEXTS)
+    counts, groups, *_ = align.Alignments(known).documents(TEXTS)
     for text, n, found in zip(TEXTS, counts, groups):
         if text:
-            (a,), (b,) = known.encode([" " + text])
-            whole, wanted, _ = made.align((" " + text).encode(), a, b)
-            assert tuple(n) == whole and found == (wanted or "")
+            a, b = known.encode([" " + text])
+            whole = align.Aligned(known, [" " + text], *[[align.array("I", x[0]).tobytes()] for x in (a, b)])
+            assert n.tolist() == whole.counts[0].tolist() and found == (whole.texts[0] or "")
         else:
             assert not n.any() and found == ""
 
@@ -79,36 +81,37 @@ def test_identity_map(known):
 
 
 def test_memory_is_bounded(known, monkeypatch):
-    monkeypatch.setattr(align, "REMEMBERED_CHARS", 500)
+    monkeypatch.setattr(align, "REMEMBERED_PIECES", 40)
     made = align.Alignments(known)
     for _ in range(2):
         for i in range(5):
             texts = [prose(i, 30), "z" * 500, prose(i, 30)]
             fresh = align.Alignments(known).documents(texts)
             assert all((x == y).all() if hasattr(x, "all") else x == y for x, y in zip(made.documents(texts), fresh))
-            assert "z" * 500 not in made.numbers
+            assert "z" * 500 not in made.tokens and len(made.tokens) <= 60
 
 
-def test_tasks_hand_on_pairs_early(spark, known, monkeypatch):
+def test_tasks_hand_on_pairs_early(known, monkeypatch):
     texts = [prose(i, 40) for i in range(8)]
 
     class Files:
         value = align.read_files(align.TOKENIZERS)
 
     monkeypatch.setattr(align, "TASK_PAIRS", 10)
-    batches = [pa.RecordBatch.from_arrays([pa.array([t])], names=["text"]) for t in texts]
-    rows = Counter()
-    for out in align.count_pairs(iter(batches), Files):
+    names = [*align.COUNTS, "groups", "steps", "links"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])]
+    aligned = list(align.align(iter(batches), Files, names, False))
+    rows, parts = Counter(), 0
+    for out in align.count_pairs(iter([x.slice(i, 1) for x in aligned for i in range(x.num_rows)]), known.identity, known.width, names[-2:]):
+        parts += 1
         for identity, code, n in zip(*(c.to_pylist() for c in out.columns)):
-            a = code if identity else code // known.width
-            rows[a, int(known.identity[a]) if identity else code % known.width] += n
-    assert sum(rows.values()) == len({(i, p) for i, t in enumerate(texts) for p in _links(known, t)})
+            rows[(code, int(known.identity[code])) if identity else divmod(code, known.width)] += n
+    assert parts > 2 and rows == Counter(p for t in texts for p in set(_links(known, t)))
 
 
 def _links(known, text):
-    (a,), (b,) = known.encode([" " + text])
-    codes = align.Alignments(known).align((" " + text).encode(), a, b)[2]
-    return {(c // known.width, c % known.width) for c in codes.tolist()}
+    _, _, _, codes, _ = align.Alignments(known).documents([text])
+    return [divmod(c, known.width) for c in codes.tolist()]
 
 
 def test_empty_table(spark):
