@@ -68,7 +68,8 @@ def document_counts(docs: DataFrame, shards: int) -> DataFrame:
     """(shard, key, n): the number of documents (rows) that have a line with the key."""
     text = F.col("text")
     keys = F.transform(F.array_distinct(F.transform(lines(text), line_key)), hashed)
-    exploded = docs.select(F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("key"))
+    # An outer explode: for the plain one the planner adds a filter that computes the keys once more.
+    exploded = docs.select(F.explode_outer(keys).alias("key")).where("key IS NOT NULL")
     return exploded.groupBy(shard_of(F.col("key"), shards).alias("shard"), "key").agg(F.count("*").alias("n"))
 
 
@@ -293,8 +294,9 @@ def dedup_lines(docs: DataFrame, index: LineIndex, broadcast_bytes: int = BROADC
     sc = docs.sparkSession.sparkContext
     slots = {row["shard"]: bytes(row["slots"]) for row in index.filters.select("shard", "slots").collect()}
     hit = probe(sc.broadcast((slots, frozenset())), index.shards)
-    marked = F.zip_with(keys, hit(keys), lambda key, found: F.when(found, key))
-    found = docs.select(F.explode(F.array_distinct(F.transform(marked, F.hex))).alias("key")).where("key IS NOT NULL").distinct()
+    probed = docs.select(keys.alias("_keys")).withColumn("_hit", hit("_keys")).where(F.exists("_hit", lambda found: found))
+    marked = F.zip_with("_keys", "_hit", lambda key, found: F.when(found, key))
+    found = probed.select(F.explode_outer(F.array_distinct(F.transform(marked, F.hex))).alias("key")).where("key IS NOT NULL").distinct()
     common = index.refs.where(F.col("n") >= index.min_docs).select("key")
     mistaken = stored(found.select(F.unhex("key").alias("key")).join(common, "key", "left_anti"), "line-mistaken")
     if mistaken.count() > broadcast_keys:
@@ -307,10 +309,9 @@ def dedup_lines(docs: DataFrame, index: LineIndex, broadcast_bytes: int = BROADC
 def _without(docs: DataFrame, gone: Column, n_lines: str, n_dropped: str) -> DataFrame:
     """Drop the lines that are marked in the array `gone`."""
     mark = free_name(docs, "_gone")
-    marked, cut = docs.withColumn(mark, gone), lines(F.col("text"))
-    kept = F.array_join(F.zip_with(cut, F.col(mark), lambda line, out: F.when(~out, line)), "\n")
+    kept = F.array_join(F.zip_with(lines(F.col("text")), F.col(mark), lambda line, out: F.when(~out, line)), "\n")
     dropped = F.size(F.filter(F.col(mark), lambda out: out)).cast("bigint")
-    return marked.withColumns({n_lines: F.size(cut).cast("bigint"), n_dropped: dropped, "text": kept}).drop(mark)
+    return docs.withColumn(mark, gone).withColumns({n_lines: F.size(mark).cast("bigint"), n_dropped: dropped, "text": kept}).drop(mark)
 
 
 def listed(keys: pa.Array, gone: pa.Array) -> pa.Array:
