@@ -156,6 +156,11 @@ def fold_click_marks(
             F.min_by("first_ts", "live_seq").alias("checked_ts"),
         )
     )
+    return valid_answers(per_option, members, targets)
+
+
+def valid_answers(per_option: DataFrame, members: DataFrame, targets: DataFrame) -> DataFrame:
+    """Answers from what is folded per response, question and ordinal, as far as response and option exist."""
     valid = per_option.join(members, "response_id").join(
         targets, ["question_id", "answer_ordinal", "event_id"]
     )

@@ -629,6 +629,7 @@ BODIES: dict[str, str] = {
     "touch_responses": "SELECT * FROM @ch_touch",
     "apply_changes": _state("both"),
     "stream_apply_changes": _state("both"),
+    "keyed_apply_changes": _state("both"),
     "visible_questions": """SELECT DISTINCT response_id, question_id FROM (
         SELECT response_id, question_id FROM @mem JOIN (SELECT event_id, question_id FROM @qu) USING (event_id)
             JOIN @shown USING (question_id) WHERE display
