@@ -18,18 +18,19 @@ from podium.functions.store import stored
 from podium.functions.skew import salted_join
 from podium.functions.text import collated
 from podium.operators.fold import popular_events
-from podium.operators.lookup import events_by_secret, session_listing, session_speakers
+from podium.operators.lookup import events_by_secret, listing_counts, session_listing, session_speakers
 from podium.operators.questions import question_form
 
 
 # Session lists
 
 
-def sessions_blob(listing: DataFrame, collation: str | None = None, page_items: int = PAGE_ITEMS) -> DataFrame:
+def sessions_blob(listing: DataFrame, collation: str | None = None, page_items: int = PAGE_ITEMS,
+                  counts: DataFrame | None = None) -> DataFrame:
     """Per event the list of its sessions by title. A session with several pages of speakers is an item each."""
     item = F.struct(F.col("session_id").alias("sessionId"), "title", "css", "presenters", *if_paged("page", "pages"))
     by = [collated("title", collation), "session_id", "page"]
-    return paged_list(listing, "event_id", by, item, "sessions", ["session_id", "page"], page_items)
+    return paged_list(listing, "event_id", by, item, "sessions", ["session_id", "page"], page_items, counts=counts)
 
 
 def admin_event_info(requests: DataFrame, events: DataFrame, sessions: DataFrame, session_presenters: DataFrame,
@@ -39,7 +40,8 @@ def admin_event_info(requests: DataFrame, events: DataFrame, sessions: DataFrame
     asked = sessions.join(event_ids, "event_id", "left_semi")
     listing = session_listing(asked, events, session_presenters, presenters, restrict=True, page_items=page_items)
     wanted = events.join(event_ids, "event_id", "left_semi").select("event_id", "name", "css")
-    info = wanted.join(sessions_blob(listing, page_items=page_items), "event_id", "left")
+    counts = listing_counts(asked, session_presenters, page_items)
+    info = wanted.join(sessions_blob(listing, page_items=page_items, counts=counts), "event_id", "left")
     return info.withColumns({"page": F.coalesce("page", F.lit(0)), "pages": F.coalesce("pages", F.lit(1))})
 
 
@@ -211,8 +213,18 @@ def event_report(requests: DataFrame, tables: dict[str, DataFrame], page_items:
     event_ids = stored(events_by_secret(requests, tables["events"]).select("event_id").distinct(), "wanted")
     tables = restrict_to_events(tables, event_ids)
     events, sessions = tables["events"], tables["sessions"]
+    # How long the lists are follows from ids alone; the lists themselves are built once.
+    n_links = tables["session_presenters"].groupBy("session_id").agg(F.count("*").alias("_n"))
+    n_responses = tables["responses"].groupBy("session_id").agg(F.count("*").alias("_n"))
+    both = n_links.unionByName(n_responses).groupBy("session_id").agg(F.sum("_n").alias("_held"))
+    held = F.coalesce("_held", F.lit(0))
+    per_event = sessions.join(both, "session_id", "left").join(n_links, "session_id", "left").groupBy("event_id").agg(
+        F.sum(F.coalesce("_n", F.lit(0))).alias("_links"), F.sum(1 + held + F.floor(held / page_items)).alias("_held")
+    )
+    per_event = stored(per_event, "report-sizes")
     presenters = paged_list(
-        _event_presenters(tables), "event_id", ["presenter_id"], F.col("item"), "presenters", ["presenter_id"], page_items
+        _event_presenters(tables), "event_id", ["presenter_id"], F.col("item"), "presenters", ["presenter_id"], page_items,
+        counts=per_event.select("event_id", F.col("_links").alias("_n")),
     )
     questions = small_list(
         _report_questions(tables).withColumn("displayOrder", F.col("item.displayOrder")),
@@ -221,10 +233,11 @@ def event_report(requests: DataFrame, tables: dict[str, DataFrame], page_items:
     links = paged_list(
         tables["session_presenters"], "session_id", ["presented_by_id"],
         F.struct(F.col("presented_by_id").alias("presenterId"), F.col("is_session_owner").alias("isOwner")),
-        "presenters", ["presented_by_id"], page_items,
+        "presenters", ["presented_by_id"], page_items, counts=n_links,
     )
     responses = paged_list(
-        _report_responses(tables), "session_id", ["response_id"], F.col("item"), "responses", ["response_id"], page_items
+        _report_responses(tables), "session_id", ["response_id"], F.col("item"), "responses", ["response_id"], page_items,
+        counts=n_responses,
     )
     parts = _page_by_page(links, responses, "session_id")
     session_items = sessions.join(parts, "session_id", "left").withColumn("pages", F.coalesce("pages", F.lit(1)))
@@ -234,7 +247,8 @@ def event_report(requests: DataFrame, tables: dict[str, DataFrame], page_items:
     )
     held = 1 + F.coalesce(F.size("presenters"), F.lit(0)) + F.coalesce(F.size("responses"), F.lit(0))
     nested = paged_list(
-        session_items, "event_id", ["session_id", "page"], item, "sessions", ["session_id", "page"], 10 * page_items, held
+        session_items, "event_id", ["session_id", "page"], item, "sessions", ["session_id", "page"], 10 * page_items, held,
+        counts=per_event.select("event_id", F.col("_held").alias("_n")),
     )
     lists = _page_by_page(presenters, nested, "event_id").join(questions, ["event_id", "page"], "full_outer")
     reports = events.select("event_id", "name").join(lists, "event_id", "left")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from podium.functions.nest import PAGE_ITEMS, paged_list
@@ -76,7 +76,16 @@ def session_speakers(session_presenters: DataFrame, presenters: DataFrame, order
     if order == "owner":
         by = [F.col("is_session_owner").desc(), *by]
     rows = session_speaker_rows(session_presenters, presenters)
-    return paged_list(rows, "session_id", by, F.struct("name"), "presenters", ["presenter_id"], page_items)
+    # Counted on the links alone: every link has its speaker, or the list is shorter than it is taken for.
+    counts = session_presenters.groupBy("session_id").agg(F.count("*").alias("_n"))
+    return paged_list(rows, "session_id", by, F.struct("name"), "presenters", ["presenter_id"], page_items, counts=counts)
+
+
+def listing_counts(sessions: DataFrame, session_presenters: DataFrame, page_items: int = PAGE_ITEMS) -> DataFrame:
+    """(event_id, _n): how many rows the listing of an event has, one for each page of a session."""
+    links = session_presenters.groupBy("session_id").agg(F.count("*").alias("_links"))
+    rows = 1 + F.floor(F.coalesce("_links", F.lit(0)) / page_items)
+    return sessions.join(links, "session_id", "left").groupBy("event_id").agg(F.sum(rows).alias("_n"))
 
 
 def session_listing(sessions: DataFrame, events: DataFrame, session_presenters: DataFrame,
@@ -98,10 +107,29 @@ def session_listing(sessions: DataFrame, events: DataFrame, session_presenters:
     )
 
 
-def search_sessions(listing: DataFrame, needle: str) -> DataFrame:
-    """Rows of the sessions whose title or speaker names contain the needle, all pages of them."""
-    found = listing.where(matches(needle, F.col("title"), speaker_names("presenters")))
-    return listing.join(found.select("session_id").distinct(), "session_id", "left_semi")
+def search_sessions(listing: DataFrame, needle: str, page_items: int = PAGE_ITEMS) -> DataFrame:
+    """Rows of the sessions whose title or speaker names contain the needle, all pages of them. Names are one text,
+    joined by commas, however many pages they take: a page is searched together with the start of those after it."""
+    names = speaker_names("presenters")
+    found = listing.where(matches(needle, F.col("title"), names)).select("session_id")
+    if len(needle) > 1:
+        found = found.unionByName(_across_pages(listing, needle, names, page_items))
+    return listing.join(found.distinct(), "session_id", "left_semi")
+
+
+def _across_pages(listing: DataFrame, needle: str, names: Column, page_items: int) -> DataFrame:
+    """Sessions that have the needle where one page of names goes over into the next. Of a page the last characters
+    matter, of those after it the first, as many as the needle has but one."""
+    overlap = len(needle.lower()) - 1
+    pages = listing.where("pages > 1").select("session_id", "page", "title", names.alias("names"))
+    # Every page but the last has `page_items` names, and so as many commas and blanks but one.
+    following = 1 + overlap // max(1, 2 * (page_items - 1))
+    in_order = Window.partitionBy("session_id").orderBy("page")
+    after = F.concat_ws(", ", *[F.lead("names", n).over(in_order) for n in range(1, following + 1)])
+    first = F.when((F.col("page") == 0) & F.col("title").isNotNull(), F.concat("title", F.lit("\n"))).otherwise("")
+    end = F.right(F.concat(first, "names"), F.lit(overlap))
+    met = pages.select("session_id", "page", end.alias("_end"), F.substring(after, 1, overlap).alias("_start"), F.lead("page").over(in_order).alias("_next"))
+    return met.where(F.col("_next").isNotNull() & matches(needle, F.concat("_end", F.lit(", "), "_start"))).select("session_id")
 
 
 def share_links(sessions: DataFrame, host: str) -> DataFrame:

@@ -126,6 +126,8 @@ CTES: dict[str, str] = {
     # Listings
     "spn": """SELECT session_id, presented_by_id AS presenter_id, name, is_session_owner FROM @sp
         JOIN (SELECT presenter_id AS presented_by_id, name FROM @pr) USING (presented_by_id)""",
+    "aud": """SELECT CASE WHEN c_custkey % 3 <> 0 THEN 1 ELSE c_custkey + 2 END AS session_id, c_custkey AS presenter_id, c_name AS name,
+        c_custkey % 3 = 0 OR c_custkey = 100 AS is_session_owner FROM customer""",
     "spk": "SELECT session_id, string_agg(name, ', ' ORDER BY name, presenter_id) AS speakers FROM @spn GROUP BY session_id",
     "spo": """SELECT session_id, string_agg(name, ', ' ORDER BY is_session_owner DESC, name, presenter_id) AS speakers
         FROM @spn GROUP BY session_id""",
@@ -476,6 +478,20 @@ BODIES: dict[str, str] = {
     "session_speaker_rows": "SELECT * FROM @spn",
     "session_speakers_by_name": "SELECT * FROM @spk",
     "session_speakers": "SELECT * FROM @spo",
+    "session_speakers_long": """SELECT * FROM (WITH placed AS (SELECT session_id, name, row_number() OVER (PARTITION BY session_id
+            ORDER BY is_session_owner DESC, name, presenter_id) - 1 AS place, count(*) OVER (PARTITION BY session_id) AS n FROM @aud)
+        SELECT session_id, (place // 500)::INTEGER AS page, ((n + 499) // 500)::INTEGER AS pages, (place % 500)::INTEGER AS position, name
+        FROM placed)""",
+    "search_sessions_long": """SELECT * FROM (WITH whole AS (SELECT session_id, string_agg(name, ', ' ORDER BY name, presenter_id) AS names, count(*) AS n
+            FROM @aud GROUP BY session_id)
+        SELECT session_id, 'Talk ' || session_id AS title, unnest(range((n + 499) // 500))::INTEGER AS page,
+            least(500, n - 500 * unnest(range((n + 499) // 500)))::INTEGER AS n_names
+        FROM whole WHERE contains(lower('Talk ' || session_id || chr(10) || names), '00749, customer#000000751'))""",
+    "sessions_blob_long": """SELECT * FROM (WITH held AS (SELECT session_id, 'Talk ' || session_id AS title, count(*) AS n FROM @aud GROUP BY session_id),
+        items AS (SELECT session_id, title, unnest(range((n + 499) // 500)) AS speaker_page FROM held),
+        placed AS (SELECT *, row_number() OVER (ORDER BY title, session_id, speaker_page) - 1 AS place, count(*) OVER () AS n FROM items)
+        SELECT 1::BIGINT AS event_id, (place // 500)::INTEGER AS page, ((n + 499) // 500)::INTEGER AS pages,
+            (place % 500)::INTEGER AS position, session_id, speaker_page::INTEGER AS speaker_page FROM placed)""",
     "sessions_blob": """SELECT event_id, (row_number() OVER (PARTITION BY event_id ORDER BY title, session_id) - 1)::INTEGER AS position,
         session_id, title, css, speakers FROM @li""",
     "admin_event_info": """SELECT request_id, event_id, name,

@@ -302,6 +302,34 @@ def session_speakers(t):
     return lists_.select("session_id", speaker_names("presenters").alias("speakers"))
 
 
+@query
+def session_speakers_long(t):
+    """Speakers of a session with two thirds of all customers, owner first, over as many pages as it takes."""
+    lists_ = lookup.session_speakers(t.audience["session_presenters"], t.audience["presenters"], order="owner")
+    leaves = lists_.select("session_id", "page", "pages", F.posexplode("presenters").alias("position", "p"))
+    return leaves.select("session_id", "page", "pages", "position", F.col("p.name").alias("name"))
+
+
+def _long_listing(t):
+    a = t.audience
+    return lookup.session_listing(a["sessions"], a["events"], a["session_presenters"], a["presenters"])
+
+
+@query
+def search_sessions_long(t):
+    """A needle that runs over the end of a page of names."""
+    found = lookup.search_sessions(_long_listing(t), "00749, customer#000000751")
+    return found.select("session_id", "title", "page", F.size("presenters").alias("n_names"))
+
+
+@query
+def sessions_blob_long(t):
+    """An event with a session for every third customer, by title, over as many pages as it takes."""
+    blob = documents.sessions_blob(_long_listing(t))
+    leaves = blob.select("event_id", "page", "pages", F.posexplode("sessions").alias("position", "s"))
+    return leaves.select("event_id", "page", "pages", "position", F.col("s.sessionId").alias("session_id"), F.coalesce("s.page", F.lit(0)).alias("speaker_page"))
+
+
 def _session_items(df, *keep):
     return df.select(*keep, F.posexplode("sessions").alias("position", "s")).select(
         *keep, "position", F.col("s.sessionId").alias("session_id"), F.col("s.title").alias("title"),

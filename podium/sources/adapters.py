@@ -108,6 +108,23 @@ class TestTables:
             "session_id", "presented_by_id", "presented_by_id = owner_id AS is_session_owner"
         )
 
+    @cached_property
+    def audience(self) -> dict[str, DataFrame]:
+        """Events, sessions, links and presenters with lists of any length: the customers speak, two thirds of them in
+        one session, and that session is in an event with all others."""
+        speakers = self.read("customer")
+        place = "CASE WHEN c_custkey % 3 <> 0 THEN 1 ELSE c_custkey + 2 END"
+        return {
+            "events": self.events.where("event_id = 1"),
+            "presenters": speakers.selectExpr("c_custkey AS presenter_id", "c_name AS name"),
+            "session_presenters": speakers.selectExpr(
+                f"{place} AS session_id", "c_custkey AS presented_by_id", "c_custkey % 3 = 0 OR c_custkey = 100 AS is_session_owner"
+            ),
+            "sessions": speakers.selectExpr(f"{place} AS session_id").distinct().selectExpr(
+                "session_id", "1L AS event_id", "CAST(NULL AS BIGINT) AS feed_id", "concat('Talk ', session_id) AS title"
+            ),
+        }
+
     @cached_property
     def questions(self) -> DataFrame:
         return self.written("questions", seed.questions_for_events)

@@ -4,6 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from podium.functions import nest
 from podium.functions.nest import paged_list
 from podium.functions.text import leading_int, speaker_names
 from podium.operators import documents, lookup
@@ -115,10 +116,50 @@ def test_long_lists_are_paged_and_whole(spark):
     hot = [r for r in pages if r["key"] == 0]
     assert {r.pages for r in hot} == {19} and len({r.page for r in hot}) == len(hot)
     assert sorted(v for r in hot for v in r["values"]) == list(range(1900))
-    assert all(r["values"] == sorted(r["values"], reverse=True) and len(r["values"]) < 200 for r in hot)
+    whole = [v for r in sorted(hot, key=lambda r: r.page) for v in r["values"]]
+    assert whole == sorted(whole, reverse=True) and {len(r["values"]) for r in hot} == {100}
     assert all((r.page, r.pages, r["values"]) == (0, 1, [r["key"]]) for r in pages if r["key"])
 
 
+@pytest.mark.parametrize("range_items", [40, 700, 100_000])
+def test_long_lists_are_in_order_over_ranges_and_pages(spark, monkeypatch, range_items):
+    """One key with most of the rows, many equal order values, items of weight 1 to 7."""
+    monkeypatch.setattr(nest, "RANGE_ITEMS", range_items)
+    rows = [(i % 40 if i % 5 == 0 else 99, i % 13, i, 1 + i % 7) for i in range(2500)]
+    df = spark.createDataFrame(rows, "key long, by long, id long, weight long").repartition(5)
+    for weight in (None, F.col("weight")):
+        lists = paged_list(df, "key", [F.desc("by")], F.struct("id", "weight"), "items", ["id"], 90, weight).collect()
+        for key in {r[0] for r in rows}:
+            pages = sorted((r.page, r.pages, r["items"]) for r in lists if r.key == key)
+            assert [p for p, _, _ in pages] == list(range(pages[0][1]))
+            assert [x.id for _, _, items in pages for x in items] == [i for _, i in sorted((-by, i) for k, by, i, _ in rows if k == key)]
+            sizes = [sum(1 if weight is None else x.weight for x in items) for _, _, items in pages]
+            assert max(sizes) < 90 + 7 and all(n > 90 - 7 for n in sizes[:-1])
+    assert paged_list(df.limit(0), "key", ["by"], F.col("id"), "items", ["id"]).count() == 0
+
+
+def test_speakers_beyond_a_page_keep_their_order_and_are_searched_as_one_text(spark, table):
+    n = 1501
+    name = lambda i: f"N{i * 7919 % n:04d}"
+    presenters = table("presenters", [(i, name(i), None, None) for i in range(n)])
+    links = table("session_presenters", [(11, i, i == 777) for i in range(n)] + [(12, 5, False)])
+    in_order = lambda rows: [p.name for r in sorted(rows, key=lambda r: r.page) for p in r.presenters]
+    pages = lookup.session_speakers(links, presenters, order="owner").where("session_id = 11").collect()
+    assert [len(r.presenters) for r in sorted(pages, key=lambda r: r.page)] == [500, 500, 500, 1]
+    names = sorted(name(i) for i in range(n))
+    assert in_order(pages) == [name(777), *(x for x in names if x != name(777))]
+    events = table("events", [(1, "E", None, False, None, None, None, "s")])
+    listing = lookup.session_listing(table("sessions", [(11, 1, 5, "Talk"), (12, 1, 6, "N0499 other")]), events, links, presenters)
+    found = lambda needle: sorted({r.session_id for r in lookup.search_sessions(listing, needle).collect()})
+    for needle in ("n0499, n05", "0999, N1000", "N1499, N1500", ", n0500", "n0499, ", ", ".join(names[450:1400]), "talk\nn0000"):
+        assert found(needle) == [11], needle
+    assert found("n0499, n0501") == [] and found("n1500, n") == [] and found("n0499") == [11, 12]
+    assert {r.page for r in lookup.search_sessions(listing, "N0999, N1000").collect()} == {0, 1, 2, 3}
+    small = lookup.session_listing(table("sessions", [(11, 1, 5, "Talk")]), events, links, presenters, page_items=2)
+    assert lookup.search_sessions(small, ", ".join(names[3:30]), page_items=2).count() == 751
+    assert lookup.search_sessions(small, ", ".join([*names[3:30], "x"]), page_items=2).count() == 0
+
+
 def test_documents_of_any_size_lose_nothing(spark, table, tables):
     """700 speakers and 1,200 responses of one session, 600 sessions of one event."""
     n, m = 700, 1200
