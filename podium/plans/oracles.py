@@ -484,9 +484,10 @@ BODIES: dict[str, str] = {
         FROM placed)""",
     "search_sessions_long": """SELECT * FROM (WITH whole AS (SELECT session_id, string_agg(name, ', ' ORDER BY name, presenter_id) AS names, count(*) AS n
             FROM @aud GROUP BY session_id)
-        SELECT session_id, 'Talk ' || session_id AS title, unnest(range((n + 499) // 500))::INTEGER AS page,
+        SELECT needle, session_id, 'Talk ' || session_id AS title, unnest(range((n + 499) // 500))::INTEGER AS page,
             least(500, n - 500 * unnest(range((n + 499) // 500)))::INTEGER AS n_names
-        FROM whole WHERE contains(lower('Talk ' || session_id || chr(10) || names), '00749, customer#000000751'))""",
+        FROM whole, (VALUES ('00098, customer#000000100'), ('00749, customer#000000751')) AS v(needle)
+        WHERE contains(lower('Talk ' || session_id || chr(10) || names), needle))""",
     "sessions_blob_long": """SELECT * FROM (WITH held AS (SELECT session_id, 'Talk ' || session_id AS title, count(*) AS n FROM @aud GROUP BY session_id),
         items AS (SELECT session_id, title, unnest(range((n + 499) // 500)) AS speaker_page FROM held),
         placed AS (SELECT *, row_number() OVER (ORDER BY title, session_id, speaker_page) - 1 AS place, count(*) OVER () AS n FROM items)

@@ -21,6 +21,7 @@ from podium.streaming import keyed
 AS_OF = dt.datetime(2000, 6, 1)
 USER = "MACHINERY"
 HOST = "feedback.example.org"
+LONG_NEEDLES = ["00098, customer#000000100", "00749, customer#000000751"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -317,9 +318,9 @@ def _long_listing(t):
 
 @query
 def search_sessions_long(t):
-    """A needle that runs over the end of a page of names."""
-    found = lookup.search_sessions(_long_listing(t), "00749, customer#000000751")
-    return found.select("session_id", "title", "page", F.size("presenters").alias("n_names"))
+    """Needles over two names; those of the second are on different pages."""
+    parts = [lookup.search_sessions(_long_listing(t), needle).withColumn("needle", F.lit(needle)) for needle in LONG_NEEDLES]
+    return union(*parts).select("needle", "session_id", "title", "page", F.size("presenters").alias("n_names"))
 
 
 @query
