@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from podium.functions.graph import components
+from podium.functions.store import forget
 from podium.llm.common import stored
 
 SEED = 42
@@ -45,6 +46,9 @@ BLOCK_TEXTS = 512
 # Texts that frequent shingles are counted on, from how many of them on a shingle is frequent, and the most such shingles.
 # They come last in the order of the prefixes: any order finds the same pairs, this one in less time.
 ORDER_TEXTS, ORDER_COUNT, ORDER_SHINGLES = 8_192, 8, 65_536
+# Places of a sketch, and those that must agree before two texts are compared.
+SKETCH, SKETCH_AGREE = 64, 32
+SKETCH_FACTORS = np.random.default_rng(17).integers(1 << 40, 1 << 63, SKETCH, dtype=np.uint64) | np.uint64(1)
 
 
 # Fingerprints
@@ -345,7 +349,9 @@ def near_duplicate_texts(texts: DataFrame, docs: DataFrame, size: int, least: fl
     rows = own.withColumn("own", F.lit(0)).unionByName(passing.withColumn("own", F.lit(1)))
     rows = rows.select("component", "block", "own", "tid", "fp", "text").repartition("component", "block").sortWithinPartitions("component", "block", "own", "tid")
     found = rows.mapInPandas(partial(link_texts, size=size, least=least, bits=bits), "a bigint, b bigint")
-    return starred.where("like").select(F.col("tid").alias("a"), F.col("leader").alias("b")).unionByName(found)
+    near = stored(starred.where("like").select(F.col("tid").alias("a"), F.col("leader").alias("b")).unionByName(found), "near-links")
+    forget(points, rooted, firsts, members, starred, blocks)
+    return near
 
 
 def text_key(text: Column) -> Column:
@@ -375,6 +381,17 @@ def parities(shingles: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(bit, minlength=512) & 1).astype(np.uint8)).view(np.int64)
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """The smallest shingle under each of SKETCH fixed orders. Two sets agree in a place with the probability of their
+    similarity. Zeros for no shingles."""
+    if not len(shingles):
+        return np.zeros(SKETCH, dtype=np.int32)
+    least = np.empty(SKETCH, dtype=np.uint64)
+    for n, factor in enumerate(SKETCH_FACTORS):
+        least[n] = (((shingles ^ (factor >> np.uint64(7))) * factor) >> np.uint64(16)).min()
+    return least.astype(np.uint32).view(np.int32)
+
+
 def frequent_shingles(docs: DataFrame, n_docs: int, size: int) -> np.ndarray:
     """The shingles of many texts, by a bounded sample."""
     share = min(1.0, ORDER_TEXTS / max(n_docs, 1))
@@ -390,13 +407,22 @@ def frequent_shingles(docs: DataFrame, n_docs: int, size: int) -> np.ndarray:
     return np.sort(most["hash"].to_numpy(dtype=np.int64).view(np.uint64))
 
 
-def similar_pairs(pairs: DataFrame, texts: DataFrame, docs: DataFrame, size: int, least: float) -> DataFrame:
-    """The pairs (a, b) of text numbers whose texts are similar, stored."""
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct().join(texts, "tid").select("tid", "first_doc", "key"), "near-wanted")
+def similar_pairs(pairs: DataFrame, signs: DataFrame, texts: DataFrame, docs: DataFrame, size: int, least: float) -> DataFrame:
+    """The pairs (a, b) of text numbers whose texts are similar, stored.
+
+    Sketches go with the pairs, texts only with those whose sketches agree in SKETCH_AGREE places: of 64 places a pair
+    of similarity 0.8 has fewer than half with a probability below 10^-7."""
+    one = signs.select(F.col("tid").alias("a"), F.col("sketch").alias("_sa"))
+    other = signs.select(F.col("tid").alias("b"), F.col("sketch").alias("_sb"))
+    agree = F.size(F.filter(F.zip_with("_sa", "_sb", lambda x, y: x == y), lambda same: same)) >= SKETCH_AGREE
+    likely = stored(pairs.join(one, "a").join(other, "b").where(agree).select("a", "b"), "near-likely")
+    wanted = stored(likely.select(F.explode(F.array("a", "b")).alias("tid")).distinct().join(texts, "tid").select("tid", "first_doc", "key"), "near-wanted")
     full = docs.select(F.col("doc_id").alias("first_doc"), text_key(F.col("text")).alias("key"), F.col("text").cast("binary").alias("text"))
     full = stored(wanted.join(full, ["first_doc", "key"]).dropDuplicates(["tid"]).select("tid", "text"), "near-wanted-texts")
-    both = pairs.join(full.select(F.col("tid").alias("a"), F.col("text").alias("_ta")), "a").join(full.select(F.col("tid").alias("b"), F.col("text").alias("_tb")), "b")
-    return stored(both.where(similarity_column(F.col("_ta"), F.col("_tb"), size) >= least).select("a", "b"), "near-similar")
+    both = likely.join(full.select(F.col("tid").alias("a"), F.col("text").alias("_ta")), "a").join(full.select(F.col("tid").alias("b"), F.col("text").alias("_tb")), "b")
+    similar = stored(both.where(similarity_column(F.col("_ta"), F.col("_tb"), size) >= least).select("a", "b"), "near-similar")
+    forget(likely, wanted, full)
+    return similar
 
 
 def exact_links(texts: DataFrame, known: DataFrame, docs: DataFrame, n_docs: int, size: int, least: float) -> DataFrame:
@@ -413,13 +439,13 @@ def exact_links(texts: DataFrame, known: DataFrame, docs: DataFrame, n_docs: int
         for frame in frames:
             sets = [digests(t, size) for t in frame["text"]]
             yield frame[["doc_id", "key"]].assign(
-                n=[len(x) for x in sets], parity=[parities(x) for x in sets], prefix=[prefix_of(x, frequent, least).view(np.int64) for x in sets]
+                n=[len(x) for x in sets], parity=[parities(x) for x in sets], sketch=[sketch(x) for x in sets], prefix=[prefix_of(x, frequent, least).view(np.int64) for x in sets]
             )
 
-    types = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, n bigint, parity array<bigint>, prefix array<bigint>"
+    types = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, n bigint, parity array<bigint>, sketch array<int>, prefix array<bigint>"
     rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", text_key(F.col("text")).alias("key"), F.col("text").cast("binary").alias("text"))
     named = texts.select("tid", F.col("first_doc").alias("doc_id"), "key")
-    signs = stored(rows.mapInPandas(signed, types).join(named, ["doc_id", "key"]).dropDuplicates(["tid"]).select("tid", "n", "parity", "prefix"), "near-signs")
+    signs = stored(rows.mapInPandas(signed, types).join(named, ["doc_id", "key"]).dropDuplicates(["tid"]).select("tid", "n", "parity", "sketch", "prefix"), "near-signs")
     at_shingle = Window.partitionBy("hash")
     posted = signs.select("tid", F.explode("prefix").alias("hash"))
     shared = posted.withColumn("lead", F.min("tid").over(at_shingle)).withColumn("_n", F.count("*").over(at_shingle)).where("_n > 1")
@@ -441,14 +467,17 @@ def exact_links(texts: DataFrame, known: DataFrame, docs: DataFrame, n_docs: int
     )
     groups = grouped(known)
     leads = shared.where("tid <> lead").select(F.col("tid").alias("a"), F.col("lead").alias("b")).distinct()
-    first = leads.join(side(groups, "a"), "a").join(side(groups, "b"), "b").where(possible).select("a", "b")
-    first = similar_pairs(stored(first, "near-first-pairs"), texts, docs, size, least)
-    groups = grouped(components(known.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(first)))
-    met = stored(shared.join(groups, "tid"), "near-met")
+    first = stored(leads.join(side(groups, "a"), "a").join(side(groups, "b"), "b").where(possible).select("a", "b"), "near-first-pairs")
+    similar = similar_pairs(first, signs, texts, docs, size, least)
+    forget(first, groups)
+    groups = grouped(components(known.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(similar)))
+    met = stored(shared.join(groups, "tid").drop("lead"), "near-met")
     open_ = met.groupBy("hash").agg(F.min("group").alias("_low"), F.max("group").alias("_high")).where("_low <> _high").select("hash")
-    met = stored(met.join(open_, "hash", "left_semi").drop("lead"), "near-open")
-    pairs = side_by_side(met).where(possible).select("a", "b").distinct()
-    return first.unionByName(similar_pairs(stored(pairs, "near-second-pairs"), texts, docs, size, least))
+    second = stored(side_by_side(met.join(open_, "hash", "left_semi")).where(possible).select("a", "b").distinct(), "near-second-pairs")
+    forget(met, shared, groups)
+    more = similar_pairs(second, signs, texts, docs, size, least)
+    forget(second, signs)
+    return similar.unionByName(more)
 
 
 def side_by_side(met: DataFrame) -> DataFrame:
@@ -473,7 +502,7 @@ def without_near_duplicates(
     rows = stored(docs.select("doc_id", text_key(F.col("text")).alias("key"), fingerprint(text, 1, distinct=True).alias("fp")), "near-rows")
     texts = rows.groupBy("key").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("first_doc"))
     texts = stored(texts.withColumn("tid", F.monotonically_increasing_id()), "near-texts")
-    near = stored(near_duplicate_texts(texts, docs, size, least, bits), "near-links")
+    near = near_duplicate_texts(texts, docs, size, least, bits)
     exact = exact_links(texts, components(near), docs, rows.count(), size, least)
     labels = components(near.unionByName(exact))
     grouped = texts.join(labels, F.col("tid") == F.col("node"), "left").withColumn("group", F.coalesce("root", "tid"))

@@ -12,7 +12,7 @@ from podium.llm import mixing, sql
 from podium.llm.common import read_table
 
 SMALL = "/root/testdata/sf0.001"
-TABLES = ("documents", "pages", "benchmark", "labels", "conversations")
+TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 @pytest.fixture(scope="module")
@@ -77,5 +77,5 @@ def test_queries_against_sql(spark, name):
 
 def test_all_queries_are_registered():
     names = [n for n in contract.queries() if n.startswith("op") and n.split("_")[0][2:].isdigit()]
-    assert sorted(int(n.split("_")[0][2:]) for n in names) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in names) == list(range(1, 14))
     assert "pipeline" in contract.queries()

@@ -159,3 +159,20 @@ def test_near_duplicates_beyond_the_bits_of_the_fingerprint(spark):
     assert far > 20
     want = sorted({min(rows[k][0] for k in range(len(rows)) if label[k] == x) for x in label})
     assert sorted(r.doc_id for r in simhash.without_near_duplicates(documents(spark, rows)).collect()) == want
+
+
+def test_sketches_agree_as_often_as_sets_are_similar():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    for n, share in ((400, 0.8), (40, 0.8), (12, 0.84), (400, 0.3)):
+        places = []
+        for _ in range(60):
+            both = r.integers(0, 1 << 63, n, dtype=np.uint64)
+            common = int(round(2 * n * share / (1 + share)))
+            a, b = both[:common], r.integers(0, 1 << 63, n - common, dtype=np.uint64)
+            left, right = simhash.sketch(np.unique(both)), simhash.sketch(np.unique(np.concatenate([a, b])))
+            places.append(int((left == right).sum()))
+        assert abs(np.mean(places) / simhash.SKETCH - share) < 0.07
+        assert share < 0.5 or min(places) >= simhash.SKETCH_AGREE
+    assert (simhash.sketch(np.empty(0, dtype=np.uint64)) == 0).all()
