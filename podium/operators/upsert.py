@@ -250,10 +250,10 @@ def upsert_session_presenters(session_presenters: DataFrame, sessions: DataFrame
 
 
 def _with_parent(requests: DataFrame, parents: DataFrame, key: str) -> DataFrame:
-    """Add `has_<key>`: whether the parent exists. A parent with many requests is spread out."""
+    """Add `has_<key>`: whether the parent exists. Parents are unique and not aggregated, so that Spark itself splits
+    one with many requests."""
     exists = parents.select(key, F.lit(True).alias("_exists"))
-    joined = salted_join(requests, exists, hot_keys(requests, key), key, "seq", "left")
-    return joined.withColumn(f"has_{key}", F.col("_exists").isNotNull()).drop("_exists")
+    return requests.join(exists, key, "left").withColumn(f"has_{key}", F.col("_exists").isNotNull()).drop("_exists")
 
 
 # Responses

@@ -442,6 +442,17 @@ BODIES: dict[str, str] = {
         WHERE event_id IN (SELECT event_id FROM @mine)""",
     # Questions
     "question_indent": "SELECT * FROM @indent",
+    "question_depths": """SELECT question_id, CASE WHEN NOT stuck THEN indent END AS indent,
+            CASE WHEN stuck THEN 'on or behind a cycle of follow-up questions' END AS error
+        FROM (SELECT *, question_id // 100 % 10 = 3 AND question_id % 100 IN (2, 3, 4) AS stuck FROM @indent)""",
+    "import_feed": """SELECT c_custkey AS request_id, session_id AS feed_id, title,
+            max('id-' || presenter_id) FILTER (is_session_owner) AS owner,
+            coalesce(string_agg('id-' || presenter_id || '=' || name, ',' ORDER BY 'id-' || presenter_id || '=' || name), '') AS speakers,
+            NULL::VARCHAR AS error
+        FROM customer JOIN @se ON 'key-' || c_custkey = 'key-' || event_id LEFT JOIN @spn USING (session_id)
+        WHERE session_id % 11 <> 0 AND session_id % 13 <> 0 AND c_custkey NOT IN (SELECT request_id FROM @fresh WHERE template_name IS NOT NULL AND template_id IS NULL)
+        GROUP BY c_custkey, session_id, title
+        UNION ALL SELECT c_custkey, NULL, NULL, NULL, NULL, 'no event template of that name' FROM customer WHERE c_custkey IN (SELECT request_id FROM @fresh WHERE template_name IS NOT NULL AND template_id IS NULL)""",
     "question_display": "SELECT * FROM @shown",
     "question_has_percentages": "SELECT * FROM @pcts",
     "question_allow_plaintext": "SELECT question_id, has_plaintext OR type = 'text' AS allow_plaintext FROM @qu",

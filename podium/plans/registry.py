@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from podium.functions.ids import assign_ids
 from podium.functions.text import speaker_names
-from podium.operators import access, cascade, copies, documents, fold, lists, lookup, quality, questions, upsert
+from podium.operators import access, cascade, copies, documents, fold, imports, lists, lookup, quality, questions, upsert
 from podium.session import fresh_path
 from podium.sources import feed, sinks, tables
 from podium.sources.adapters import TestTables
@@ -165,6 +165,17 @@ def question_indent(t):
     return questions.question_indent(t.answer_options)
 
 
+@query
+def question_depths(t):
+    """Depths and errors where every tenth event leads its fourth question back to the second."""
+    back = F.expr("question_id % 100 = 4 AND question_id div 100 % 10 = 3")
+    cyclic = t.answer_options.withColumn(
+        "if_selected_show_question_id", F.when(back, F.col("question_id") - 2).otherwise(F.col("if_selected_show_question_id"))
+    )
+    depths, stuck = questions.question_depths(cyclic)
+    return union(depths.withColumn("error", F.lit(None).cast("string")), stuck.select("question_id", F.lit(None).cast("int").alias("indent"), "error"))
+
+
 @query
 def question_display(t):
     return questions.question_display(t.questions, t.answer_options)
@@ -517,6 +528,24 @@ def create_events_results(t):
     )
 
 
+@query
+def import_feed(t):
+    """The feeds of all create-event requests imported: what each request has got, one row a session."""
+    path = fresh_path(t.spark, "feed")
+    t.feed_documents.write.text(path)
+    result = imports.import_feeds(t.stored, t.event_requests, *feed.read_session_feed(t.spark, path, places=True))
+    got = imports.imported_sessions(result).groupBy("request_id", "feed_id", "title").agg(
+        F.max(F.when(F.col("is_owner"), F.col("identifier"))).alias("owner"),
+        F.array_join(F.sort_array(F.collect_list(F.concat_ws("=", "identifier", "name"))), ",").alias("speakers"),
+    )
+    failed = result["rejected"].select(F.col("key").cast("bigint").alias("request_id"), "error")
+    none = F.lit(None).cast("string")
+    return union(
+        got.withColumn("error", none),
+        failed.select("request_id", F.lit(None).cast("int").alias("feed_id"), none.alias("title"), none.alias("owner"), none.alias("speakers"), "error"),
+    )
+
+
 @query
 def grant_event_users(t):
     return copies.grant_event_users(t.user_grants, t.principals)

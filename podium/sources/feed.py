@@ -10,12 +10,12 @@ from podium.functions.text import leading_int, starts_with_number
 from podium.sources.schemas import FEED, FEED_GROUPS, RAW_CHANGES
 
 
-def read_session_feed(spark: SparkSession, path: str, all_groups: bool = False) -> tuple[DataFrame, DataFrame]:
+def read_session_feed(spark: SparkSession, path: str, all_groups: bool = False, places: bool = False) -> tuple[DataFrame, DataFrame]:
     """Accepted sessions and their speakers from feed documents, one per line: {event_key, groups}.
 
     A large feed may be split into several documents of the same event.
     """
-    return parse_feed(spark.read.schema(FEED).json(path), all_groups)
+    return parse_feed(spark.read.schema(FEED).json(path), all_groups, places)
 
 
 def read_session_feed_files(spark: SparkSession, path: str, all_groups: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -26,19 +26,23 @@ def read_session_feed_files(spark: SparkSession, path: str, all_groups: bool = F
     return parse_feed(files.select(key.alias("event_key"), F.from_json("value", FEED_GROUPS).alias("groups")), all_groups)
 
 
-def parse_feed(documents: DataFrame, all_groups: bool = False) -> tuple[DataFrame, DataFrame]:
+def parse_feed(documents: DataFrame, all_groups: bool = False, places: bool = False) -> tuple[DataFrame, DataFrame]:
     """Sessions and speakers of feed documents (event_key, groups).
 
     Only the first session group counts unless `all_groups`. Service sessions and sessions that are not
-    accepted are left out. Speakers keep their place; the first is the owner.
+    accepted are left out. Speakers keep their place; the first is the owner. With `places` both tables have `place`,
+    the session's place in its feed; documents of one event follow each other by their first session.
     """
     groups = F.col("groups") if all_groups else F.slice("groups", 1, 1)
+    listed = documents.select("event_key", F.flatten(F.transform(groups, lambda g: g["sessions"])).alias("_all"))
+    place = F.struct(F.get("_all", F.lit(0))["id"].alias("first"), F.col("_n").alias("n")).alias("place")
+    kept = [place] if places else []
     sessions = (
-        documents.select("event_key", F.explode(F.flatten(F.transform(groups, lambda g: g["sessions"]))).alias("s"))
+        listed.select("event_key", "_all", F.posexplode("_all").alias("_n", "s")).select("event_key", "s", *kept)
         .where("s.status = 'Accepted' AND NOT coalesce(s.isServiceSession, false)")
     )
     speakers = sessions.select(
-        "event_key", F.col("s.id").alias("feed_id"), F.posexplode("s.speakers").alias("position", "speaker")
+        "event_key", F.col("s.id").alias("feed_id"), *(["place"] if places else []), F.posexplode("s.speakers").alias("position", "speaker")
     ).select(
         "event_key",
         "feed_id",
@@ -46,8 +50,9 @@ def parse_feed(documents: DataFrame, all_groups: bool = False) -> tuple[DataFram
         F.col("speaker.id").alias("identifier"),
         F.col("speaker.name").alias("name"),
         (F.col("position") == 0).alias("is_owner"),
+        *(["place"] if places else []),
     )
-    return sessions.select("event_key", F.col("s.id").alias("feed_id"), F.col("s.title").alias("title")), speakers
+    return sessions.select("event_key", F.col("s.id").alias("feed_id"), F.col("s.title").alias("title"), *(["place"] if places else [])), speakers
 
 
 def parse_changes(raw: DataFrame) -> DataFrame:
