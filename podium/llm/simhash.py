@@ -46,6 +46,8 @@ BLOCK_TEXTS = 512
 # Texts that frequent shingles are counted on, from how many of them on a shingle is frequent, and the most such shingles.
 # They come last in the order of the prefixes: any order finds the same pairs, this one in less time.
 ORDER_TEXTS, ORDER_COUNT, ORDER_SHINGLES = 8_192, 8, 65_536
+# Texts whose shingles a task holds at once.
+SIGN_TEXTS = 256
 # Places of a sketch, and those that must agree before two texts are compared.
 SKETCH, SKETCH_AGREE = 64, 32
 SKETCH_FACTORS = np.random.default_rng(17).integers(1 << 40, 1 << 63, SKETCH, dtype=np.uint64) | np.uint64(1)
@@ -437,10 +439,12 @@ def exact_links(texts: DataFrame, known: DataFrame, docs: DataFrame, n_docs: int
 
     def signed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            sets = [digests(t, size) for t in frame["text"]]
-            yield frame[["doc_id", "key"]].assign(
-                n=[len(x) for x in sets], parity=[parities(x) for x in sets], sketch=[sketch(x) for x in sets], prefix=[prefix_of(x, frequent, least).view(np.int64) for x in sets]
-            )
+            for at in range(0, len(frame), SIGN_TEXTS):
+                part = frame.iloc[at : at + SIGN_TEXTS]
+                sets = [digests(t, size) for t in part["text"]]
+                yield part[["doc_id", "key"]].assign(
+                    n=[len(x) for x in sets], parity=[parities(x) for x in sets], sketch=[sketch(x) for x in sets], prefix=[prefix_of(x, frequent, least).view(np.int64) for x in sets]
+                )
 
     types = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, n bigint, parity array<bigint>, sketch array<int>, prefix array<bigint>"
     rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", text_key(F.col("text")).alias("key"), F.col("text").cast("binary").alias("text"))
