@@ -1,7 +1,8 @@
 """Licence scans by a positional index of rare words.
 
 Templates are short licence texts. Over all documents the document frequency of every template word is counted;
-the rarest words of each template, by inverse document frequency, make the index: word to (template, position).
+the rarest words of each template, by inverse document frequency, and the rarest of its mandatory phrases make the
+index: word to (template, position).
 A file's words of the index are looked up, rarest first; a posting votes for the place where its template would
 begin, so words of one licence meet at one relative position. Places with votes of different words are verified:
 the template's mandatory phrases must stand there word by word, and enough of its other words must agree.
@@ -16,7 +17,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
-from math import log
+from math import ceil, log
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -77,9 +78,10 @@ def places_of(words: list[bytes], phrase: tuple[bytes, ...]) -> list[int]:
 
 @dataclass(frozen=True)
 class Index:
-    """Templates with the postings of their rarest words, and the words' ranks, rarest first."""
+    """Templates (label, words, phrases with their places, votes needed), the postings of their index words, and the
+    words' ranks, rarest first."""
 
-    templates: tuple[tuple[str, tuple[bytes, ...], tuple[tuple[int, tuple[bytes, ...]], ...]], ...]
+    templates: tuple[tuple[str, tuple[bytes, ...], tuple[tuple[int, tuple[bytes, ...]], ...], int], ...]
     postings: dict[bytes, list[tuple[int, int]]]
     rank: dict[bytes, int]
 
@@ -99,8 +101,8 @@ class Index:
                     votes[template, at - offset].add(word)
         found = []
         for (number, start), voters in votes.items():
-            label, text, phrases = self.templates[number]
-            if len(voters) < VOTES or start + len(text) <= 0:
+            label, text, phrases, needed = self.templates[number]
+            if len(voters) < needed or start + len(text) <= 0:
                 continue
             # Phrases must stand at their place; what hangs over an end of the file does not agree.
             if all(start + at >= 0 and tuple(words[start + at : start + at + len(p)]) == p for at, p in phrases):
@@ -120,8 +122,24 @@ def count_template_words(frames: Iterator[pd.DataFrame], vocabulary: set[bytes])
     yield pd.DataFrame([(w.decode(), n) for w, n in counts.items()], columns=["word", "n"])
 
 
+def index_words(words: tuple[bytes, ...], phrases: list[tuple[bytes, ...]], rank: dict[bytes, int]) -> tuple[list[bytes], int]:
+    """The index words of a template, rarest first, and how many different ones vote for every place that passes.
+
+    All words of the phrases stand at such a place, so the rarest VOTES of them always vote. Without as many, words
+    are taken until more are left than the words that may differ can silence.
+    """
+    rarest = sorted(set(words), key=rank.__getitem__)
+    mandatory = sorted({w for p in phrases for w in p}, key=rank.__getitem__)[:VOTES]
+    if len(mandatory) == VOTES:
+        return sorted({*rarest[:RARE_WORDS], *mandatory}, key=rank.__getitem__), VOTES
+    may_differ = len(words) - ceil(COVERAGE * len(words))
+    chosen = rarest[: max(RARE_WORDS, may_differ + VOTES)]
+    return chosen, max(1, min(VOTES, len(chosen) - may_differ))
+
+
 def build_index(docs: DataFrame, templates=TEMPLATES) -> Index:
-    """Count the template words over all documents and index the rarest of each template; ties by the word."""
+    """Count the template words over all documents and index the rarest of each template and of its phrases; ties by
+    the word."""
     texts = [tuple(text.encode().split()) for _, text, _ in templates]
     vocabulary = {w for t in texts for w in t}
     rows = docs.select(F.col("text").cast("binary").alias("text")).mapInPandas(partial(count_template_words, vocabulary=vocabulary), "word string, n bigint")
@@ -134,10 +152,11 @@ def build_index(docs: DataFrame, templates=TEMPLATES) -> Index:
     entries = []
     for number, (label, _, phrases) in enumerate(templates):
         words = texts[number]
-        for word in sorted(set(words), key=rank.__getitem__)[:RARE_WORDS]:
-            postings[word] += [(number, at) for at, w in enumerate(words) if w == word]
         split = [tuple(p.encode().split()) for p in phrases]
-        entries.append((label, words, tuple((places_of(list(words), p)[0], p) for p in split)))
+        chosen, needed = index_words(words, split, rank)
+        for word in chosen:
+            postings[word] += [(number, at) for at, w in enumerate(words) if w == word]
+        entries.append((label, words, tuple((places_of(list(words), p)[0], p) for p in split), needed))
     return Index(tuple(entries), dict(postings), {w: rank[w] for w in postings})
 
 
@@ -171,7 +190,8 @@ def licence_scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score), one row a document.
 
     Null texts count as empty: no words, no labels, score 0. The score is the share of template words that agree
-    at the best verified place. Equal rows are scanned each; other columns are ignored.
+    at the best verified place. Equal rows are scanned each; other columns are ignored; an empty table gives an empty
+    result.
     """
     scanned = docs.select("doc_id", scan_column(F.col("text"), build_index(docs, templates)).alias("_s"))
     return scanned.select("doc_id", "_s.*")

@@ -1,4 +1,6 @@
+import random
 import re
+from itertools import combinations
 
 import pytest
 from helpers import documents, prose
@@ -57,3 +59,29 @@ def test_the_index_takes_the_rarest_words(spark):
     index = licences.build_index(documents(spark, ["released under the mit"] * 5 + ["license"] * 3 + ["x"]))
     mit = {w for w, posts in index.postings.items() if any(licences.TEMPLATES[t][0] == "mit-notice" for t, _ in posts)}
     assert len(mit) == licences.RARE_WORDS and b"license" in mit
+
+
+def test_no_accepted_place_is_lost_when_index_words_differ(spark):
+    """Every template with each set of words replaced that coverage allows, index words and all; common phrase words."""
+    common = ["permission is hereby granted free of charge to any person and this software mit license"] * 30
+    index = licences.build_index(documents(spark, common))
+    for label, template, _ in licences.TEMPLATES:
+        t = template.split()
+        for r in range(60):
+            changed = random.Random(r).sample(range(len(t)), random.Random(r).randint(0, len(t) // 4))
+            text = " ".join("zzz" if i in changed else w for i, w in enumerate(t))
+            found = index.scan(licences.words_of(f"a b {text} c".encode()))
+            assert {x for x, _, _ in found} == own_by_hand(f"a b {text} c").keys()
+    lost = "permission is hereby granted free of charge to any person zzz a zzz of this software and zzz zzz files"
+    assert "mit-text" in {x for x, _, _ in index.scan(licences.words_of(lost.encode()))}
+
+
+def test_templates_without_phrases_lose_no_place(spark):
+    templates = (("plain", "one two three four five six seven eight nine ten eleven twelve", ()), ("same", "ab ab ab ab", ()), ("word", "solo mark here now", ("solo",)))
+    index = licences.build_index(documents(spark, ["x"]), templates)
+    for label, template, _ in templates:
+        t = template.split()
+        for changed in combinations(range(len(t)), len(t) // 4):
+            text = " ".join("zzz" if i in changed else w for i, w in enumerate(t))
+            places = [s for x, s, _ in index.scan(licences.words_of(text.encode())) if x == label]
+            assert (0 in places) == (label != "word" or "solo" in text)
