@@ -4,6 +4,7 @@ from itertools import islice, product
 import numpy as np
 import pytest
 from helpers import documents, prose
+from pyspark.sql import functions as F
 
 from podium.llm import toxicity
 
@@ -85,3 +86,14 @@ def test_a_rare_strong_term_is_mined_among_many_frequent_ones(spark):
     common = " ".join(islice(map("".join, product("abcdefghijklm", repeat=4)), 21_000))
     rows = [(common + " vlorg" * (i < 8), 1) for i in range(12)] + [(common if i < 20 else "fine", 0) for i in range(80)]
     assert "vlorg" in toxicity.mined_terms(spark.createDataFrame(rows, "text string, toxic int")).number
+
+
+def test_first_rows_by_hash(spark):
+    """The threshold leaves the rows that a plain sort gives, also where one id has a third of them."""
+    ids = [*range(3000), *[7] * 1500, *[None] * 10]
+    rows = spark.createDataFrame([(i, n) for n, i in enumerate(ids)], "doc_id bigint, n int")
+    for size in (1, 50, 1700, 5000):
+        plain = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "n").limit(size).collect()
+        assert toxicity.first_by_hash(rows, size, "n").collect() == plain
+    below = toxicity.first_by_hash(rows, 50, "n")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in below and toxicity.first_by_hash(rows.where("false"), 5).count() == 0
