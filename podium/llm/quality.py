@@ -3,7 +3,7 @@
 Every text is reduced to counters. For the shares made of them, each language and source gets a quantile sketch:
 counts of logarithmic bins of a fixed relative width (RELATIVE_ERROR). Sketches are rows (group, metric, bin, n)
 that add up: map tasks combine them before the shuffle, so a hot source costs its bins, and the sketch of a
-language is the sum of those of its sources. Quartiles of a sketch give fences; a text outside of a fence fails.
+language is the sum of those of its sources. Quantiles of a sketch give fences; a text outside of a fence fails.
 A source with too few texts takes the fences of its language, a language with too few those of all texts.
 The thresholds are then joined to the rows.
 """
@@ -24,11 +24,15 @@ RELATIVE_ERROR = 0.01
 GAMMA = (1 + RELATIVE_ERROR) / (1 - RELATIVE_ERROR)
 # Texts a group needs for fences of its own.
 MIN_GROUP = 200
-# Fences lie this many interquartile ranges, and at least the margin, beyond the quartiles.
-REACH = 3.0
-MARGINS = {"word_length": 2.0, "symbols": 0.02, "dup_lines": 0.4, "repeats": 0.2}
-# Metrics of which low values are a fault, too.
-TWO_SIDED = ("word_length",)
+# Fences of word_length lie this many interquartile ranges beyond the quartiles, on the logarithmic scale of the sketch.
+REACH = 4.0
+# The fence of the other metrics is a quantile: of all values, or of those above zero where zero says that a text has
+# no trait to measure (no line twice, no passage twice), which most texts of every group have not.
+QUANTILE = {"symbols": 0.9, "dup_lines": 0.99, "repeats": 0.99}
+ABOVE_ZERO = ("dup_lines", "repeats")
+# A quantile of zero would drop a text for a single symbol: the least fence of symbols.
+LEAST = {"symbols": 0.02}
+METRICS = ("word_length", *QUANTILE)
 COUNTERS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_lines bigint"
 
 
@@ -112,13 +116,24 @@ def fences(sketch: DataFrame, keys: list[str], prefix: str) -> DataFrame:
     group = [*keys, "metric"]
     upto = F.sum("n").over(Window.partitionBy(*group).orderBy(F.col("bin").asc_nulls_first()))
     placed = sketch.withColumn("_upto", upto).withColumn("_all", F.sum("n").over(Window.partitionBy(*group)))
-    quartile = lambda q: F.min(F.when(F.col("_upto") >= F.col("_all") * q, bin_value(F.col("bin"))))
-    found = placed.where(F.col("_all") >= MIN_GROUP).groupBy(*group).agg(quartile(0.25).alias("_low"), quartile(0.75).alias("_high"))
-    margin = F.element_at(F.create_map(*[F.lit(x) for kv in MARGINS.items() for x in kv]), F.col("metric"))
-    slack = F.greatest(F.lit(REACH) * (F.col("_high") - F.col("_low")), margin)
-    low = F.when(F.col("metric").isin(*TWO_SIDED), F.col("_low") - slack).otherwise(F.lit(0.0))
-    edges = found.select(*keys, "metric", F.struct(low.alias("low"), (F.col("_high") + slack).alias("high")).alias("_f"))
-    return edges.groupBy(*keys).agg(F.struct(*[F.max(F.when(F.col("metric") == m, F.col("_f"))).alias(m) for m in MARGINS]).alias(prefix))
+    placed = placed.withColumn("_zero", F.coalesce(F.sum(F.when(F.col("bin").isNull(), F.col("n"))).over(Window.partitionBy(*group)), F.lit(0)))
+
+    def quantile(q: float, above_zero: bool = False) -> Column:
+        """The value below which a share `q` lies; with `above_zero`, of the values above zero, and 0 without any."""
+        zero = F.col("_zero") if above_zero else F.lit(0)
+        reached = F.col("_upto") - zero >= (F.col("_all") - zero) * q
+        return F.coalesce(F.min(F.when(reached & (F.col("bin").isNotNull() | (zero == 0)), bin_value(F.col("bin")))), F.lit(0.0))
+
+    quantiles = [quantile(q, m in ABOVE_ZERO).alias(f"_{m}") for m, q in QUANTILE.items()]
+    enough = placed.where(F.col("_all") >= MIN_GROUP).groupBy(*group)
+    found = enough.agg(quantile(0.25).alias("_low"), quantile(0.75).alias("_high"), *quantiles)
+    # Quartiles closer than the sketch tells apart count as one bin apart.
+    ratio = F.pow(F.greatest(F.col("_high") / F.col("_low"), F.lit(GAMMA)), F.lit(REACH))
+    edges = {"word_length": F.struct((F.col("_low") / ratio).alias("low"), (F.col("_high") * ratio).alias("high"))}
+    for m in QUANTILE:
+        # A value in the quantile's own bin is within.
+        edges[m] = F.struct(F.lit(0.0).alias("low"), F.greatest(F.col(f"_{m}") * (1 + RELATIVE_ERROR), F.lit(LEAST.get(m, 0.0))).alias("high"))
+    return found.groupBy(*keys).agg(F.struct(*[F.max(F.when(F.col("metric") == m, edges[m])).alias(m) for m in METRICS]).alias(prefix))
 
 
 def thresholds(rows: DataFrame) -> DataFrame:
@@ -165,7 +180,7 @@ def judge_quality(docs: DataFrame) -> DataFrame:
 
 
 def good_documents(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, all columns kept."""
+    """The documents that the rules keep, all columns kept; nulls, repeated rows and empty tables as in `judge_quality`."""
     counted = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "lang", "source", counters(F.col("text")).alias("_c"))
     sketched = thresholds(stored(counted.select("lang", "source", "_c"), "quality-rows"))
     judged = null_safe(counted, sketched, ["lang", "source"]).where(keeps(F.col("_c"), F.col("_own")))

@@ -76,5 +76,65 @@ def test_sketches_add_up_and_keep_their_error(spark):
     bins = quality.fences(quality.merged(whole, ["lang"]), ["lang"], "_f").where("lang = 'en'").first()["_f"]
     lengths = sorted(len(t.replace(" ", "")) / len(t.split()) for _, t, lang, _ in corpus() if lang == "en" and by_hand(t)[4] * 2 <= len(t.split()))
     q1, q3 = lengths[math.ceil(len(lengths) / 4) - 1], lengths[math.ceil(len(lengths) * 3 / 4) - 1]
-    slack = max(quality.REACH * (q3 - q1), quality.MARGINS["word_length"])
-    assert abs(bins["word_length"]["high"] - (q3 + slack)) < 0.02 * (q3 + slack) + 0.2
+    reach = max(q3 / q1, quality.GAMMA) ** quality.REACH
+    assert bins["word_length"]["high"] == pytest.approx(q3 * reach, rel=0.02 * (2 * quality.REACH + 1))
+    assert bins["word_length"]["low"] == pytest.approx(q1 / reach, rel=0.02 * (2 * quality.REACH + 1))
+
+
+def shares_by_hand(text):
+    n, chars, symbols, dup, repeated = by_hand(text)
+    lines = sum(bool(re.search(r"[^\x20\x09-\x0D]", line)) for line in (text or "").split("\n"))
+    return {"word_length": chars / max(n, 1), "symbols": symbols / max(chars, 1), "dup_lines": dup / max(lines, 1), "repeats": repeated / max(n, 1)}
+
+
+def quantile_by_hand(values, q):
+    return sorted(values)[max(math.ceil(len(values) * q), 1) - 1] if values else 0.0
+
+
+def fences_by_hand(rows):
+    q1, q3 = (quantile_by_hand([r["word_length"] for r in rows], q) for q in (0.25, 0.75))
+    reach = max(q3 / q1, quality.GAMMA) ** quality.REACH
+    fences = {"word_length": (q1 / reach, q3 * reach)}
+    for m, q in quality.QUANTILE.items():
+        values = [r[m] for r in rows if r[m] > 0 or m not in quality.ABOVE_ZERO]
+        fences[m] = (0.0, max(quantile_by_hand(values, q), quality.LEAST.get(m, 0.0)))
+    return fences
+
+
+def varied_corpus():
+    """Two large sources that differ in every metric, a small one of another language, and one without either."""
+    rows = []
+    for i in range(560):
+        r = random.Random(i)
+        source, lang = ("code", "en") if i % 2 else ("news", "en") if i < 500 else ("tiny", None)
+        words = prose(i, 60 + i % 40).split(" ")
+        if source == "code":
+            words = [f"{w}longer" for w in words] + ["<|>"] * 1 + [f"a{j}&&&&&b" for j in range(r.randrange(9))]
+        lines = [" ".join(words[j : j + 8]) for j in range(0, len(words), 8)]
+        if r.random() < 0.3:
+            lines += r.choices(lines[:2], k=r.randrange(1, 5 if source == "news" else 8))
+        rows.append((i, "\n".join(lines), lang, source))
+    return rows
+
+
+def test_verdicts_against_exact_quantiles(spark):
+    rows = varied_corpus()
+    measured = [(d, shares_by_hand(t), (lang, source)) for d, t, lang, source in rows if not (by_hand(t)[0] < 50 or 2 * by_hand(t)[4] > by_hand(t)[0])]
+    groups = {g: [s for _, s, h in measured if h == g] for g in {g for _, _, g in measured}}
+    langs = {g[0]: [s for _, s, h in measured if h[0] == g[0]] for g in groups}
+    fences = {
+        g: fences_by_hand(x if len(x) >= quality.MIN_GROUP else langs[g[0]] if len(langs[g[0]]) >= quality.MIN_GROUP else [s for _, s, _ in measured])
+        for g, x in groups.items()
+    }
+    assert len({str(f) for f in fences.values()}) == len(groups) == 3
+    assert fences["en", "code"]["symbols"][1] > fences["en", "news"]["symbols"][1]
+    kept = {r.doc_id: r.kept for r in quality.judge_quality(documents(spark, rows)).collect()}
+    dropped = 0
+    for d, s, g in measured:
+        # Between a fence and the sketch's error beyond it, either verdict is right.
+        low, high = fences[g]["word_length"]
+        fits = [s[m] <= fences[g][m][1] for m in quality.QUANTILE] + [low * 1.12 < s["word_length"] < high / 1.12]
+        fails = [s[m] > fences[g][m][1] * 1.03 for m in quality.QUANTILE] + [not low / 1.12 < s["word_length"] < high * 1.12]
+        assert kept[d] if all(fits) else not (kept[d] and any(fails))
+        dropped += any(fails)
+    assert dropped > 5
