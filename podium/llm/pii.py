@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from podium.functions.store import forget
-from podium.llm.common import NOT_WORD, ascii_lower, free_name, stored
+from podium.llm.common import NOT_WORD, free_name, stored
 
 KINDS = ("email", "ip", "card", "phone")
 ADDED = ("term", "removed")
@@ -145,10 +145,14 @@ def affected_documents(based: DataFrame) -> DataFrame:
     return stored(found.select("*", rest, entities(F.col("_spans")).alias("_entities")), "pii-affected")
 
 
+def word_set(text: Column) -> Column:
+    """The different words of a text, each lowered for itself, so that a word is the same term in every text."""
+    return F.array_distinct(F.transform(F.array_distinct(F.split(text, NOT_WORD, -1)), F.lower))
+
+
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """In how many documents each of the terms stands: (term, n_term). `terms` is a stored table of distinct terms."""
-    text = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
-    words = docs.select(F.explode(F.array_distinct(F.split(text, NOT_WORD, -1))).alias("term"))
+    words = docs.select(F.explode(word_set(F.coalesce(F.col("text"), F.lit("")))).alias("term"))
     if terms.count() <= BROADCAST_TERMS:
         return words.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
     return words.groupBy("term").agg(F.count("*").alias("n_term")).join(terms, "term", "left_semi")
@@ -167,8 +171,7 @@ def disclosing_pairs(docs: DataFrame, affected: DataFrame) -> DataFrame:
     known = by_text.groupBy("rank", "value").agg(F.sum("_rows").alias("n_entity"), F.count("*").alias("_texts"))
     known = stored(known.where(F.col("_texts") >= MIN_TEXTS).drop("_texts"), "pii-entities")
     held = stored(held.drop("copy").join(known, ["rank", "value"]), "pii-held")
-    split = F.array_distinct(F.split(ascii_lower(F.col("_rest")), NOT_WORD, -1))
-    words = affected.join(held.select("row").distinct(), "row", "left_semi").select("row", copy, F.explode(split).alias("term")).where("term <> ''")
+    words = affected.join(held.select("row").distinct(), "row", "left_semi").select("row", copy, F.explode(word_set(F.col("_rest"))).alias("term")).where("term <> ''")
     words = stored(words, "pii-words")
     several = words.select("term", "copy").distinct().groupBy("term").agg(F.count("*").alias("_texts")).where(F.col("_texts") >= MIN_TEXTS)
     counts = stored(term_counts(docs, stored(several.select("term"), "pii-terms")), "pii-counts")
@@ -201,8 +204,7 @@ def broader_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
     mild = terms.where((F.col("share") < REMOVE) & (F.length("term") > STEM))
     mild = mild.select("rank", "value", "term", "content", "n", F.substring("term", 1, STEM).alias("_stem"))
     stems = stored(mild.select("_stem").distinct(), "pii-stems")
-    text = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
-    words = docs.select(F.explode(F.array_distinct(F.split(text, NOT_WORD, -1))).alias("word")).withColumn("_stem", F.substring("word", 1, STEM))
+    words = docs.select(F.explode(word_set(F.coalesce(F.col("text"), F.lit("")))).alias("word")).withColumn("_stem", F.substring("word", 1, STEM))
     few = stems.count()
     # A stem is three characters; without any, no text is read.
     kin = words.join(F.broadcast(stems) if few <= BROADCAST_TERMS else stems, "_stem", "left_semi") if few else words.where("false")
@@ -228,7 +230,7 @@ def marked_words(affected: DataFrame, marks: DataFrame) -> DataFrame:
     pieces = F.arrays_zip(found.alias("word"), F.slice(F.split("_t", WORD, -1), F.lit(1), F.size(found)).alias("gap"))
     words = rest.select("row", F.posexplode(pieces).alias("_at", "_p")).select("row", "_at", "_p.word", F.length("_p.gap").alias("_gap"))
     end = F.sum(F.col("_gap") + F.length("word")).over(Window.partitionBy("row").orderBy("_at")).cast("int")
-    placed = words.withColumn("end", end).withColumn("start", F.col("end") - F.length("word")).withColumn("term", ascii_lower(F.col("word")))
+    placed = words.withColumn("end", end).withColumn("start", F.col("end") - F.length("word")).withColumn("term", F.lower("word"))
     span = F.struct("start", F.col("kind").alias("rank"), "end", "broader")
     return placed.join(marks, ["row", "term"]).groupBy("row").agg(F.collect_list(span).alias("_added"))
 

@@ -89,21 +89,17 @@ def entities_by_hand(text):
     return found
 
 
-def ascii_lower(text):
-    return "".join(c.lower() if c.isascii() else c for c in text)
-
-
 def words_by_hand(text):
     for _, start, end in by_hand(text):
         text = text[:start] + " " * (end - start) + text[end:]
-    return [(m.start(), m.end(), ascii_lower(m.group())) for m in re.finditer(WORDS, text)]
+    return [(m.start(), m.end(), m.group().lower()) for m in re.finditer(WORDS, text)]
 
 
 def terms_by_hand(texts):
     """Share of every disclosing (kind, value, term), by looking at all of them."""
     held = [entities_by_hand(t) for t in texts]
     inside = [{w for _, _, w in words_by_hand(t)} for t in texts]
-    anywhere = [set(re.findall(WORDS, ascii_lower(t))) for t in texts]
+    anywhere = [{w.lower() for w in re.findall(WORDS, t)} for t in texts]
     found = {}
     for entity in set().union(*held):
         rows = [i for i, h in enumerate(held) if entity in h]
