@@ -2,7 +2,8 @@
 
 A change adds (ordinal > 0, or a text), resets (ordinal < 0 unchecks, an empty text clears) or does
 nothing (ordinal 0). Everything is an aggregate that combines before the shuffle; the only join on the
-log is with one row per reset slot, salted for responses that dominate the log. No window or collected
+log is with one row per reset slot, salted for responses that dominate the log; in long logs only rows that
+a filter of the reset slots lets through are shuffled to it. No window or collected
 list runs over a response. The aggregates are merged once more after the rows met their response and
 option, so salted parts cost no shuffle of their own. Validity (does the question belong to the
 response's event, does the option exist) is checked on the folded rows, far fewer than the changes.
@@ -10,13 +11,18 @@ response's event, does the option exist) is checked on the folded rows, far fewe
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from podium.functions.prune import MAY_MEET, key_filter, looked_up
 from podium.functions.skew import HOT_ROWS, SALT, hot_keys, salt, salted_join
 
 # Stored rows enter a fold as if clicked before every change of the log.
 BEFORE_LOG = -(2**63)
+# A log with more rows is read a second time, to keep rows that no reset can reach out of the join with the resets.
+PRUNE_ROWS = 20_000_000
 
 ANSWER_COLUMNS = ["response_id", "question_id", "answer_option_id", "created", "revision", "updated"]
 TEXT_COLUMNS = ["response_id", "question_id", "plaintext", "created", "revision", "updated"]
@@ -118,6 +124,11 @@ def busy_responses(log: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     return hot_keys(log, "response_id", hot_rows)
 
 
+def busy_and_long(log: DataFrame, hot_rows: int, prune_rows: int) -> tuple[DataFrame, bool]:
+    """`busy_responses`, and whether the log has more than `prune_rows` rows. The count reads no column."""
+    return busy_responses(log, hot_rows), log.count() > prune_rows
+
+
 def _with_live_seq(marks: DataFrame, resets: DataFrame | None, slot: list[str], hot: DataFrame) -> DataFrame:
     """Add `live_seq`, the mark's first seq where no later reset hit its slot, else NULL, and the salt. A mark of
     several clicks never has a reset between them."""
@@ -129,6 +140,28 @@ def _with_live_seq(marks: DataFrame, resets: DataFrame | None, slot: list[str],
     return marks.join(last_reset, [*slot, SALT], "left").withColumn("live_seq", F.when(live, F.col("first_seq")))
 
 
+def _fold_live(
+    marks: DataFrame,
+    resets: DataFrame | None,
+    slot: list[str],
+    hot: DataFrame | None,
+    prune: bool,
+    fold: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """`fold`, an aggregate that keeps the slots apart, of the marks with `live_seq` and the salt.
+
+    With `prune`, only marks whose slot may have a reset are shuffled to the resets. The others are live and go to the
+    aggregate as they are, which combines them first. All marks of a slot go the same way.
+    """
+    words = key_filter(resets, slot) if prune and resets is not None else None
+    if words is None:
+        return fold(_with_live_seq(marks, resets, slot, hot))
+    marks = looked_up(marks, words, slot)
+    reached = _with_live_seq(marks.where(MAY_MEET).drop(MAY_MEET), resets, slot, hot)
+    free = _with_live_seq(marks.where(~F.col(MAY_MEET)).drop(MAY_MEET), None, slot, hot)
+    return fold(reached).unionByName(fold(free))
+
+
 def fold_click_marks(
     marks: DataFrame,
     resets: DataFrame | None,
@@ -136,17 +169,16 @@ def fold_click_marks(
     targets: DataFrame,
     hot: DataFrame | None = None,
     scoped: bool = False,
+    prune: bool = False,
 ) -> DataFrame:
     """Answers of all question types, with `session_id`, `event_id`, `type` and `answer_ordinal`.
 
     An uncheck hits its ordinal on every checkbox question of the response, whatever question it names;
     `scoped=True` limits it to that question.
     """
-    slot = click_slot(scoped)
-    per_option = (
-        _with_live_seq(marks, resets, slot, hot)
-        .groupBy("response_id", "question_id", "answer_ordinal", SALT)
-        .agg(
+
+    def per_option(live: DataFrame) -> DataFrame:
+        return live.groupBy("response_id", "question_id", "answer_ordinal", SALT).agg(
             F.sum("clicks").alias("clicks"),
             F.min("first_seq").alias("first_seq"),
             F.max("seq").alias("last_seq"),
@@ -155,8 +187,8 @@ def fold_click_marks(
             F.min("live_seq").alias("checked_seq"),
             F.min_by("first_ts", "live_seq").alias("checked_ts"),
         )
-    )
-    return valid_answers(per_option, members, targets)
+
+    return valid_answers(_fold_live(marks, resets, click_slot(scoped), hot, prune, per_option), members, targets)
 
 
 def valid_answers(per_option: DataFrame, members: DataFrame, targets: DataFrame) -> DataFrame:
@@ -208,21 +240,23 @@ def valid_answers(per_option: DataFrame, members: DataFrame, targets: DataFrame)
 
 
 def fold_text_marks(
-    marks: DataFrame, resets: DataFrame, members: DataFrame, questions: DataFrame, hot: DataFrame
+    marks: DataFrame, resets: DataFrame, members: DataFrame, questions: DataFrame, hot: DataFrame, prune: bool = False
 ) -> DataFrame:
     """Text answers with `session_id` and `event_id`: the texts after the last empty one."""
     slot = ["response_id", "question_id"]
-    live = _with_live_seq(marks, resets, slot, hot).where("live_seq IS NOT NULL")
-    parts = live.groupBy(*slot, SALT).agg(
-        F.min("first_seq").alias("first_seq"),
-        F.max("seq").alias("last_seq"),
-        F.max_by("plaintext", "seq").alias("plaintext"),
-        F.min_by("first_ts", "first_seq").alias("first_ts"),
-        F.sum("clicks").alias("clicks"),
-        F.max_by("last_ts", "seq").alias("last_ts"),
-    )
+
+    def per_question(live: DataFrame) -> DataFrame:
+        return live.where("live_seq IS NOT NULL").groupBy(*slot, SALT).agg(
+            F.min("first_seq").alias("first_seq"),
+            F.max("seq").alias("last_seq"),
+            F.max_by("plaintext", "seq").alias("plaintext"),
+            F.min_by("first_ts", "first_seq").alias("first_ts"),
+            F.sum("clicks").alias("clicks"),
+            F.max_by("last_ts", "seq").alias("last_ts"),
+        )
+
     return (
-        parts.join(members, "response_id")
+        _fold_live(marks, resets, slot, hot, prune, per_question).join(members, "response_id")
         .groupBy("response_id", "session_id", "event_id", "question_id")
         .agg(
             F.max_by("plaintext", "last_seq").alias("plaintext"),
@@ -277,15 +311,18 @@ def fold_clicks(
     options: DataFrame,
     scoped: bool = False,
     hot_rows: int = HOT_ROWS,
+    prune_rows: int = PRUNE_ROWS,
 ) -> DataFrame:
     """Fold the clicks of all question types together."""
+    hot, prune = busy_and_long(changes, hot_rows, prune_rows)
     return fold_click_marks(
         click_marks(changes),
         click_resets(changes),
         response_events(responses, sessions),
         click_targets(questions, options),
-        busy_responses(changes, hot_rows),
+        hot,
         scoped,
+        prune,
     )
 
 
@@ -304,20 +341,24 @@ def fold_radio(changes, responses, sessions, questions, options) -> DataFrame:
 
 
 def fold_checkbox(changes, responses, sessions, questions, options, scoped: bool = False,
-                  hot_rows: int = HOT_ROWS) -> DataFrame:
+                  hot_rows: int = HOT_ROWS, prune_rows: int = PRUNE_ROWS) -> DataFrame:
     """One row per checked option: first check after the last uncheck."""
     checkboxes = questions.where("type = 'checkbox'")
-    return fold_clicks(changes, responses, sessions, checkboxes, options, scoped, hot_rows).select(ANSWER_COLUMNS)
+    folded = fold_clicks(changes, responses, sessions, checkboxes, options, scoped, hot_rows, prune_rows)
+    return folded.select(ANSWER_COLUMNS)
 
 
-def fold_plaintext(changes, responses, sessions, questions, hot_rows: int = HOT_ROWS) -> DataFrame:
+def fold_plaintext(changes, responses, sessions, questions, hot_rows: int = HOT_ROWS,
+                   prune_rows: int = PRUNE_ROWS) -> DataFrame:
     """One row per response and question with text."""
+    hot, prune = busy_and_long(changes, hot_rows, prune_rows)
     return fold_text_marks(
         text_marks(changes),
         text_resets(changes),
         response_events(responses, sessions),
         questions,
-        busy_responses(changes, hot_rows),
+        hot,
+        prune,
     ).select(TEXT_COLUMNS)
 
 
@@ -350,7 +391,7 @@ def touch_responses(responses: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def apply_changes(tables: dict[str, DataFrame], changes: DataFrame, scoped: bool = False,
-                  hot_rows: int = HOT_ROWS) -> dict[str, DataFrame]:
+                  hot_rows: int = HOT_ROWS, prune_rows: int = PRUNE_ROWS) -> dict[str, DataFrame]:
     """Apply a log to a snapshot. Returns all tables, the three changed ones replaced."""
     members = response_events(tables["responses"], tables["sessions"])
     questions, options = tables["questions"], tables["answer_options"]
@@ -360,9 +401,9 @@ def apply_changes(tables: dict[str, DataFrame], changes: DataFrame, scoped: bool
     if "response_plaintext" in tables:
         texts = texts.unionByName(stored_marks(tables["response_plaintext"], "plaintext"))
     targets = click_targets(questions, options)
-    hot = busy_responses(changes, hot_rows)
-    answers = fold_click_marks(clicks, click_resets(changes), members, targets, hot, scoped)
-    plaintext = fold_text_marks(texts, text_resets(changes), members, questions, hot)
+    hot, prune = busy_and_long(changes, hot_rows, prune_rows)
+    answers = fold_click_marks(clicks, click_resets(changes), members, targets, hot, scoped, prune)
+    plaintext = fold_text_marks(texts, text_resets(changes), members, questions, hot, prune)
     return {
         **tables,
         "response_answers": answers.select(ANSWER_COLUMNS),

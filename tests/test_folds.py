@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from models import ResponseModel
+from podium.functions.prune import MAY_MEET, key_filter, looked_up
 from podium.operators import fold
 from podium.session import fresh_path
 from podium.streaming import changes as stream
@@ -194,3 +195,41 @@ def test_folds_plan_no_cross_or_nested_loop_join(spark, survey, log):
     for name in ("response_answers", "response_plaintext", "responses"):
         plan = state[name]._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize("hot_rows", [50, fold.HOT_ROWS])
+def test_folds_with_pruned_resets_equal_the_replay(hot_rows, survey, log):
+    tables = survey(30)
+    rows = [r for r in random_log(random.Random(21), 30, 1500) if r[0] % 3 or r[2] is None or r[2] > 0]
+    expected = replay(rows, 30)
+    changes = log(rows)
+    assert rows_of(fold.apply_changes(tables, changes, hot_rows=hot_rows, prune_rows=0)) == expected
+    first = fold.apply_changes(tables, log(rows[:700]), prune_rows=0)
+    assert rows_of(fold.apply_changes(first, log(rows[700:]), prune_rows=0)) == expected
+    dims = [tables[n] for n in ("responses", "sessions", "questions", "answer_options")]
+    plain = {tuple(r) for r in fold.fold_checkbox(changes, *dims, scoped=True).collect()}
+    assert {tuple(r) for r in fold.fold_checkbox(changes, *dims, scoped=True, prune_rows=0).collect()} == plain
+    assert {tuple(r) for r in fold.fold_plaintext(changes, *dims[:3], prune_rows=0).collect()} == expected[1]
+
+
+@pytest.mark.parametrize("rows", [[], [(0, 11, 1, None, START, 1)], [(0, 11, -1, None, START, 1)], [(0, 13, None, "", START, 1)]])
+def test_pruned_folds_of_logs_without_marks_or_resets(rows, survey, log):
+    assert rows_of(fold.apply_changes(survey(2), log(rows), prune_rows=0)) == replay(rows, 2)
+
+
+def test_only_marks_with_a_reset_slot_reach_the_resets(spark):
+    """50,000 slots, every hundredth reset: the filter lets all clicks on those through, and few others."""
+    marks = spark.range(200_000).selectExpr("id % 50000 AS response_id", "cast(id % 2 AS smallint) AS answer_ordinal")
+    resets = marks.where("response_id % 100 = 0").distinct()
+    words = key_filter(resets, ["response_id", "answer_ordinal"])
+    found = looked_up(marks, words, ["response_id", "answer_ordinal"])
+    assert found.count() == 200_000
+    assert found.where(f"response_id % 100 = 0 AND NOT {MAY_MEET}").count() == 0
+    assert found.where(f"response_id % 100 <> 0 AND {MAY_MEET}").count() < 200_000 * 0.03
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "NestedLoop" not in plan
+    # Nulls are keys like others, and too many keys give no filter.
+    nulls = spark.createDataFrame([(None, 1), (None, None), (5, 1)], "response_id bigint, answer_ordinal smallint")
+    few = key_filter(nulls.where("response_id IS NULL AND answer_ordinal = 1"), ["response_id", "answer_ordinal"])
+    assert looked_up(nulls, few, ["response_id", "answer_ordinal"]).where(f"response_id IS NULL AND answer_ordinal = 1 AND NOT {MAY_MEET}").count() == 0
+    assert key_filter(resets, ["response_id", "answer_ordinal"], longest=10) is None
