@@ -192,10 +192,10 @@ def fold_click_marks(
 
 
 def valid_answers(per_option: DataFrame, members: DataFrame, targets: DataFrame) -> DataFrame:
-    """Answers from what is folded per response, question and ordinal, as far as response and option exist."""
-    valid = per_option.join(members, "response_id").join(
-        targets, ["question_id", "answer_ordinal", "event_id"]
-    )
+    """Answers from what is folded per response, question and ordinal, as far as response and option exist.
+
+    The options come first, so that the rows meet their response on the partitioning of the last aggregate."""
+    valid = per_option.join(targets, ["question_id", "answer_ordinal"]).join(members, ["response_id", "event_id"])
     is_radio = F.col("type") == "radio"
     is_checkbox = F.col("type") == "checkbox"
     # A radio question keeps one row, from its first to its last click. A checkbox or text question keeps

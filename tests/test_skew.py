@@ -3,6 +3,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from podium.functions.skew import hot_keys, nullable_left_join, salt, salted_join
+from podium.session import configure
 
 
 def test_salted_join_equals_the_plain_join(spark):
@@ -38,3 +39,10 @@ def test_a_long_list_of_hot_keys_is_not_broadcast(spark, monkeypatch):
 def test_weighted_hot_keys(spark):
     rows = spark.createDataFrame([(1, 6), (1, 6), (2, 6)], "key BIGINT, n BIGINT")
     assert [tuple(r) for r in hot_keys(rows, "key", 10, F.col("n")).collect()] == [(1, 2)]
+
+
+def test_shuffles_are_cut_small_whatever_the_session_says(spark):
+    """With 64 MB a task, the default, sorts and aggregates of shuffled ids spill at a gigabyte of input."""
+    fresh = spark.newSession()
+    fresh.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m")
+    assert configure(fresh).conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
