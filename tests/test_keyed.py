@@ -52,3 +52,33 @@ def test_late_changes_apply_in_the_order_they_arrive(spark, survey, log):
     run(spark, log, [(0, 10, 2, None, at(1), 1), (0, 11, -1, None, at(2), 2)], source, checkpoint, scoped=True)
     answers, _, updated = rows_of(keyed.keyed_state(spark, checkpoint, survey(1)))
     assert answers == {(0, 10, 1002, at(5), 1, at(1))} and updated == {(0, at(2))}
+
+
+@pytest.mark.parametrize("scoped", [False, True])
+def test_state_has_only_responses_that_changed(scoped, spark, survey, log):
+    """Stored answers of the others stay as they are; unchecks and empty texts of the job hit stored ones."""
+    rows = random_log(random.Random(5), 30, 900)
+    early = {**survey(30), **{n: t for n, t in fold.apply_changes(survey(30), log(rows[:600])).items() if n.startswith("response")}}
+    later = [r for r in rows[600:] if r[0] < 4]
+    source, checkpoint = fresh_path(spark, "source"), fresh_path(spark, "keyed")
+    run(spark, log, later[:20], source, checkpoint, early, scoped=scoped)
+    run(spark, log, later[20:], source, checkpoint, None, scoped=scoped)
+    forms = spark.read.format("statestore").option("stateVarName", "form").load(checkpoint)
+    assert {r[0] for r in forms.select("key.response_id").collect()} == {r[0] for r in later}
+    got = keyed.keyed_state(spark, checkpoint, early)
+    assert rows_of(got) == rows_of(fold.apply_changes(early, log(later), scoped))
+    assert got["response_answers"].where("response_id >= 4").count() > 0
+
+
+def test_a_first_start_without_a_batch_keeps_the_later_snapshot(spark, survey, log):
+    at = lambda n: START + dt.timedelta(minutes=n)
+    source, checkpoint = fresh_path(spark, "source"), fresh_path(spark, "keyed")
+    one, two = (
+        {**survey(1), **{n: t for n, t in fold.apply_changes(survey(1), log([(0, 10, o, None, at(o), o)])).items() if n.startswith("response")}}
+        for o in (1, 2)
+    )
+    keyed._keep_stored(spark, checkpoint, one)
+    run(spark, log, [(0, 11, 3, None, at(5), 5)], source, checkpoint, two)
+    run(spark, log, [(0, 13, 1, None, at(6), 6)], source, checkpoint, one)
+    answers, _, _ = rows_of(keyed.keyed_state(spark, checkpoint, two))
+    assert {(q, o) for _, q, o, *_ in answers} == {(10, 1002), (11, 1103), (13, 1301)}
