@@ -9,6 +9,9 @@ from pyspark.sql.types import StringType, StructField, StructType
 from podium.functions.text import leading_int, starts_with_number
 from podium.sources.schemas import FEED, FEED_GROUPS, RAW_CHANGES
 
+# Every number with so many characters, its sign included, fits the type.
+BIGINT_CHARS, SMALLINT_CHARS = 18, 4
+
 
 def read_session_feed(spark: SparkSession, path: str, all_groups: bool = False, places: bool = False) -> tuple[DataFrame, DataFrame]:
     """Accepted sessions and their speakers from feed documents, one per line: {event_key, groups}.
@@ -64,9 +67,11 @@ def parse_changes(raw: DataFrame) -> DataFrame:
     corrupt = F.col("_corrupt").isNotNull() if "_corrupt" in raw.columns else F.lit(False)
     ordinal = leading_int("answerOrdinal")
     ids = {"response_id": "responseId", "question_id": "questionId"}
-    too_large = lambda text, number: starts_with_number(text) & number.isNull()
+    # Short texts hold no number that is too large; only longer ones are searched for digits once more.
+    too_large = lambda text, number: (F.length(text) > BIGINT_CHARS) & starts_with_number(text) & number.isNull()
+    no_ordinal = (F.length("answerOrdinal") > SMALLINT_CHARS) & ~F.coalesce(ordinal, F.lit(0)).between(-32768, 32767)
     error = F.when(corrupt, "no JSON document").when(
-        too_large("answerOrdinal", ordinal) | ~F.coalesce(ordinal, F.lit(0)).between(-32768, 32767), "answer ordinal out of range"
+        too_large("answerOrdinal", ordinal) | no_ordinal, "answer ordinal out of range"
     )
     for text in ids.values():
         error = error.when(too_large(text, leading_int(text)), "id out of range")

@@ -319,3 +319,15 @@ def test_tables_round_trip_with_their_types(spark, table, tables):
         loaded["event_users"].selectExpr(*columns).write.mode("overwrite").parquet(f"{other}/event_users")
         with pytest.raises(ValueError, match="event_users"):
             load_feedback(spark, other)
+
+
+def test_numbers_at_the_limits_of_their_types(spark):
+    """Texts too short for a large number are not searched for one; longer ones may still have small numbers."""
+    texts = ["32767", "-32768", "32768", "-32769", "+9999", "9999x", "0000000000000000000007", " 5", "  -5x", None, "null"]
+    ids = ["9223372036854775807", "9223372036854775808", "-9223372036854775808", "00000000000000000000012", "999999999999999999"]
+    rows = [("1", "2", text, None, None, n) for n, text in enumerate(texts)] + [(i, "2", "1", None, None, 100 + n) for n, i in enumerate(ids)]
+    raw = spark.createDataFrame(rows, "responseId string, questionId string, answerOrdinal string, plaintext string, ts timestamp_ntz, seq bigint")
+    got = {r.seq: r for r in feed.parse_changes(raw).collect()}
+    assert [got[n].answer_ordinal for n in range(len(texts))] == [32767, -32768, None, None, 9999, 9999, 7, 5, -5, None, None]
+    assert {n for n, r in got.items() if r.error} == {2, 3, 101}
+    assert [got[100 + n].response_id for n in (0, 2, 3, 4)] == [2**63 - 1, -(2**63), 12, 10**18 - 1]
