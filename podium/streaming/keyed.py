@@ -160,32 +160,35 @@ KEPT = {
 
 
 def merged_clicks(form: DataFrame, kept: DataFrame) -> DataFrame:
-    """The clicks of the state on those stored: one row per response, question and ordinal."""
+    """The clicks of the state on those stored: one row per response, question and ordinal of responses that changed,
+    the rows of all others as they are."""
     hit = F.exists("unchecked", lambda r: (r["answer_ordinal"] == F.col("answer_ordinal")) & F.coalesce(r["question_id"] == F.col("question_id"), F.lit(True)))
     live = ~F.coalesce(hit, F.lit(False))
-    before = kept.join(form.select("response_id", "unchecked"), "response_id", "left").select(
+    before = kept.join(form.select("response_id", "unchecked"), "response_id").select(
         "response_id", *[F.when(live, F.col(c)).alias(c) if c.startswith("checked") else F.col(c) for c in CLICK]
     )
     now = form.select("response_id", F.inline("clicks"))
     is_stored = F.col("first_seq") == 0
     both = before.unionByName(now).groupBy("response_id", "question_id", "answer_ordinal")
-    return both.agg(
+    merged = both.agg(
         _added("clicks", is_stored), F.min_by("first_ts", "first_seq").alias("first_ts"), F.max_by("last_ts", "last_seq").alias("last_ts"),
         F.min("first_seq").alias("first_seq"), F.max("last_seq").alias("last_seq"),
         F.min_by("checked_ts", "checked_seq").alias("checked_ts"), F.min("checked_seq").alias("checked_seq"),
     )
+    return kept.join(form.select("response_id"), "response_id", "left_anti").unionByName(merged)
 
 
 def merged_texts(form: DataFrame, kept: DataFrame) -> DataFrame:
-    """The texts of the state on those stored that were not cleared."""
+    """The texts of the state on those stored that were not cleared, in the same way."""
     cleared = F.coalesce(F.array_contains("cleared", F.col("question_id")), F.lit(False))
-    before = kept.join(form.select("response_id", "cleared"), "response_id", "left").where(~cleared)
+    before = kept.join(form.select("response_id", "cleared"), "response_id").where(~cleared)
     now = form.select("response_id", F.inline("texts"))
     both = before.select("response_id", *TEXT, F.lit(0).alias("_now")).unionByName(now.withColumn("_now", F.lit(1)))
-    return both.groupBy("response_id", "question_id").agg(
+    merged = both.groupBy("response_id", "question_id").agg(
         F.max_by("plaintext", "_now").alias("plaintext"), _added("clicks", F.col("_now") == 0),
         F.min_by("first_ts", "_now").alias("first_ts"), F.max_by("last_ts", "_now").alias("last_ts"),
     )
+    return kept.join(form.select("response_id"), "response_id", "left_anti").unionByName(merged)
 
 
 def _added(column: str, is_stored: Column) -> Column:

@@ -82,3 +82,13 @@ def test_a_first_start_without_a_batch_keeps_the_later_snapshot(spark, survey, l
     run(spark, log, [(0, 13, 1, None, at(6), 6)], source, checkpoint, one)
     answers, _, _ = rows_of(keyed.keyed_state(spark, checkpoint, two))
     assert {(q, o) for _, q, o, *_ in answers} == {(10, 1002), (11, 1103), (13, 1301)}
+
+
+def test_stored_rows_that_come_twice_count_once_where_a_response_changed(spark, survey, log):
+    at = lambda n: START + dt.timedelta(minutes=n)
+    first = fold.apply_changes(survey(2), log([(r, q, 1, None, at(1), 10 * r + q) for r in (0, 1) for q in (10, 11)]))
+    twice = {**first, "response_answers": first["response_answers"].union(first["response_answers"])}
+    source, checkpoint = fresh_path(spark, "source"), fresh_path(spark, "keyed")
+    run(spark, log, [(0, 10, 1, None, at(5), 5)], source, checkpoint, twice)
+    answers, _, _ = rows_of(keyed.keyed_state(spark, checkpoint, twice))
+    assert {(r, q, n) for r, q, _, _, n, _ in answers} == {(0, 10, 1), (0, 11, 0), (1, 10, 1), (1, 11, 0)}
