@@ -25,6 +25,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import partial
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,8 @@ REMEMBERED_PIECES = 250_000
 LONGEST_PIECE = 64
 # Characters of texts that are aligned together, and pairs a task holds before it hands them on.
 BATCH_CHARS = 4_000_000
+# Pieces that A encodes as one text.
+JOINED_PIECES = 256
 TASK_PAIRS = 2_000_000
 # Counted pairs that are sent to every task; more are joined.
 BROADCAST_PAIRS = 3_000_000
@@ -95,8 +98,42 @@ class Tokenizers:
 
     def encode(self, pieces: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of texts that begin with a blank; B adds that blank itself."""
-        a = [e.ids for e in self.a.encode_batch_fast(pieces, add_special_tokens=False)]
-        return a, self.b.encode([p[1:] for p in pieces], num_threads=1)
+        return self.whole_a(pieces), self.b.encode([p[1:] for p in pieces], num_threads=1)
+
+    def whole_a(self, pieces: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.a.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def encode_packed(self, pieces: list[str]) -> tuple[list[bytes], list[bytes]]:
+        """The same as bytes, for different texts."""
+        return self.encode_a(pieces), packed(self.b.encode([p[1:] for p in pieces], num_threads=1))
+
+    def encode_a(self, pieces: list[str]) -> list[bytes]:
+        """Ids of A. Where texts are cut at blanks, pieces are joined at blanks again, whichever text they are from, so
+        that many are one call; the tokens of a piece are those up to the byte where it ends."""
+        joins = [p for p in pieces if len(p) > 1 and not (p[1].isspace() or p[-1].isspace())] if self.cuts else []
+        parts = [joins[n : n + JOINED_PIECES] for n in range(0, len(joins), JOINED_PIECES)]
+        ids = np.fromiter(chain.from_iterable(self.whole_a(["".join(x) for x in parts])), dtype=np.int64)
+        ends = np.cumsum([len(p.encode()) for p in joins], dtype=np.int64)
+        upto = np.cumsum(self.a_sizes[ids])
+        last = np.searchsorted(upto, ends)
+        # Should the bytes not be those of the pieces, these are encoded one by one.
+        fits = len(upto) > 0 and upto[-1] == ends[-1] and bool((upto[last] == ends).all())
+        done = dict(zip(joins, cut_up(ids.astype(np.uint32).tobytes(), last + 1), strict=True)) if fits else {}
+        left = [p for p in pieces if p not in done]
+        done.update(zip(left, packed(self.whole_a(left)), strict=True))
+        return [done[p] for p in pieces]
+
+
+def cut_up(raw: bytes, ends: np.ndarray) -> list[bytes]:
+    """Packed ids, cut after the given numbers of them."""
+    ends = (4 * ends).tolist()
+    return [raw[s:e] for s, e in zip([0, *ends], ends, strict=False)]
+
+
+def packed(lists: list[list[int]]) -> list[bytes]:
+    """Lists of ids as bytes."""
+    ends = np.cumsum(np.fromiter(map(len, lists), dtype=np.int64, count=len(lists)))
+    return cut_up(array("I", chain.from_iterable(lists)).tobytes(), ends)
 
 
 class Aligned:
@@ -108,7 +145,7 @@ class Aligned:
         size = np.fromiter(map(len, whole), dtype=np.int64, count=len(whole))
         n_a, n_b = (np.fromiter(map(len, x), dtype=np.int64, count=len(whole)) // 4 for x in (a, b))
         a_ids, b_ids = (np.frombuffer(b"".join(x), dtype=np.uint32).astype(np.int64) for x in (a, b))
-        good = self.equal(whole, n_a, a_ids, t.a_bytes, t.a_sizes) & self.equal(whole, n_b, b_ids, t.b_bytes, t.b_sizes)
+        good = self.equal(whole, size, n_a, a_ids, t.a_bytes, t.a_sizes) & self.equal(whole, size, n_b, b_ids, t.b_bytes, t.b_sizes)
         a_ids, b_ids = a_ids[np.repeat(good, n_a)], b_ids[np.repeat(good, n_b)]
         a_ends, b_ends = np.cumsum(t.a_sizes[a_ids]), np.cumsum(t.b_sizes[b_ids])
         limits = np.concatenate([[0], np.cumsum(np.where(good, size, 0))])
@@ -132,11 +169,17 @@ class Aligned:
         self.texts = ["".join(words[s:e])[:-1] if ok else None for s, e, ok in zip(at[:-1], at[1:], good.tolist(), strict=True)]
 
     @staticmethod
-    def equal(whole: list[bytes], n: np.ndarray, ids: np.ndarray, table: list[bytes], sizes: np.ndarray) -> np.ndarray:
-        """Whether the tokens' bytes are those of the piece."""
-        joined = b"".join([table[i] for i in ids.tolist()])
-        ends = np.concatenate([[0], np.cumsum(sizes[ids])])[np.concatenate([[0], np.cumsum(n)])].tolist()
-        return np.array([joined[s:e] == x for s, e, x in zip(ends[:-1], ends[1:], whole, strict=True)], dtype=bool)
+    def equal(whole: list[bytes], size: np.ndarray, n: np.ndarray, ids: np.ndarray, table: list[bytes], sizes: np.ndarray) -> np.ndarray:
+        """Whether the tokens' bytes are those of the piece, which has `size` bytes."""
+        limits = np.concatenate([[0], np.cumsum(sizes[ids])])[np.concatenate([[0], np.cumsum(n)])]
+        good = np.diff(limits) == size
+        ids = ids[np.repeat(good, n)]
+        joined = np.frombuffer(b"".join([table[i] for i in ids.tolist()]), dtype=np.uint8)
+        wanted = np.frombuffer(b"".join([x for x, ok in zip(whole, good.tolist(), strict=True) if ok]), dtype=np.uint8)
+        wrong = np.flatnonzero(joined != wanted)
+        at = np.flatnonzero(good)
+        good[at[np.searchsorted(np.cumsum(size[at]), wrong, side="right")]] = False
+        return good
 
 
 class Alignments:
@@ -149,8 +192,7 @@ class Alignments:
     def encoded(self, pieces: list[str]) -> tuple[list[bytes], list[bytes]]:
         """The ids of different pieces, as bytes."""
         new = [p for p in pieces if p not in self.tokens]
-        packed = lambda ids: array("I", ids).tobytes()
-        made = {p: (packed(a), packed(b)) for p, a, b in zip(new, *self.tokenizers.encode(new), strict=True)}
+        made = dict(zip(new, zip(*self.tokenizers.encode_packed(new), strict=True), strict=True))
         both = [made[p] if p in made else self.tokens[p] for p in pieces]
         if len(self.tokens) + len(made) > REMEMBERED_PIECES:
             self.tokens = {}
@@ -166,16 +208,19 @@ class Alignments:
         """Of every text its four counts and its groups; then, sorted by text and pair: number of the text, pair code
         and links of every different pair. Texts without tokens have zeros, no groups and no pairs."""
         cut = [self.pieces_of(t) for t in texts]
-        numbers = {p: n for n, p in enumerate(dict.fromkeys(p for pieces in cut for p in pieces))}
-        found = [[numbers[p] for p in pieces] for pieces in cut]
+        numbers = dict(zip(dict.fromkeys(chain.from_iterable(cut)), count()))
+        sizes = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
+        flat = np.fromiter(map(numbers.__getitem__, chain.from_iterable(cut)), dtype=np.int64, count=int(sizes.sum()))
         aligned = Aligned(self.tokenizers, list(numbers), *self.encoded(list(numbers)))
-        bad = {n for n, text in enumerate(aligned.texts) if text is None}
-        found = [[] if bad and not bad.isdisjoint(f) else f for f in found]
-        groups = [";".join([aligned.texts[n] for n in f]) for f in found]
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        flat = np.fromiter((n for f in found for n in f), dtype=np.int64, count=int(sizes.sum()))
-        owner = np.repeat(np.arange(len(found)), sizes)
-        counts = np.stack([np.bincount(owner, weights=x, minlength=len(found)) for x in aligned.counts[flat].T], axis=1).astype(np.int64)
+        # Texts with a piece that is not given back have no pieces.
+        bad = np.fromiter((text is None for text in aligned.texts), dtype=bool, count=len(numbers))
+        lost = np.bincount(np.repeat(np.arange(len(cut)), sizes), weights=bad[flat], minlength=len(cut)) > 0
+        flat, sizes = flat[np.repeat(~lost, sizes)], np.where(lost, 0, sizes)
+        ends = np.cumsum(sizes).tolist()
+        words = list(map(aligned.texts.__getitem__, flat.tolist()))
+        groups = [";".join(words[s:e]) for s, e in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
+        owner = np.repeat(np.arange(len(cut)), sizes)
+        counts = np.stack([np.bincount(owner, weights=x, minlength=len(cut)) for x in aligned.counts[flat].T], axis=1).astype(np.int64)
         # Pieces of a text that are the same count once with a weight, then their pairs.
         both, times = np.unique(owner * max(1, len(numbers)) + flat, return_counts=True)
         of_text, of_piece = np.divmod(both, max(1, len(numbers)))

@@ -2,6 +2,7 @@ import hashlib
 import os
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from helpers import documents, prose
@@ -116,3 +117,18 @@ def _links(known, text):
 
 def test_empty_table(spark):
     assert align.align_documents(documents(spark, [])).count() == 0
+
+
+def test_a_encodes_many_pieces_in_a_call(known, monkeypatch):
+    """Words are joined for A, and have the tokens that each of them has alone; odd pieces stay alone."""
+    words = [f" {w}{n}" for n in range(200) for w in ("tale", "día", "日本", "🙂x", "<s>", "don't", "a\tb", "é́")]
+    odd = [" ", "  x", " \n", " x ", " \u00a0y"]
+    pieces = [*words, *odd]
+    whole, calls = known.whole_a, []
+    alone = whole(pieces)
+    monkeypatch.setattr(known, "whole_a", lambda texts: calls.append(len(texts)) or whole(texts))
+    got = known.encode_packed(pieces)
+    assert sum(calls) <= len(pieces) // align.JOINED_PIECES + 1 + len(odd)
+    assert [np.frombuffer(x, dtype=np.uint32).tolist() for x in got[0]] == alone
+    assert [np.frombuffer(x, dtype=np.uint32).tolist() for x in got[1]] == known.encode(pieces)[1]
+    assert known.encode_packed([]) == ([], []) and known.encode_packed(odd)[0] == got[0][-len(odd):]
