@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from podium.functions.prune import MAY_MEET, key_filter, looked_up
 from podium.functions.skew import HOT_ROWS, SALT, hot_keys, salt, salted_join
+from podium.functions.store import stored
 
 # Stored rows enter a fold as if clicked before every change of the log.
 BEFORE_LOG = -(2**63)
@@ -26,6 +27,7 @@ PRUNE_ROWS = 20_000_000
 
 ANSWER_COLUMNS = ["response_id", "question_id", "answer_option_id", "created", "revision", "updated"]
 TEXT_COLUMNS = ["response_id", "question_id", "plaintext", "created", "revision", "updated"]
+LOG_COLUMNS = ["response_id", "question_id", "answer_ordinal", "plaintext", "ts", "seq"]
 
 
 def response_events(responses: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -392,7 +394,11 @@ def touch_responses(responses: DataFrame, changes: DataFrame) -> DataFrame:
 
 def apply_changes(tables: dict[str, DataFrame], changes: DataFrame, scoped: bool = False,
                   hot_rows: int = HOT_ROWS, prune_rows: int = PRUNE_ROWS) -> dict[str, DataFrame]:
-    """Apply a log to a snapshot. Returns all tables, the three changed ones replaced."""
+    """Apply a log to a snapshot. Returns all tables, the three changed ones replaced.
+
+    The log is read about ten times (hot keys, count, filters, marks, resets, touches), so whatever it is made of is
+    done once and stored."""
+    changes = stored(changes.select(LOG_COLUMNS), "log")
     members = response_events(tables["responses"], tables["sessions"])
     questions, options = tables["questions"], tables["answer_options"]
     clicks, texts = click_marks(changes), text_marks(changes)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from podium.functions.ids import assign_ids
+from podium.functions.store import stored
 from podium.functions.text import speaker_names
 from podium.operators import access, cascade, copies, documents, fold, imports, lists, lookup, quality, questions, upsert
 from podium.session import fresh_path
@@ -685,7 +686,7 @@ def apply_changes(t):
 def stream_apply_changes(t):
     """The event stream's log in three scheduled runs of the streaming job, with a compaction between them, onto
     the stored snapshot of the line-item log."""
-    log = t.stream_changes
+    log = stored(t.stream_changes, "stream-log")
     source, deltas, checkpoint = (fresh_path(t.spark, name) for name in ("log", "deltas", "stream"))
     last = log.agg(F.max("seq")).first()[0] + 1
     for part in range(3):

@@ -15,6 +15,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Shuffled ids compress to a few bytes a row: 64 MB of them, the default, are more rows than a task sorts in memory.
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+    # A join whose smaller side has no larger partition than that is hashed: its larger side, mostly a log, is not sorted.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "16m",
     # Lets a "first n per group" filter trim every group before the shuffle, up to the longest ordered list.
     "spark.sql.optimizer.windowGroupLimitThreshold": "33000",
     "spark.sql.session.timeZone": "UTC",

@@ -233,3 +233,21 @@ def test_only_marks_with_a_reset_slot_reach_the_resets(spark):
     few = key_filter(nulls.where("response_id IS NULL AND answer_ordinal = 1"), ["response_id", "answer_ordinal"])
     assert looked_up(nulls, few, ["response_id", "answer_ordinal"]).where(f"response_id IS NULL AND answer_ordinal = 1 AND NOT {MAY_MEET}").count() == 0
     assert key_filter(resets, ["response_id", "answer_ordinal"], longest=10) is None
+
+
+def test_apply_changes_makes_the_log_once(spark, survey, log):
+    """What the log is made of (a join, the parsing of texts) runs once, however often the folds read it."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    at = dt.datetime(2024, 1, 2)
+    rows = [(r, 10, 1 + r % 3, None, at, r) for r in range(6)] + [(1, 11, 2, None, at, 10), (1, 11, -2, None, at, 11), (2, 13, None, "hi", at, 12)]
+    changes = log(rows).mapInArrow(counted, log(rows).schema)
+    result = fold.apply_changes(survey(6), changes)
+    assert result["response_answers"].count() == 6 and result["response_plaintext"].collect()[0].plaintext == "hi"
+    assert result["responses"].where("updated = timestamp_ntz'2024-01-02 00:00:00'").count() == 6
+    assert made.value == len(rows)
