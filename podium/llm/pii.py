@@ -43,6 +43,8 @@ STEM = 3
 # Half of the information, and nearly all of it.
 GENERALISE, REMOVE = 0.5, 0.9
 BROADCAST_TERMS = 200_000
+# Numbers of pairs that are sent to every task, some tens of megabytes; more are joined.
+BROADCAST_PAIRS = 1_000_000
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SPAN_TYPE = "array<struct<start:int,rank:int,end:int,value:string>>"
 
@@ -185,6 +187,12 @@ def disclosing_pairs(docs: DataFrame, affected: DataFrame) -> DataFrame:
 
 def disclosing_terms(pairs: DataFrame) -> DataFrame:
     """(rank, value, term, share, content, n): the terms that reveal `share` of the `content` bits of an entity."""
+    # Most pairs stand in a text or two. Two numbers a row find those in enough; only these are shuffled with their texts.
+    pair = F.xxhash64("rank", "value", "term").alias("_pair")
+    texts = pairs.groupBy(pair, "copy").agg(F.count("*").alias("_rows")).groupBy("_pair").agg(F.count("*").alias("_texts"))
+    several = stored(texts.where(F.col("_texts") >= MIN_TEXTS).select("_pair"), "pii-several")
+    several = F.broadcast(several) if several.count() <= BROADCAST_PAIRS else several
+    pairs = pairs.withColumn("_pair", pair).join(several, "_pair", "left_semi")
     by_text = pairs.groupBy("rank", "value", "term", "copy").agg(
         F.count("*").alias("_rows"), *[F.first(c).alias(c) for c in ("n_entity", "n_term", "n")]
     )
@@ -208,7 +216,9 @@ def broader_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
     few = stems.count()
     # A stem is three characters; without any, no text is read.
     kin = words.join(F.broadcast(stems) if few <= BROADCAST_TERMS else stems, "_stem", "left_semi") if few else words.where("false")
-    common = kin.groupBy("_stem", "word").agg(F.count("*").alias("n_word"))
+    # A word too rare to bear any of the terms bears none of their beginnings; most words are.
+    least = mild.agg(F.min(F.col("n") * F.pow(F.lit(2.0), -GENERALISE * F.col("content")))).first()[0] or 0.0
+    common = kin.groupBy("word").agg(F.count("*").alias("n_word")).where(F.col("n_word") >= least * (1 - 1e-9))
     # The commonest word of every beginning bounds from below how many documents have the beginning.
     begun = common.withColumn("broader", F.explode(F.transform(F.sequence(F.lit(STEM), F.length("word")), lambda k: F.substring("word", F.lit(1), k))))
     begun = stored(begun.groupBy("broader").agg(F.max("n_word").alias("n_word")), "pii-begun")

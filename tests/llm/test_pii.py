@@ -170,3 +170,23 @@ def test_sanitised_documents(spark):
     assert texts[68][0] == "card [CARD], [IP] and [CARD]" and texts[68][1] == 28
     assert pii.sanitised_documents(df.where("false")).count() == 0
     assert pii.find_personal_data(df.where("false")).count() == 0
+
+
+def test_rare_words_and_rare_pairs_are_left_out_early(spark, monkeypatch):
+    """Beginnings of words too rare for any term, and pairs in fewer texts than MIN_TEXTS, are not aggregated."""
+    kept, real = {}, pii.stored
+    monkeypatch.setattr(pii, "stored", lambda df, name: kept.setdefault(name, real(df, name)))
+    texts = [*mixed_corpus(), *[f"corx{i} rare" for i in range(50)]]
+    df = documents(spark, texts)
+    affected = pii.affected_documents(pii.with_base(df))
+    pairs = pii.disclosing_pairs(df, affected)
+    terms = real(pii.disclosing_terms(pairs), "terms")
+    marked = pii.broader_terms(df, terms)
+    assert "corps" in {r.broader for r in marked.collect()}
+    begun = {r.broader: r.n_word for r in kept["pii-begun"].collect()}
+    assert begun["corps"] >= 90 and not any(b.startswith("corx") for b in begun)
+    of_texts = {}
+    for r in pairs.select("rank", "value", "term", "copy").collect():
+        of_texts.setdefault((r.rank, r.value, r.term), set()).add(r.copy)
+    several = [k for k, copies in of_texts.items() if len(copies) >= pii.MIN_TEXTS]
+    assert kept["pii-several"].count() == len(several) < len(of_texts)
