@@ -16,7 +16,9 @@ from podium.operators.upsert import upsert_presenters, upsert_session_presenters
 
 
 def numbered(df: DataFrame, *order: Column | str) -> DataFrame:
-    """Add `seq`, unique and rising in an order, by a sort over ranges; stored, so that the numbers stay."""
+    """Add `seq`, unique and rising in an order, by a sort over ranges; stored, so that the numbers stay. The rows are
+    stored before as well, as the ranges are sampled from them in a run of its own."""
+    df = stored(df, "unnumbered")
     return stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("seq", F.monotonically_increasing_id()), "numbered")
 
 
@@ -46,8 +48,11 @@ def import_feeds(tables: dict[str, DataFrame], requests: DataFrame, sessions: Da
     imported = stored(carried_out.join(keyed, "request_id"), "imported")
     targets = imported.where("event_key IS NOT NULL").select("event_id", "event_key").distinct()
 
+    # Tables that several steps read are made once.
+    events = stored(created["events"], "imported-events")
     calls = numbered(targets.join(sessions, "event_key"), "event_id", "place", "feed_id")
-    upserted = upsert_sessions(tables["sessions"], tables["session_presenters"], created["events"], calls.select("event_id", "title", "feed_id", "seq"))
+    upserted = upsert_sessions(tables["sessions"], tables["session_presenters"], events, calls.select("event_id", "title", "feed_id", "seq"))
+    known_sessions = stored(upserted["sessions"], "imported-snapshot")
     assigned = calls.select("seq", "event_id", "feed_id").join(upserted["assigned"], "seq").select("event_id", "feed_id", "session_id").distinct()
     assigned = stored(assigned, "imported-sessions")
 
@@ -57,7 +62,7 @@ def import_feeds(tables: dict[str, DataFrame], requests: DataFrame, sessions: Da
     presenters, known = stored(presenters, "imported-presenters"), stored(known, "imported-speakers")
 
     links = named.join(known, "seq").join(assigned, ["event_id", "feed_id"]).select("session_id", "presenter_id", "is_owner", "seq")
-    linked, stray = upsert_session_presenters(upserted["session_presenters"], upserted["sessions"], presenters, links)
+    linked, stray = upsert_session_presenters(upserted["session_presenters"], known_sessions, presenters, links)
 
     def reasons(df: DataFrame, kind: str, key: str) -> DataFrame:
         return df.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key"), "error")
@@ -70,8 +75,8 @@ def import_feeds(tables: dict[str, DataFrame], requests: DataFrame, sessions: Da
     )
     return {
         **tables,
-        **{name: created[name] for name in ("events", "questions", "answer_options")},
-        "presenters": presenters, "sessions": upserted["sessions"], "session_presenters": linked,
+        **{name: created[name] for name in ("questions", "answer_options")},
+        "events": events, "presenters": presenters, "sessions": known_sessions, "session_presenters": linked,
         "imported": imported, "assigned": assigned, "rejected": rejected,
     }
 

@@ -236,6 +236,7 @@ def upsert_session_presenters(session_presenters: DataFrame, sessions: DataFrame
         .groupBy("session_id", "presenter_id")
         .agg(_last("is_owner"))
     )
+    per_link = stored(per_link, "links")
     owners = (
         requests.where("is_owner")
         .groupBy("session_id")

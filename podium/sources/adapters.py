@@ -31,7 +31,7 @@ GENERATED = {
     "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, props STRING",
 }
 
-# Paths of the written question tables, by application, folder and table.
+# Paths of the written tables, by application, folder and table.
 _WRITTEN: dict[tuple[str, str, str], str] = {}
 
 
@@ -50,11 +50,12 @@ class TestTables:
     def written(self, name: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """Write a table once per application and read it back. The planner takes a literal array exploded
         per event for no larger than the events; a stored table has its real size, so a join broadcasts it
-        only while it is small."""
+        only while it is small. Events are few bytes, which one task would read and write for all; they are dealt out."""
         key = (self.spark.sparkContext.applicationId, self.folder, name)
         if key not in _WRITTEN:
             path = fresh_path(self.spark, name)
-            build(self.events).write.parquet(path)
+            events = self.events.repartition(self.spark.sparkContext.defaultParallelism, "event_id")
+            build(events).write.parquet(path)
             _WRITTEN[key] = path
         return self.spark.read.schema(TABLES[name]).parquet(_WRITTEN[key])
 
@@ -97,6 +98,10 @@ class TestTables:
 
     @cached_property
     def session_presenters(self) -> DataFrame:
+        return self.written("session_presenters", lambda events: self.built_links())
+
+    def built_links(self) -> DataFrame:
+        """The links out of the line items, whose scan costs far more than what is left of it."""
         links = (
             self.read("lineitem")
             .where("l_linenumber = 1 AND l_quantity <= 15")

@@ -1,7 +1,9 @@
 import pytest
 
 from podium.operators import imports, questions
+from podium.plans.registry import QUERIES
 from podium.sources import feed
+from podium.sources.adapters import TestTables
 from podium.sources.schemas import FEED
 
 REQUEST = (
@@ -70,3 +72,22 @@ def test_questions_beside_a_cycle_get_their_depth(table):
     chain = [(i, i + 1) for i in range(1, 13)] + [(13, None)]
     assert depths(*chain) == ({i: i - 1 for i in range(1, 14)}, [])
     assert depths((1, 2), (1, 3), (2, 4), (3, 4), (1, 4), (4, None), (9, 9)) == ({1: 0, 2: 1, 3: 1, 4: 2}, [])
+
+
+def test_the_query_reads_line_items_once_and_deals_out_its_questions(spark, tmp_path):
+    tables = {
+        "customer": "id AS c_custkey, concat('Customer', id) AS c_name, 'A' AS c_mktsegment",
+        "supplier": "id AS s_suppkey, concat('Supplier#', lpad(id, 9, '0')) AS s_name, 1 AS s_nationkey",
+        "part": "id AS p_partkey, 'name' AS p_name, 'type' AS p_type, 1 AS p_size",
+        "orders": "id AS o_orderkey, id AS o_custkey, timestamp_ntz'1997-01-01 00:00:00' AS o_orderdate",
+        "lineitem": "id AS l_orderkey, id % 40 AS l_partkey, id % 30 AS l_suppkey, 1 AS l_linenumber, 5D AS l_quantity, 'A' AS l_returnflag, "
+        "timestamp_ntz'1997-01-01 00:00:00' AS l_shipdate",
+    }
+    for name, columns in tables.items():
+        spark.sql(f"SELECT {columns} FROM range(80)").write.parquet(f"{tmp_path}/{name}.parquet")
+    got = QUERIES["import_feed"](spark, str(tmp_path))
+    assert not [f for f in got.inputFiles() if "lineitem" in f]
+    # Parts 1 to 39 of the events 1 and 2 speak; request 2 asks for a template that nobody knows.
+    first = {(r.request_id, r.feed_id): (r.owner, r.speakers) for r in got.collect() if r.feed_id in (1, 11, 21)}
+    assert first[(1, 1)] == ("id-1", "id-11=Supplier#000000011,id-1=Supplier#000000001") and (1, 11) not in first
+    assert len(TestTables(spark, str(tmp_path)).questions.inputFiles()) > 1
