@@ -17,6 +17,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
     # A join whose smaller side has no larger partition than that is hashed: its larger side, mostly a log, is not sorted.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "16m",
+    # The planner takes a stored table for as large as its files and broadcasts it if that is little. Rows of ids and short
+    # codes are some 15 times as large in memory, which the driver has to hold; what a shuffle measures is not multiplied.
+    "spark.sql.sources.fileCompressionFactor": "32",
     # Lets a "first n per group" filter trim every group before the shuffle, up to the longest ordered list.
     "spark.sql.optimizer.windowGroupLimitThreshold": "33000",
     "spark.sql.session.timeZone": "UTC",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from podium.functions import nest
 from podium.functions.nest import paged_list
+from podium.functions.store import stored
 from podium.functions.text import leading_int, speaker_names
 from podium.operators import documents, lookup
 from podium.session import fresh_path
@@ -211,6 +212,21 @@ def test_flat_report(tables):
     assert [(r.question_type, r.text, r.session_title, r.event_name) for r in rows if r.text] == [("text", "fine", "B talk", "E")]
 
 
+def test_flat_report_broadcasts_no_table_that_is_small_in_its_files_only(spark, tables):
+    """300,000 questions: few bytes in files, 14 MB or more as rows of the driver."""
+    more = spark.range(100, 300_100).selectExpr(
+        "id AS question_id", "id div 10 AS event_id", "cast(id % 10 AS smallint) AS display_order", "'Q' AS question",
+        "cast(NULL AS string) AS description", "cast(NULL AS smallint) AS optimal_percent", "true AS is_required",
+        "'radio' AS type", "false AS has_plaintext",
+    )
+    questions = stored(tables["questions"].unionByName(more), "many-questions")
+    flat = documents.report_rows({**tables, "questions": questions})
+    expected = documents.report_rows(tables).collect()
+    assert sorted(map(str, flat.collect())) == sorted(map(str, expected)) and len(expected) == 2
+    joins = [x for x in flat._jdf.queryExecution().executedPlan().toString().splitlines() if "Join [question_id" in x]
+    assert joins and not [x for x in joins if "Broadcast" in x and "BuildRight" in x]
+
+
 def test_listing_search_and_links(tables):
     listing = lookup.session_listing(*[tables[n] for n in ("sessions", "events", "session_presenters", "presenters")])
     found = lambda needle: sorted(r.session_id for r in lookup.search_sessions(listing, needle).collect())

@@ -235,6 +235,17 @@ def test_only_marks_with_a_reset_slot_reach_the_resets(spark):
     assert key_filter(resets, ["response_id", "answer_ordinal"], longest=10) is None
 
 
+def test_the_filter_is_broadcast_in_few_rows(spark):
+    """Its words pass the driver packed: a row for each would take that many times the memory."""
+    keys = spark.range(100_000).selectExpr("id * 7 AS response_id")
+    words, n_words = key_filter(keys, ["response_id"])
+    rows = words.collect()
+    assert n_words == 20_000 and len(rows) == 40 and sum(len(r["_words"]) for r in rows) == n_words
+    found = looked_up(spark.range(100_000).selectExpr("id AS response_id"), (words, n_words), ["response_id"])
+    assert found.where(f"response_id % 7 = 0 AND NOT {MAY_MEET}").count() == 0
+    assert found.where(f"response_id % 7 <> 0 AND {MAY_MEET}").count() < 100_000 * 0.03
+
+
 def test_apply_changes_makes_the_log_once(spark, survey, log):
     """What the log is made of (a join, the parsing of texts) runs once, however often the folds read it."""
     made = spark.sparkContext.accumulator(0)
